@@ -81,10 +81,10 @@ def mix_plan(sized: DataFrame, seed: int = 7, share: float = 1.5, max_epochs: fl
         .select(
             "source",
             F.coalesce("c.sum", "before").alias("sum"),
-            F.when(F.col("budget") > 0, F.coalesce(F.struct("c.key", "c.doc_id"), F.struct(F.col("part").alias("key"), F.lit(None).cast(sized.schema["doc_id"].dataType).alias("doc_id")))).alias("last"),
+            # where nothing of the range fits, what lies before it does: a range's digits sort before its keys
+            F.when(F.col("budget") > 0, F.struct(F.coalesce("c.key", "part").alias("key"), F.col("c.doc_id").alias("doc_id"))).alias("last"),
         )
     )
-    cut = cut.withColumn("last", F.when(F.col("last.key").isNull(), F.lit(None)).otherwise(F.col("last")))
     plan = targets.alias("t").join(cut.alias("r"), mine, "left").select("t.*", "last", F.coalesce(F.col("budget") - F.col("sum"), F.lit(0.0)).alias("left"))
     plan = materialize(plan, "mix-plan")
     left = F.struct("s.key", "s.doc_id")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from folioflow.llm import chat, exact_dedup, line_dedup, mixing
+from folioflow.llm import chat, exact_dedup, line_dedup, mixing, pii
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_chat_format": chat.op5_chat_format,
     "op6_mix_sources": mixing.op6_mix_sources,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from folioflow.llm import chat, exact_dedup, line_dedup, mixing, pii
+from folioflow.llm import chat, exact_dedup, line_dedup, mixing, ngram_join, pii
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_chat_format": chat.op5_chat_format,
     "op6_mix_sources": mixing.op6_mix_sources,

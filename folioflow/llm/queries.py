@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import chat, exact_dedup, line_dedup, mixing, ngram_join, pii
+from folioflow.llm import chat, embed_dedup, exact_dedup, line_dedup, mixing, ngram_join, pii
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_chat_format": chat.op5_chat_format,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_embed_dedup": embed_dedup.op7_embed_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from folioflow.llm import chat, embed_dedup, exact_dedup, line_dedup, mixing, ngram_join, pii
+from folioflow.llm import chat, embed_dedup, exact_dedup, line_dedup, mixing, ngram_join, pii, quality, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_ngram_join": ngram_join.op2_ngram_join,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_chat_format": chat.op5_chat_format,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_embed_dedup": embed_dedup.op7_embed_dedup,
+    "op8_quality": quality.op8_quality,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 

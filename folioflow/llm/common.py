@@ -49,3 +49,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def empty_if_null(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def id_key(column: str = "doc_id") -> Column:
+    """A doc_id as a string that is never null, to join and group rows by."""
+    return F.coalesce(F.col(column).cast("string"), F.lit("null"))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import empty_if_null, materialize, read
+from folioflow.llm.common import empty_if_null, id_key, materialize, read
 
 #: Keys that a bucket holds before it splits, and the deepest directory: 2**MAX_DEPTH slots.
 CAPACITY, MAX_DEPTH = 100_000, 20
@@ -79,13 +79,11 @@ def drop_copies(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
 
     Where several rows agree in both doc_id and text, any one of them stays.
     """
-    index = build_index(docs, capacity, max_depth).select("h", "text_sha256", "keep_id")
-    keyed = docs.alias("d").join(
-        index.alias("i"),
-        (F.xxhash64(empty_if_null("d.text")) == F.col("i.h")) & (F.sha2(empty_if_null("d.text"), 256) == F.col("i.text_sha256")) & F.col("d.doc_id").eqNullSafe(F.col("i.keep_id")),
-    )
-    whole = F.struct(*[F.col(f"d.`{c}`") for c in docs.columns])
-    return keyed.groupBy("i.h", "i.text_sha256").agg(F.first(whole).alias("row")).select("row.*")
+    index = build_index(docs, capacity, max_depth).select("h", "text_sha256", id_key("keep_id").alias("id_key"))
+    keys = ["h", "text_sha256", "id_key"]  # with the id among them, copies of one text are dealt to many tasks
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(F.xxhash64(empty_if_null("text")).alias("h"), F.sha2(empty_if_null("text"), 256).alias("text_sha256"), id_key().alias("id_key"), whole)
+    return rows.join(index, keys).groupBy(*keys).agg(F.first("row").alias("row")).select("row.*")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,6 +119,13 @@ def mix(docs: DataFrame, seed: int = 7, share: float = 1.5, max_epochs: float =
     )
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """``docs``, all columns, each row as many times as :func:`mix` repeats it."""
+    whole = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
+    repeated = mix(whole, **options).select("row", "text", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return repeated.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its size, its source's size and target, and the words that the mix takes of it."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")

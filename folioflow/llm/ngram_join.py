@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import empty_if_null, materialize, read
+from folioflow.llm.common import empty_if_null, id_key, materialize, read
 from folioflow.llm.components import components
 from folioflow.llm.groups import block_pairs, fixed_binary, lists, map_groups
 
@@ -258,16 +258,8 @@ def reshingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), flat], names=["node", "shingles"])
 
 
-def ngram_join(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text; others are ignored): doc_id, class_id, n_links, kept.
-
-    Two rows are linked when their sets of five-word shingles have a Jaccard similarity of 0.8 or more; n_links counts the
-    other rows linked directly, copies included, and class_id is the smallest doc_id reachable by links. ``kept`` marks one
-    row per class: the one of that doc_id. Texts of fewer than five words are one shingle; null texts and those without words
-    link with nothing and stay. Rows that agree in doc_id count as rows of their own, of which each or none is kept; a null
-    doc_id is the class's only where all are null. A pair is missed only if it meets in no band (3e-6 at 0.8, less above) or is
-    pruned against its posterior (1e-6).
-    """
+def near_classes(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs`` with words: doc_id, h (of the text), label (number of its class), n_links; then those without, label null."""
     keyed = docs.select("doc_id", empty_if_null("text").alias("text"), F.xxhash64(empty_if_null("text")).alias("h"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     seen = keyed.mapInArrow(sketch, f"doc_id {kind}, h long, shingles long, key binary, sig binary")
@@ -293,13 +285,39 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     classes = components(found.select(F.col("node").alias("u"), F.col("to").alias("v")))
     per_set = sets.select("key", "node", "weight").join(classes, "node", "left").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
     per_set = per_set.select("key", F.coalesce("label", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    rows = seen.join(per_set, "key", "left").where("shingles > 0")
-    rows = materialize(rows.select("doc_id", "label", "n_links"), "ngram-rows")
+    rows = seen.join(per_set, "key", "left").where("shingles > 0").select("doc_id", "h", "label", "n_links")
+    wordless = seen.where("shingles = 0").select("doc_id", "h", F.lit(None).cast("long").alias("label"), F.lit(0).cast("long").alias("n_links"))
+    return materialize(rows.unionByName(wordless), "ngram-rows")
+
+
+def ngram_join(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text; others are ignored): doc_id, class_id, n_links, kept.
+
+    Two rows are linked when their sets of five-word shingles have a Jaccard similarity of 0.8 or more; n_links counts the
+    other rows linked directly, copies included, and class_id is the smallest doc_id reachable by links. ``kept`` marks one
+    row per class: the one of that doc_id. Texts of fewer than five words are one shingle; null texts and those without words
+    link with nothing and stay. Rows that agree in doc_id count as rows of their own, of which each or none is kept; a null
+    doc_id is the class's only where all are null. A pair is missed only if it meets in no band (3e-6 at 0.8, less above) or is
+    pruned against its posterior (1e-6).
+    """
+    rows = near_classes(docs)
     first = rows.where("n_links > 0").groupBy("label").agg(F.min("doc_id").alias("class_id"))
     out = rows.where("n_links > 0").join(first, "label").select("doc_id", "class_id", "n_links")
     alone = rows.where("n_links = 0").select("doc_id", F.col("doc_id").alias("class_id"), "n_links")
-    wordless = seen.where("shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(alone).unionByName(wordless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """``docs``, all columns, one document of each class of :func:`ngram_join`: that of the smallest doc_id (null last), then hash.
+
+    Rows that agree in doc_id and text are one document and stay or go together. Texts without words stay.
+    """
+    rows = near_classes(docs).where("n_links > 0").select("label", F.struct(F.col("doc_id").isNull(), "doc_id", "h").alias("me"), id_key().alias("id_key"), "h")
+    first = rows.groupBy("label").agg(F.min("me").alias("first"))
+    gone = rows.join(first, "label").where(F.col("me") != F.col("first")).select("id_key", "h").distinct()
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(id_key().alias("id_key"), F.xxhash64(empty_if_null("text")).alias("h"), whole)
+    return keyed.join(gone, ["id_key", "h"], "left_anti").select("row.*")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

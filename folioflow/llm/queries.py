@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import chat, embed_dedup, exact_dedup, line_dedup, mixing, ngram_join, pii, quality, toxicity
+from folioflow.llm import chat, embed_dedup, exact_dedup, line_dedup, mixing, ngram_join, pieces, pii, quality, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_embed_dedup": embed_dedup.op7_embed_dedup,
     "op8_quality": quality.op8_quality,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 
 SQL = {

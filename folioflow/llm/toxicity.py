@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from folioflow.llm.common import empty_if_null, materialize, read
 
 #: Labelled rows that voters are induced from, documents that the classifier is fitted to, voters, and features besides them, at most.
 LABELLED, FITTED, VOTERS, MORE = 20_000, 16_384, 60, 200
+THRESHOLD = 0.3
 #: Shortest and longest beginning of a word that a pattern voter looks for.
 SHORT, LONG = 4, 7
 
@@ -128,22 +130,28 @@ def induce(labelled: DataFrame) -> Voters:
     return Voters(voters, extra, share, toxic, clean, rows)
 
 
+def _index(stems: list[str]) -> tuple[dict[str, int], list[int]]:
+    return {s: i for i, s in enumerate(stems)}, sorted({len(s) for s in stems if s[-1] != "$"})
+
+
+def hits_of(text: str, index: dict[str, int], lengths: list[int]) -> list[int]:
+    """The numbers of the stems that a text has."""
+    found = set()
+    for w in set(words_of(text)):
+        if (i := index.get(w + "$")) is not None:
+            found.add(i)
+        for n in lengths:
+            if n <= len(w) and (i := index.get(w[:n])) is not None:
+                found.add(i)
+    return sorted(found)
+
+
 def _match(stems: list[str]):
-    index = {s: i for i, s in enumerate(stems)}
-    lengths = sorted({len(s) for s in stems if s[-1] != "$"})
+    index, lengths = _index(stems)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = []
-            for text in batch.column("text").to_pylist():
-                found = set()
-                for w in set(words_of(text)):
-                    if (i := index.get(w + "$")) is not None:
-                        found.add(i)
-                    for n in lengths:
-                        if n <= len(w) and (i := index.get(w[:n])) is not None:
-                            found.add(i)
-                hits.append(sorted(found))
+            hits = [hits_of(text, index, lengths) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(hits, pa.list_(pa.int32()))], names=["doc_id", "h", "hits"])
 
     return run
@@ -233,14 +241,31 @@ def fit_linear(hits: list[list[int]], target: np.ndarray, n_features: int, round
     return float(w[-1]), w[:-1]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, fitted: int = FITTED) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text; others are ignored): doc_id, held_out, score (0 to 1), predicted (score >= 0.3).
+@dataclass
+class Classifier:
+    """A linear classifier on the stems that a text has."""
 
-    ``labels`` (doc_id, toxic) teach only which stems may vote, from at most ``labelled`` rows that are not held out, drawn by
-    hash; a row labelled twice counts as toxic if one label says so. Votes of all documents fit the label model, and
-    at most ``fitted`` documents, drawn by hash, the classifier. Null texts count as empty: they have no votes and get the
-    score of a text without hits. Scores depend on the text alone. Without labels the seed lexicon votes alone.
-    """
+    stems: list[str]
+    bias: float
+    weights: np.ndarray
+
+    def of_hits(self, hits: Column) -> Column:
+        return linear(hits, self.bias, self.weights)
+
+    def of_text(self, text: Column) -> Column:
+        """The score as a column beside any others; null texts count as empty."""
+        index, lengths = _index(self.stems)
+        bias, weights = self.bias, self.weights
+
+        @F.pandas_udf("double")
+        def score(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: 1 / (1 + math.exp(-(bias + float(weights[hits_of(t, index, lengths)].sum())))))
+
+        return score(F.coalesce(text, F.lit("")))
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, fitted: int = FITTED) -> tuple[Classifier, DataFrame]:
+    """The classifier, and what it saw of each row of ``docs``: doc_id and hits (numbers of stems)."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     texts = docs.select("doc_id", empty_if_null("text").alias("text"))
@@ -256,9 +281,29 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED,
     votes = seen.groupBy("h", cast.alias("votes")).count().groupBy("votes").agg(F.count("*").alias("n"))
     model = label_model(materialize(votes, "tox-votes"), chosen)
     sample = seen.withColumn("p", model.posterior(cast)).orderBy(F.xxhash64("hits", "doc_id"), "doc_id").limit(fitted).select("hits", "p").collect()
-    bias, weights = fit_linear([r.hits for r in sample], np.array([r.p for r in sample]), len(stems)) if sample else (model.bias, np.append(model.weights, np.zeros(len(chosen.extra))))
-    scored = seen.select("doc_id", held_out().alias("held_out"), linear(F.col("hits"), bias, weights).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+    if sample:
+        bias, weights = fit_linear([r.hits for r in sample], np.array([r.p for r in sample]), len(stems))
+    else:
+        bias, weights = model.bias, np.append(model.weights, np.zeros(len(chosen.extra)))
+    return Classifier(stems, bias, weights), seen.select("doc_id", "hits")
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, fitted: int = FITTED) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text; others are ignored): doc_id, held_out, score (0 to 1), predicted (score >= 0.3).
+
+    ``labels`` (doc_id, toxic) teach only which stems may vote, from at most ``labelled`` rows that are not held out, drawn by
+    hash; a row labelled twice counts as toxic if one label says so. Votes of all documents fit the label model, and
+    at most ``fitted`` documents, drawn by hash, the classifier. Null texts count as empty: they have no votes and get the
+    score of a text without hits. Scores depend on the text alone. Without labels the seed lexicon votes alone.
+    """
+    model, seen = fit_toxicity(docs, labels, labelled, fitted)
+    return seen.select("doc_id", held_out().alias("held_out"), model.of_hits(F.col("hits")).alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs``, all columns, without the rows that the classifier takes for toxic."""
+    model, _ = fit_toxicity(docs, labels)
+    return docs.where(model.of_text(F.col("text")) < THRESHOLD)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

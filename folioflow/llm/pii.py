@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from folioflow.llm.common import empty_if_null, materialize, read
 
 KINDS = ("email", "ip", "card", "phone")
+#: Pattern words are sent to all executors up to this many, and joined by a shuffle beyond.
+BROADCAST_WORDS = 100_000
 
 # The base rules. Domains are looked for at each "@", and the local part to the left of it; this finds what
 # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+ finds, in linear time on long runs of letters.
@@ -154,8 +156,13 @@ def find_pii(docs: DataFrame, rounds: int = 3, min_support: int = 3, min_score:
     added = F.lit(None).cast(OCCURRENCE_DDL)
     out = seen
     if not edges.where(~F.col("base")).isEmpty():  # nothing loose: nothing to confirm
-        words = docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).groupBy("word").agg(F.count("*").alias("total"))
-        totals = materialize(words.join(edges.select("word").distinct(), "word", "left_semi"), "pii-words")
+        # a pattern needs several instances, so only words beside that many are counted in the corpus
+        beside = edges.groupBy("word").agg(F.count_distinct("norm").alias("norms")).where(F.col("norms") >= min_support).select("word")
+        beside = materialize(beside, "pii-beside")
+        if beside.count() <= BROADCAST_WORDS:
+            beside = F.broadcast(beside)
+        words = docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word"))
+        totals = materialize(words.join(beside, "word", "left_semi").groupBy("word").agg(F.count("*").alias("total")), "pii-words")
         _, scores = score_graph(edges, totals, rounds, min_support)
         sure = scores.where(F.col("score") >= min_score)
         new = spots.where(~F.col("base")).join(sure, ["kind", "norm"], "left_semi")

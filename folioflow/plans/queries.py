@@ -184,9 +184,9 @@ def outline_leaf(spark, sf_dir):
     return outline.leaves(outline.subtree(geo_sections(spark, sf_dir), "2")).select("section", "title")
 
 
-@query(GEO + "SELECT section, title FROM section WHERE section = '3.9' OR section LIKE '3.9.%'")
+@query(GEO + "SELECT section, title FROM section WHERE section = '1' OR section LIKE '1.%'")
 def subtree_filter(spark, sf_dir):
-    return outline.subtree(geo_sections(spark, sf_dir), "3.9").select("section", "title")
+    return outline.subtree(geo_sections(spark, sf_dir), "1").select("section", "title")
 
 
 @query(GEO + "SELECT CAST(ord AS INT) AS ord, section FROM section WHERE starts_with(section, '3.9') OR starts_with('3.9', section) ORDER BY ord LIMIT 5")

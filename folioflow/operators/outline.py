@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as tx
@@ -39,7 +39,8 @@ def sections(entries: DataFrame, doc_stats: DataFrame) -> DataFrame:
     walk = _walk(entries, resolved_only=True)
     kids = walk.where("parent_id IS NOT NULL").groupBy("spec_id", F.col("parent_id").alias("entry_id")).agg(F.array_sort(F.collect_list(F.struct("sib_ord", "key"))).alias("kids"))
     order = Window.partitionBy("spec_id").orderBy("path", "entry_id")
-    end = F.least(F.col("total_pages"), F.greatest(F.col("page"), F.lead("page").over(order) - 1))
+    following = F.lead("page").over(order)
+    end = F.when(following.isNull(), F.col("total_pages")).otherwise(F.least(F.col("total_pages"), F.greatest(F.col("page"), following - 1)))
     return (
         walk.join(kids, ["spec_id", "entry_id"], "left")
         .join(doc_stats.select("spec_id", "total_pages"), "spec_id")
@@ -49,7 +50,7 @@ def sections(entries: DataFrame, doc_stats: DataFrame) -> DataFrame:
             F.col("key").alias("section"),
             tx.section_title(F.col("title"), F.col("number")).alias("title"),
             "page",
-            F.coalesce(end, F.col("total_pages")).alias("end_page"),
+            end.alias("end_page"),
             "depth",
             "parent",
             F.coalesce(F.col("kids.key"), F.array().cast("array<string>")).alias("children"),
@@ -119,7 +120,3 @@ def page_sections(pages: DataFrame, secs: DataFrame) -> DataFrame:
     run = Window.partitionBy("spec_id").orderBy("page", "kind").rowsBetween(Window.unboundedPreceding, 0)
     both = rows.unionByName(marks, allowMissingColumns=True).withColumn("section", F.coalesce(F.last("mark", ignorenulls=True).over(run), F.lit("")))
     return both.where("kind = 1").drop("mark", "kind")
-
-
-def in_subtree(column: str, root: str) -> Column:
-    return tx.subtree(F.col(column), root)

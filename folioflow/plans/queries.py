@@ -147,7 +147,7 @@ WITH entry AS (
     CASE WHEN c_custkey % 50 = 0 THEN -1 ELSE n_regionkey * 100000 + n_nationkey * 1000 + 1 + c_custkey % 997 END FROM customer JOIN nation ON c_nationkey = n_nationkey
 ), good AS (SELECT * FROM entry WHERE page >= 1 AND (n IS NULL OR n % 7 <> 6)
 ), section AS (
-  SELECT row_number() OVER w AS ord, section, title, page, coalesce(least(500000, greatest(page, lead(page) OVER w - 1)), 500000) AS end_page,
+  SELECT row_number() OVER w AS ord, section, title, page, CASE WHEN lead(page) OVER w IS NULL THEN 500000 ELSE least(500000, greatest(page, lead(page) OVER w - 1)) END AS end_page,
     CASE WHEN n IS NULL THEN 0 WHEN c IS NULL THEN 1 ELSE 2 END AS depth, CASE WHEN n IS NULL THEN NULL WHEN c IS NULL THEN (r + 1) || '' ELSE (r + 1) || '.' || n END AS parent, r, n, c
   FROM good WINDOW w AS (ORDER BY r, n NULLS FIRST, c NULLS FIRST)
 )

@@ -154,20 +154,25 @@ class Lattices:
             fell = what < 0
             weight[fell] = floor * np.array([len(s) for s in spelt])[-1 - what[fell]]
         weight = weight * self.alpha
-        beta = np.zeros(len(chars) + 1)
-        left = end - np.arange(len(chars))  # characters to the unit's end
+        # backwards from the units' ends: edges stand in the order of what is left behind their place, so a step is a slice
+        left = end - np.arange(len(chars))
         by_left = np.argsort(left, kind="stable")
-        bounds = np.searchsorted(left[by_left], np.arange(1, int(left.max()) + 2)) if len(chars) else [0]
-        value = np.empty(len(place))
+        bounds = np.searchsorted(left[by_left], np.arange(1, int(left.max()) + 2)).tolist()
+        n = count[by_left]
+        cut = np.concatenate([[0], n.cumsum()])
+        turn = np.repeat(first[by_left] - cut[:-1], n) + np.arange(len(place))
+        stop = (place + long)[turn]
+        stop[stop >= end[place[turn]]] = len(chars)  # beta is 0 there
+        pending, beta = weight[turn], np.zeros(len(chars) + 1)
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            p = by_left[a:b]
-            n = first[p + 1] - first[p]
-            e = np.repeat(first[p] - np.concatenate([[0], n.cumsum()[:-1]]), n) + np.arange(int(n.sum()))
-            stop = place[e] + long[e]
-            value[e] = weight[e] + np.where(stop < end[place[e]], beta[stop], 0.0)
-            cut = np.concatenate([[0], n.cumsum()[:-1]])
-            top = np.maximum.reduceat(value[e], cut)
-            beta[p] = top + np.log(np.add.reduceat(np.exp(value[e] - np.repeat(top, n)), cut))
+            lo, hi = int(cut[a]), int(cut[b])
+            here = pending[lo:hi]
+            here += beta[stop[lo:hi]]
+            spots = cut[a:b] - lo
+            top = np.maximum.reduceat(here, spots)
+            beta[by_left[a:b]] = top + np.log(np.add.reduceat(np.exp(here - np.repeat(top, n[a:b])), spots))
+        value = np.empty(len(place))
+        value[turn] = pending
         log_p = value - beta[place]
         running = np.cumsum(np.exp(log_p))
         before = np.concatenate([[0.0], running])[first[:-1]]

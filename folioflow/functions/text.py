@@ -35,7 +35,8 @@ def norm_title(text: Column) -> Column:
 
 def norm_search(text: Column) -> Column:
     """In lower case, no white space around hyphens, runs of white space as one space; not trimmed."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), f"{WS}*-{WS}*", "-"), f"{WS}+", " ")
+    spaced = F.translate(F.lower(text), "".join(map(chr, WS_CODES)), " " * len(WS_CODES))  # one kind of space makes the patterns quick
+    return F.regexp_replace(F.regexp_replace(spaced, " *- *", "-"), "  +", " ")
 
 
 def norm_query(query: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as tx
@@ -24,20 +24,33 @@ def score_pages(pages: DataFrame, query: str) -> DataFrame:
     """
     phrase = tx.norm_query(query)
     words = [w for w in re.split(tx.WS + "+", phrase) if w]
-    nt = F.col("normal")
-    held = nt.contains(phrase)
-    every, total, spots = F.lit(len(words) >= 2), F.lit(0).cast("long"), []
-    for w in words:
-        every &= nt.contains(w)
-        total += tx.count_occurrences(nt, w)
-        spots.append(tx.index_of(nt, w))
-    first = F.least(*spots) if len(spots) > 1 else F.lit(-1)
-    hits = pages.withColumn("normal", tx.norm_search(F.col("text"))).where(held | every)
-    at = F.when(held, tx.index_of(nt, phrase)).otherwise(first)
-    return hits.withColumns({
-        "score": F.when(held, 3 * tx.count_occurrences(nt, phrase)).otherwise(total),
-        "snippet": tx.snippet(F.col("text"), at, F.length(nt), len(query)),
-    }).drop("normal")
+    def held(nt: Column) -> Column:
+        return nt.contains(phrase)
+
+    def hit(nt: Column) -> Column:
+        out = held(nt)
+        if len(words) >= 2:
+            every = nt.contains(words[0])
+            for w in words[1:]:
+                every &= nt.contains(w)
+            out |= every
+        return out
+
+    def scored(nt: Column) -> Column:
+        total = F.lit(0).cast("long")
+        for w in words:
+            total += tx.count_occurrences(nt, w)
+        first = F.least(*[tx.index_of(nt, w) for w in words]) if len(words) > 1 else F.lit(-1)
+        return F.struct(
+            F.when(held(nt), 3 * tx.count_occurrences(nt, phrase)).otherwise(total).alias("score"),
+            F.when(held(nt), tx.index_of(nt, phrase)).otherwise(first).alias("at"),
+            F.length(nt).alias("normal_length"),
+        )
+
+    # a generator of one row or none: the text is normalised once, not again for the filter and each result
+    found = F.inline(F.transform(F.filter(F.array(tx.norm_search(F.col("text"))), hit), scored))
+    hits = pages.select("*", found)
+    return hits.withColumn("snippet", tx.snippet(F.col("text"), F.col("at"), F.col("normal_length"), len(query))).drop("at", "normal_length")
 
 
 def search(pages: DataFrame, query: str, max_results: int | None = 10, per_spec: bool = True) -> DataFrame:

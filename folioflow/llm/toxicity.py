@@ -19,6 +19,8 @@ from folioflow.llm.common import empty_if_null, materialize, read
 
 #: Labelled rows that voters are induced from, documents that the classifier is fitted to, voters, and features besides them, at most.
 LABELLED, FITTED, VOTERS, MORE = 20_000, 16_384, 60, 200
+#: Stems of the labelled rows that are weighed as voters, at most: those that most toxic rows have.
+STEMS = 50_000
 THRESHOLD = 0.3
 #: Shortest and longest beginning of a word that a pattern voter looks for.
 SHORT, LONG = 4, 7
@@ -92,7 +94,7 @@ def induce(labelled: DataFrame) -> Voters:
     """Chooses voters from rows of text and toxic.
 
     A stem is a word or a word's beginning. It may vote if toxic rows carry it so much more often than their share that, over
-    all stems seen, chance would not bring it about; of nested ones the shortest that is nearly as pure stays.
+    all stems seen, chance brings one about with 0.05 at most, whatever the number of rows; of nested ones the shortest that is nearly as pure stays.
     """
     bad_rows, rows = labelled.agg(F.sum("toxic"), F.count("*")).first()
     if not bad_rows or bad_rows == rows:
@@ -101,7 +103,7 @@ def induce(labelled: DataFrame) -> Voters:
     bad = labelled.where("toxic = 1").mapInArrow(_count_stems, "stem string, bad long, good long").groupBy("stem").agg(F.sum("bad").alias("bad"))
     bad = materialize(bad.where("bad >= 3"), "stem-bad")
     n_stems = max(1, bad.count())
-    top = bad.orderBy(F.desc("bad"), "stem").limit(50_000).collect()  # at most this many stems go on, those of most toxic rows
+    top = bad.orderBy(F.desc("bad"), "stem").limit(STEMS).collect()
     bad_of = {r.stem: r.bad for r in top}
     good = labelled.where("toxic = 0").mapInArrow(_count_good(frozenset(bad_of)), "stem string, good long").groupBy("stem").agg(F.sum("good").alias("good"))
     good_of = {r.stem: r.good for r in good.collect()}
@@ -121,7 +123,7 @@ def induce(labelled: DataFrame) -> Voters:
         shorter = [body[:n] for n in range(SHORT, len(body) + (stem[-1] == "$"))]
         if any(purity.get(s, 0) >= 0.95 * p for s in shorter if s != stem):
             continue
-        (kept if surplus > (0 if p == 1 and rows < 2000 else math.log(20)) and p >= 0.85 else more).append(stem)
+        (kept if surplus > math.log(20) and p >= 0.85 else more).append(stem)
     lexicon = [w + "$" for w in LEXICON if not any(w.startswith(s) for s in kept)]
     voters = (kept + lexicon)[:VOTERS] if len(kept) < VOTERS else kept[:VOTERS]
     extra = [s for s in kept + more if s not in voters][:MORE]

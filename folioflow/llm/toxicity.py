@@ -17,10 +17,8 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import empty_if_null, materialize, read
 
-#: Labelled rows that voters are induced from, documents that the classifier is fitted to, voters, and features besides them, at most.
-LABELLED, FITTED, VOTERS, MORE = 20_000, 16_384, 60, 200
-#: Stems of the labelled rows that are weighed as voters, at most: those that most toxic rows have.
-STEMS = 50_000
+#: Labelled rows that voters are induced from, and documents that the classifier is fitted to, at most.
+LABELLED, FITTED = 20_000, 16_384
 THRESHOLD = 0.3
 #: Shortest and longest beginning of a word that a pattern voter looks for.
 SHORT, LONG = 4, 7
@@ -58,25 +56,11 @@ def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 stems.add(w + "$")  # the whole word
                 stems.update(w[:n] for n in range(SHORT, min(LONG, len(w)) + 1))
             seen[toxic].update(stems)
-        names = list(seen[1])  # a stem of clean rows alone is no voter
+        names = list(seen[0].keys() | seen[1].keys())
         columns = [pa.array(names, pa.string()), pa.array([seen[1][x] for x in names], pa.int64()), pa.array([seen[0][x] for x in names], pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, names=["stem", "bad", "good"])
 
 
-def _count_good(stems: frozenset[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = Counter()
-            for text in batch.column("text").to_pylist():
-                found = set()
-                for w in set(words_of(text)):
-                    found.update(s for s in (w + "$", *(w[:n] for n in range(SHORT, min(LONG, len(w)) + 1))) if s in stems)
-                good.update(found)
-            yield pa.RecordBatch.from_arrays([pa.array(list(good), pa.string()), pa.array(list(good.values()), pa.int64())], names=["stem", "good"])
-
-    return run
-
-
 @dataclass
 class Voters:
     """Stems that vote, stems that are features only (a trailing $ marks a whole word), and what labelled rows say of them:
@@ -93,42 +77,40 @@ class Voters:
 def induce(labelled: DataFrame) -> Voters:
     """Chooses voters from rows of text and toxic.
 
-    A stem is a word or a word's beginning. It may vote if toxic rows carry it so much more often than their share that, over
+    A stem is a word or a word's beginning. It votes if toxic rows carry it so much more often than their share that, over
     all stems seen, chance brings one about with 0.05 at most, whatever the number of rows; of nested ones the shortest that is nearly as pure stays.
+    However many pass, all vote, and the words of the seed lexicon that none of them covers vote beside them. Other stems
+    that toxic rows carry over four times as often as their share are features. Stems are weighed in Spark.
     """
     bad_rows, rows = labelled.agg(F.sum("toxic"), F.count("*")).first()
     if not bad_rows or bad_rows == rows:
         return Voters([w + "$" for w in LEXICON], [], 0.05, np.full(len(LEXICON), 0.1), np.full(len(LEXICON), 0.001), 0)
     share = bad_rows / rows
-    bad = labelled.where("toxic = 1").mapInArrow(_count_stems, "stem string, bad long, good long").groupBy("stem").agg(F.sum("bad").alias("bad"))
-    bad = materialize(bad.where("bad >= 3"), "stem-bad")
-    n_stems = max(1, bad.count())
-    top = bad.orderBy(F.desc("bad"), "stem").limit(STEMS).collect()
-    bad_of = {r.stem: r.bad for r in top}
-    good = labelled.where("toxic = 0").mapInArrow(_count_good(frozenset(bad_of)), "stem string, good long").groupBy("stem").agg(F.sum("good").alias("good"))
-    good_of = {r.stem: r.good for r in good.collect()}
-    scored = []
-    for stem, k in bad_of.items():
-        n = k + good_of.get(stem, 0)
-        if k / n > min(0.9, 4 * share):
-            # Chernoff bound of the binomial tail
-            p = k / n
-            tail = n * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0.0))
-            scored.append((tail - math.log(n_stems), p, stem))
-    scored.sort(key=lambda x: (-x[0], x[2]))
-    purity = {s: p for _, p, s in scored}
-    kept, more = [], []
-    for surplus, p, stem in scored:
-        body = stem.rstrip("$")
-        shorter = [body[:n] for n in range(SHORT, len(body) + (stem[-1] == "$"))]
-        if any(purity.get(s, 0) >= 0.95 * p for s in shorter if s != stem):
-            continue
-        (kept if surplus > math.log(20) and p >= 0.85 else more).append(stem)
-    lexicon = [w + "$" for w in LEXICON if not any(w.startswith(s) for s in kept)]
-    voters = (kept + lexicon)[:VOTERS] if len(kept) < VOTERS else kept[:VOTERS]
-    extra = [s for s in kept + more if s not in voters][:MORE]
-    toxic = np.array([(bad_of.get(v, 0) + 0.5) / (bad_rows + 5) for v in voters])
-    clean = np.array([(good_of.get(v, 0) + 0.05) / (rows - bad_rows + 5) for v in voters])
+    counts = labelled.mapInArrow(_count_stems, "stem string, bad long, good long").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    seeds = [w + "$" for w in LEXICON]
+    counts = materialize(counts.where((F.col("bad") >= 3) | F.col("stem").isin(seeds)), "stem-counts")
+    weighed = counts.where("bad >= 3")
+    n_stems = max(1, weighed.count())
+    p, n = F.col("p"), F.col("bad") + F.col("good")
+    # Chernoff bound of the binomial tail
+    tail = n * (p * F.log(p / share) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0))
+    scored = weighed.withColumn("p", F.col("bad") / n).where(p > min(0.9, 4 * share)).withColumn("surplus", tail - math.log(n_stems))
+    scored = materialize(scored.withColumn("votes", (F.col("surplus") > math.log(20)) & (p >= 0.85)), "stem-scores")
+    body = F.rtrim(F.col("stem"), F.lit("$"))
+    longest = F.least(F.lit(LONG), F.length(body) - F.when(F.endswith("stem", F.lit("$")), 0).otherwise(1))
+    shorter = F.when(longest >= SHORT, F.transform(F.sequence(F.lit(SHORT), longest), lambda k: F.substring(body, F.lit(1), k)))
+    inner = scored.select("stem", "p", "votes", F.explode(shorter).alias("start"))
+    outer = scored.select(F.col("stem").alias("start"), F.col("p").alias("p_start"), F.col("votes").alias("start_votes"))
+    nested = inner.join(outer, "start").where("p_start >= 0.95 * p AND (start_votes OR NOT votes)").select("stem").distinct()
+    found = scored.join(nested, "stem", "left_anti").orderBy(F.desc("surplus"), "stem").select("stem", "votes", "bad", "good").collect()
+    kept = [r.stem for r in found if r.votes]
+    covered = tuple(s for s in kept if s[-1] != "$")
+    voters = kept + [w for w in seeds if w not in kept and not w.startswith(covered)]
+    known = set(voters)
+    extra = [r.stem for r in found if r.stem not in known]
+    of = {r.stem: r for r in (*counts.where(F.col("stem").isin(seeds)).select("stem", "bad", "good").collect(), *found)}
+    toxic = np.array([((of[v].bad if v in of else 0) + 0.5) / (bad_rows + 5) for v in voters])
+    clean = np.array([((of[v].good if v in of else 0) + 0.05) / (rows - bad_rows + 5) for v in voters])
     return Voters(voters, extra, share, toxic, clean, rows)
 
 
@@ -161,7 +143,7 @@ def _match(stems: list[str]):
 
 def linear(hits: Column, bias: float, weights: np.ndarray) -> Column:
     """1 / (1 + exp(-(bias + sum of weights of hits)))"""
-    w = F.array(*[F.lit(float(x)) for x in weights])
+    w = F.lit(np.asarray(weights, float))  # one literal, however many there are
     total = F.aggregate(hits, F.lit(float(bias)), lambda acc, i: acc + F.get(w, i))
     return 1 / (1 + F.exp(-total))
 
@@ -228,16 +210,15 @@ def label_model(votes: DataFrame, known: Voters, rounds: int = 4) -> LabelModel:
 
 def fit_linear(hits: list[list[int]], target: np.ndarray, n_features: int, rounds: int = 300, ridge: float = 1e-4) -> tuple[float, np.ndarray]:
     """Logistic regression of soft labels on the presence of features, by accelerated gradient descent from log-odds."""
-    x = np.zeros((len(hits), n_features + 1), np.float32)
-    x[:, -1] = 1
-    for i, h in enumerate(hits):
-        x[i, h] = 1
+    row = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
+    col = np.fromiter((i for h in hits for i in h), np.int64, len(row))  # only what is present is kept, so features may be many
     w = np.zeros(n_features + 1)
     speed = np.zeros_like(w)
-    scale = 1 / np.sqrt((x**2).mean(0) + 1e-4)  # rare features move as fast as common ones
+    scale = 1 / np.sqrt(np.append(np.bincount(col, minlength=n_features), len(hits)) / len(hits) + 1e-4)  # rare features move as fast as common ones
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ (w + 0.9 * speed).astype(np.float32), -30, 30)))
-        grad = (x.T @ (p - target).astype(np.float32)) / len(x) + ridge * np.append(w[:-1], 0)
+        ahead = w + 0.9 * speed
+        off = 1 / (1 + np.exp(-np.clip(np.bincount(row, ahead[col], len(hits)) + ahead[-1], -30, 30))) - target
+        grad = np.append(np.bincount(col, off[row], n_features), off.sum()) / len(hits) + ridge * np.append(w[:-1], 0)
         speed = 0.9 * speed - 0.2 * scale**2 * grad / 4
         w += speed
     return float(w[-1]), w[:-1]

@@ -56,6 +56,37 @@ def test_toxicity_without_labels_or_rows(spark):
     assert tx.score_toxicity(docs.limit(0), none).collect() == []
 
 
+def test_every_stem_that_passes_the_chance_test_votes(spark):
+    # eighty insults of one language, each in 30 toxic rows, fill the front ranks; two of a rarer language come last, in 12 rows each
+    common = [f"zq{chr(97 + i // 10)}{chr(97 + i % 10)}{chr(97 + (7 * i) % 26)}x" for i in range(80)]
+    rare = ["wñarru", "wçollo"]
+    sets = [(w, 30) for w in common] + [(w, 12) for w in rare]
+    rows = [(f"kalo miter {w} sendu", 1) for w, n in sets for _ in range(n)]
+    # 250 stems that are no voters, as clean rows carry them too, but features
+    rows += [(f"kalo miter {w} vosil", int(j < 3)) for i in range(250) for w in [f"ü{chr(97 + i // 26)}{chr(97 + i % 26)}"] for j in range(5)]
+    rows += [("kalo miter sendu vosil", 0)] * 25_000
+    chosen = tx.induce(spark.createDataFrame(rows, "text string, toxic int"))
+    assert {w[:4] for w in common + rare} <= set(chosen.voters)
+    assert {w + "$" for w in tx.LEXICON} <= set(chosen.voters) and len(set(chosen.voters)) == len(chosen.voters) == len(chosen.toxic) == len(chosen.clean)
+    assert len(chosen.extra) >= 250 and not set(chosen.extra) & set(chosen.voters)
+    share = chosen.toxic / chosen.clean
+    assert share[chosen.voters.index("wñar")] > 20
+
+
+def test_texts_of_the_rarest_language_are_found(spark):
+    common = [f"zq{chr(97 + i // 10)}{chr(97 + i % 10)}{chr(97 + (7 * i) % 26)}x" for i in range(80)]
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(["ka", "lo", "mi", "ter", "sen", "du"], 3)) for _ in range(400)]
+    said = [w for w in common for _ in range(25)] + ["wñarru"] * 20 + [None] * 12_000
+    texts = [" ".join([*rng.choice(words, 6), *([w] if w else [])]) for w in said]
+    docs = spark.createDataFrame([(i, x, "en", 0.0, "x") for i, x in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(i, int(w is not None)) for i, w in enumerate(said)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in tx.score_toxicity(docs, labels).collect()}
+    last = [i for i, w in enumerate(said) if w == "wñarru"]
+    assert any(got[i].held_out for i in last) and all(got[i].predicted == 1 for i in last)
+    assert sum(r.predicted for i, r in got.items() if said[i] is None) < 20
+
+
 def test_label_model_finds_accuracies_and_correlations(spark):
     rng = np.random.default_rng(3)
     y = rng.random(20000) < 0.1

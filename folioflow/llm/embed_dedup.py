@@ -133,10 +133,11 @@ def embed_dedup(vectors: DataFrame, min_cosine: float = MIN_COSINE, cells: int |
     """
     kind = vectors.schema["embedding"].dataType.elementType.simpleString()
     rows = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable("embedding"))
-    nodes = rows.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"))
-    nodes = materialize(nodes.withColumn("dim", F.size("embedding")), "embed-nodes")
+    nodes = rows.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+    # numbered, as different vectors may have one vec_id
+    nodes = materialize(nodes.withColumns({"dim": F.size("embedding"), "node": F.monotonically_increasing_id()}), "embed-nodes")
     total = nodes.count()
-    sample = nodes.orderBy(F.xxhash64("node", "embedding")).limit(SAMPLE).select("dim", "embedding").toArrow().combine_chunks()
+    sample = nodes.orderBy(F.xxhash64("least", "embedding")).limit(SAMPLE).select("dim", "embedding").toArrow().combine_chunks()
     centres = {}
     for dim in sorted(set(sample.column("dim").to_pylist())):
         part = sample.filter(pc.equal(sample.column("dim"), dim)).column("embedding").combine_chunks()
@@ -164,7 +165,10 @@ def embed_dedup(vectors: DataFrame, min_cosine: float = MIN_COSINE, cells: int |
 
     classes = components(found.select(F.col("node").alias("u"), F.col("to").alias("v")))
     per_node = nodes.join(classes, "node", "left").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
-    per_node = per_node.select("embedding", F.coalesce("label", "node").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    per_node = per_node.select("embedding", "least", F.coalesce("label", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    per_node = materialize(per_node, "embed-classes")
+    names = materialize(per_node.groupBy("label").agg(F.min("least").alias("component_id")), "embed-names")
+    per_node = per_node.join(names, "label").select("embedding", "component_id", "n_links")
     linked = rows.join(per_node, "embedding").select("vec_id", "n_links", "component_id")
     rest = vectors.where(~(F.col("vec_id").isNotNull() & usable("embedding"))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

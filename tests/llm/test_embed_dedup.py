@@ -56,6 +56,13 @@ def test_odd_vectors(spark):
     assert got == {1: (0, 1), 2: (0, 2), 3: (0, 3), 4: (0, 4), 5: (0, 5), 6: (0, 6), 7: (4, 7), 8: (4, 7), 9: (4, 7), 10: (0, 10), 11: (4, 7), 12: (0, 12), 13: (4, 7)}
 
 
+def test_one_id_with_different_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.99, 0.05]), (2, [1.0, 0.01]), (1, [0.0, 1.0]), (3, [0.01, 1.0]), (0, [-1.0, 0.0]), (1, [-1.0, -1.0])]
+    vectors = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], SCHEMA)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in ed.embed_dedup(vectors).collect())
+    assert got == [(0, 0, 0), (1, 0, 1), (1, 1, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1)]
+
+
 def test_repeated_rows_null_ids_and_no_rows(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0], 1, "x"), (1, [1.0, 0.0], 1, "x"), (None, [1.0, 0.0], 1, "x")], SCHEMA)
     assert sorted(map(tuple, ed.embed_dedup(vectors).collect()), key=str) == [(1, 1, 1, True), (1, 1, 1, True), (None, 0, None, True)]

@@ -1,9 +1,11 @@
 """Personal data by bootstrapped contextual extraction.
 
-Base rules find emails, addresses, cards and phones. Their words to the left and right become lexical patterns; patterns and
-instances form a graph that Spark scores in rounds: a pattern is as good as the share of its word's occurrences that stand
-beside confident instances, an instance as its patterns together. Good patterns then confirm identifiers that no base rule
-takes (loosely written ones, listed under LOOSE below).
+Base rules find emails, addresses, cards and phones: the seed entities. What stands around a seed, one to three tokens to its
+left and one or two to its right, induces lexical patterns; a few seed contexts of secrets are patterns from the start. Every
+string that looks like an identifier at all (see CANDIDATE) may stand in a pattern's slot. Patterns and instances form a graph
+that Spark scores in rounds until it stands still: a pattern is as good as the share of its occurrences in the corpus that hold
+confident instances, an instance as good as the places it stands in. Instances that become confident induce further patterns
+in the next round; what is confident at the end is personal data that no base rule knows.
 """
 
 from __future__ import annotations
@@ -15,11 +17,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import empty_if_null, materialize, read
+from folioflow.llm.common import empty_if_null, forget, materialize, read
 
-KINDS = ("email", "ip", "card", "phone")
-#: Pattern words are sent to all executors up to this many, and joined by a shuffle beyond.
-BROADCAST_WORDS = 100_000
+#: Kinds of spans. The base rules know the first four; the last has seed contexts only, so all of its spans are discovered.
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE_KINDS = KINDS[:4]
+#: First tokens of patterns are sent to all executors up to this many, and joined by a shuffle beyond.
+BROADCAST_TOKENS = 100_000
+#: Rounds at most; the graph mostly stands still after three or four.
+ROUNDS = 10
+#: Tokens to the left and right that a pattern may have, and characters beside a span that are looked at for them.
+LEFT, RIGHT, BESIDE = 3, 2, 60
+#: An identifier is no longer than this.
+LONGEST = 256
 
 # The base rules. Domains are looked for at each "@", and the local part to the left of it; this finds what
 # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+ finds, in linear time on long runs of letters.
@@ -30,14 +40,18 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
-# LOOSE: what patterns may confirm. An address without a dotted domain or with a spelt-out sign, a colon-separated address,
-# a card number that fails its check digit, a phone number without a country sign.
-LOOSE_DOMAIN = re.compile(r"(?:@|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]+(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]+)*")
-LOOSE_IP = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
-LOOSE_PHONE = re.compile(r"(?<![0-9A-Za-z+])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z])")
+# Words before a colon or an equals sign that announce a secret.
+SECRET_WORDS = ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "private_key")
 
-OCCURRENCE = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("norm", pa.string()), ("left", pa.string()), ("right", pa.string())])
-OCCURRENCE_DDL = "array<struct<kind:int,start:int,end:int,base:boolean,norm:string,left:string,right:string>>"
+#: What marks a string as a possible identifier. The string is the run of non-spaces around the mark; a bracketed "at" or "dot"
+#: ties its neighbours together, and so does a single space between two runs with digits.
+CANDIDATE = re.compile(r"[0-9@_]|[\[(](?:at|dot)[\])]")
+GLUE = re.compile(r"[\[(](?:at|dot)[\])]")
+#: A token of a context: a word, or a sign that is no quotation mark.
+TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_\"'`]"
+
+SPOT = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("norm", pa.string()), ("left", pa.string()), ("right", pa.string())])
+SPOT_DDL = "array<struct<kind:int,start:int,end:int,norm:string,left:string,right:string>>"
 
 
 def luhn(digits: str) -> bool:
@@ -47,9 +61,9 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _addresses(text: str, domain: re.Pattern) -> list[tuple[int, int]]:
+def _addresses(text: str) -> list[tuple[int, int]]:
     out, last = [], 0
-    for m in domain.finditer(text):
+    for m in DOMAIN.finditer(text):
         start = m.start()
         while start > last and text[start - 1] in LOCAL:
             start -= 1
@@ -65,111 +79,197 @@ def _digits(s: str) -> str:
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of every base match: kind by place in KINDS, code points, end exclusive, by kind, then start."""
-    return _scan(text)[0]
-
-
-def _scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    base, loose = [], []
-    if "@" in text:
-        base += [(0, *span) for span in _addresses(text, DOMAIN)]
-    if "@" in text or "at)" in text or "at]" in text:
-        loose += [(0, *span) for span in _addresses(text, LOOSE_DOMAIN)]
+    out = [(0, *span) for span in _addresses(text)] if "@" in text else []
     if DIGIT.search(text):
         for m in IP.finditer(text):
             if all(len(x := part.lstrip("0")) <= 3 and int(x or "0") <= 255 for part in m.group().split(".")):
-                base.append((1, *m.span()))
-        if ":" in text:
-            loose += [(1, *m.span()) for m in LOOSE_IP.finditer(text)]
+                out.append((1, *m.span()))
         for m in CARD.finditer(text):
-            if m.end() - m.start() <= 37 and 13 <= len(d := _digits(m.group())) <= 19:
-                (base if luhn(d) else loose).append((2, *m.span()))
+            if m.end() - m.start() <= 37 and 13 <= len(d := _digits(m.group())) <= 19 and luhn(d):
+                out.append((2, *m.span()))
         if "+" in text:
             for m in PHONE.finditer(text):
                 if 9 <= len(_digits(m.group())) <= 15:
-                    base.append((3, *m.span()))
-        loose += [(3, *m.span()) for m in LOOSE_PHONE.finditer(text)]
-    base.sort()
-    if loose:
-        taken = sorted(x[1:] for x in base)
-        loose = [x for x in sorted(loose) if not any(s < x[2] and x[1] < e for s, e in taken)]
-    return base, loose
+                    out.append((3, *m.span()))
+    return sorted(out)
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of every string that may be an identifier, in order and apart from each other; signs at its ends are left out."""
+    runs: list[list[int]] = []
+    done = 0
+    for m in CANDIDATE.finditer(text):
+        if m.start() < done:
+            continue
+        start, end = m.span()
+        while start > done and not text[start - 1].isspace():
+            start -= 1
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        tied = False
+        if GLUE.fullmatch(text, start, end):  # the words on both sides belong to it
+            while start > done and text[start - 1] == " ":
+                start -= 1
+            while start > done and not text[start - 1].isspace():
+                start -= 1
+            while end < len(text) and text[end] == " ":
+                end += 1
+            while end < len(text) and not text[end].isspace():
+                end += 1
+            tied = bool(runs) and text[runs[-1][1] : start].strip(" ") == ""
+        elif runs and text[runs[-1][1] : start] == " " and (text[start - 2].isalnum() or text[start - 2] == ")"):
+            tied = bool(DIGIT.search(text, *runs[-1]) and DIGIT.search(text, start, end))
+        if tied:
+            runs[-1][1] = end
+        else:
+            runs.append([start, end])
+        done = end
+    out = []
+    for start, end in runs:
+        if end - start > 2 * LONGEST:
+            continue
+        while start < end and not text[start].isalnum() and not (text[start] == "(" and ")" in text[start:end]) and text[start] != "+":
+            start += 1
+        while end > start and not text[end - 1].isalnum():
+            end -= 1
+        if 3 <= end - start <= LONGEST:
+            out.append((start, end))
+    return out
 
 
-def _occurrences(text: str | None) -> list[dict]:
+def spots(text: str | None) -> list[dict]:
+    """Base spans and, under kind -1, the candidates that touch none, with what stands beside them; by kind, then start."""
     if not text:
         return []
-    base, loose = _scan(text)
+    base = base_spans(text)
+    taken, at, free = sorted(x[1:] for x in base), 0, []
+    for start, end in candidates(text):
+        while at < len(taken) and taken[at][1] <= start:
+            at += 1
+        if at == len(taken) or taken[at][0] >= end:
+            free.append((-1, start, end))
     out = []
-    for known, spans in ((True, base), (False, loose)):
-        for kind, start, end in spans:
-            left, right = text[max(0, start - 40) : start].lower().split(), text[end : end + 40].lower().split()
-            norm = text[start:end].lower() if kind < 2 else _digits(text[start:end])
-            out.append({"kind": kind, "start": start, "end": end, "base": known, "norm": norm, "left": left[-1] if left else "", "right": right[0] if right else ""})
+    for kind, start, end in free + base:
+        norm = _digits(text[start:end]) if kind > 1 else text[start:end].lower()
+        out.append({"kind": kind, "start": start, "end": end, "norm": norm, "left": text[max(0, start - BESIDE) : start], "right": text[end : end + BESIDE]})
     return out
 
 
 def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = pa.array([_occurrences(t) for t in batch.column(1).to_pylist()], type=pa.list_(OCCURRENCE))
+        found = pa.array([spots(t.as_py()) for t in batch.column(1)], type=pa.list_(SPOT))
         yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["doc_id", "found"])
 
 
-def score_graph(edges: DataFrame, totals: DataFrame, rounds: int = 3, min_support: int = 3, prior: float = 2.0) -> tuple[DataFrame, DataFrame]:
-    """Scores of patterns (kind, side, word, conf) and instances (kind, norm, score) after so many rounds.
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
+def grams(ahead: Column, behind: Column) -> Column:
+    """The patterns of a place from its tokens to the left and right: an array of (side, gram)."""
+    left = [F.when(F.size(ahead) >= n, F.struct(F.lit("l").alias("side"), F.array_join(F.slice(ahead, -n, n), " ").alias("gram"))) for n in range(1, LEFT + 1)]
+    right = [F.when(F.size(behind) >= n, F.struct(F.lit("r").alias("side"), F.array_join(F.slice(behind, 1, n), " ").alias("gram"))) for n in range(1, RIGHT + 1)]
+    return F.array_compact(F.array(*left, *right))
+
+
+def seed_patterns(spark: SparkSession) -> DataFrame:
+    """Contexts that are patterns of secrets from the start: (kind, side, gram, conf)."""
+    rows = [(KINDS.index("secret"), "l", f"{w} {sign}", 0.95) for w in SECRET_WORDS for sign in "=:"]
+    return spark.createDataFrame(rows, "kind int, side string, gram string, conf double")
+
 
-    ``edges`` has kind, norm, base, side, word, n (occurrences); ``totals`` has word, total (occurrences in the corpus).
-    conf = sum of n x score over a pattern's instances / (total + prior), for patterns of at least min_support confident
-    instances; score = 1 - product of (1 - conf), and 1 for what a base rule found.
+def occurrences(spots_: DataFrame) -> DataFrame:
+    """Instances and places: (kind, norm, place, patterns, n), one row per instance and surrounding, n times in the corpus."""
+    placed = spots_.select("kind", "norm", grams(tokens(F.col("left")), tokens(F.col("right"))).alias("patterns"))
+    return placed.groupBy("kind", "norm", "patterns").agg(F.count("*").alias("n")).withColumn("place", F.xxhash64("patterns"))
+
+
+def corpus_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """How often each of ``wanted`` (gram) stands in the texts of ``docs``, whatever follows: (gram, total)."""
+    first = materialize(wanted.select(F.substring_index("gram", " ", 1).alias("a")).distinct(), "pii-first")
+    if first.count() <= BROADCAST_TOKENS:
+        first, wanted = F.broadcast(first), F.broadcast(wanted)
+    words = docs.select(tokens(F.col("text")).alias("w"))
+    three = words.select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.size("w")).alias("b"), F.slice("w", 3, F.size("w")).alias("c"))).alias("t")).select("t.*")
+    some = three.join(first, "a", "left_semi")
+    ab = F.when(F.col("b").isNotNull(), F.concat_ws(" ", "a", "b"))
+    abc = F.when(F.col("c").isNotNull(), F.concat_ws(" ", "a", "b", "c"))
+    each = some.select(F.explode(F.array_compact(F.array("a", ab, abc))).alias("gram")).join(wanted.select("gram"), "gram", "left_semi")
+    return each.groupBy("gram").agg(F.count("*").alias("total"))
+
+
+def score_graph(found: DataFrame, totals: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, min_support: int = 3, min_score: float = 0.8, prior: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Scores the graph of ``found`` (see :func:`occurrences`): patterns (kind, side, gram, conf) and, of those that are no base
+    matches, instances (norm, kind, score).
+
+    conf = sum over a pattern's places of n x score of the instance there / (total + prior), for patterns that at least
+    min_support different confident instances stand in; ``seeds`` are patterns whatever their places hold. A place is as sure
+    as 1 - (1 - l)(1 - r), l and r the best of its patterns on each side; an instance scores the mean of its places, for the
+    kind with the largest mean, where places that no pattern knows say nothing. Rounds end when the confident instances stay the same, or after ``rounds``.
     """
-    scores = edges.groupBy("kind", "norm").agg(F.max(F.col("base").cast("double")).alias("score"))
-    seeds = scores
-    patterns = None
+    base = found.where("kind >= 0").select("kind", "norm").distinct().withColumn("score", F.lit(1.0))
+    loose = found.where("kind < 0")
+    spread = loose.select("norm", "place", "n", F.explode("patterns").alias("p")).select("norm", "place", "n", "p.side", "p.gram")
+    scores = materialize(loose.limit(0).select("norm", "kind", F.lit(0.0).alias("score")), "pii-scores")
+    patterns, before = None, None
     for _ in range(rounds):
-        scores = materialize(scores, "pii-scores")
-        patterns = (
-            edges.join(scores, ["kind", "norm"])
-            .groupBy("kind", "side", "word")
-            .agg(F.sum(F.col("n") * F.col("score")).alias("mass"), F.sum((F.col("score") >= 0.5).cast("int")).alias("support"))
-            .where(F.col("support") >= min_support)
-            .join(totals, "word")
-            .select("kind", "side", "word", F.least(F.lit(0.99), F.col("mass") / (F.col("total") + prior)).alias("conf"))
-        )
-        patterns = materialize(patterns, "pii-patterns")
-        found = edges.join(patterns, ["kind", "side", "word"]).groupBy("kind", "norm").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("new"))
-        scores = seeds.join(found, ["kind", "norm"], "left").select("kind", "norm", F.greatest("score", F.coalesce("new", F.lit(0.0))).alias("score"))
-    return patterns, materialize(scores, "pii-scores")
-
-
-def find_pii(docs: DataFrame, rounds: int = 3, min_support: int = 3, min_score: float = 0.8) -> DataFrame:
+        good = scores.where(F.col("score") >= min_score)
+        held = found.where("kind >= 0").select("kind", "norm", "patterns", "n", F.lit(1.0).alias("score"))
+        held = held.unionByName(loose.drop("kind").join(good, "norm").select("kind", "norm", "patterns", "n", "score"))
+        by = held.select("kind", "norm", "n", "score", F.explode("patterns").alias("p")).groupBy("kind", "p.side", "p.gram", "norm").agg(F.sum(F.col("n") * F.col("score")).alias("mass"))
+        learnt = by.groupBy("kind", "side", "gram").agg(F.sum("mass").alias("mass"), F.count("*").alias("support")).where(F.col("support") >= min_support)
+        learnt = learnt.join(totals, "gram").select("kind", "side", "gram", F.least(F.lit(0.99), F.col("mass") / (F.col("total") + prior)).alias("conf"))
+        now = materialize(learnt.unionByName(seeds).groupBy("kind", "side", "gram").agg(F.max("conf").alias("conf")), "pii-patterns")
+        sure = spread.join(now, ["side", "gram"]).groupBy("norm", "place", "n", "kind").agg(*[F.max(F.when(F.col("side") == s, F.col("conf")).otherwise(0.0)).alias(s) for s in "lr"])
+        place = 1 - (1 - F.col("l")) * (1 - F.col("r"))
+        mass = sure.select("norm", "place", "n").distinct().groupBy("norm").agg(F.sum("n").alias("mass"))
+        kinds = sure.groupBy("norm", "kind").agg(F.sum(F.col("n") * place).alias("s"))
+        best = kinds.groupBy("norm").agg(F.max(F.struct("s", (-F.col("kind")).alias("k"))).alias("b"))
+        new = materialize(best.join(mass, "norm").select("norm", (-F.col("b.k")).alias("kind"), (F.col("b.s") / F.col("mass")).alias("score")), "pii-scores")
+        for old in (scores, *([patterns] if patterns is not None else [])):
+            forget(old)
+        scores, patterns = new, now
+        state = scores.where(F.col("score") >= min_score).agg(F.count("*"), F.sum(F.xxhash64("norm", "kind").cast("decimal(38,0)"))).first()
+        if state == before:
+            break
+        before = state
+    return patterns, scores
+
+
+def find_pii(docs: DataFrame, rounds: int = ROUNDS, min_support: int = 3, min_score: float = 0.8) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; others are ignored): doc_id and ``found``, an array of (kind, start, end, base).
 
     Spans are in code points with their end excluded, by kind in the order of KINDS, then start; ``base`` tells base matches
     from those that patterns added, which never overlap a base match. A null text counts as empty; an empty one has no
-    spans; repeated rows fare alike; null doc_ids stay. Texts are read twice (scan, word counts) and never shuffled.
+    spans; repeated rows fare alike; null doc_ids stay. Texts are read twice (scan, corpus counts) and never shuffled. An
+    instance is confirmed by the whole corpus and then marked wherever it stands.
     """
-    seen = docs.select("doc_id", "text").mapInArrow(_scan_batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, found {OCCURRENCE_DDL}")
+    seen = docs.select("doc_id", "text").mapInArrow(_scan_batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, found {SPOT_DDL}")
     seen = materialize(seen.withColumn("row", F.monotonically_increasing_id()), "pii-scan")
-    spots = seen.select("row", F.explode("found").alias("o")).select("row", "o.*")
-    sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("word")), F.struct(F.lit("r").alias("side"), F.col("right").alias("word"))))
-    edges = spots.select("kind", "norm", "base", sides.alias("x")).groupBy("kind", "norm", "base", "x.side", "x.word").agg(F.count("*").alias("n")).where("word <> ''")
-    edges = materialize(edges, "pii-edges")
-    added = F.lit(None).cast(OCCURRENCE_DDL)
-    out = seen
-    if not edges.where(~F.col("base")).isEmpty():  # nothing loose: nothing to confirm
-        # a pattern needs several instances, so only words beside that many are counted in the corpus
-        beside = edges.groupBy("word").agg(F.count_distinct("norm").alias("norms")).where(F.col("norms") >= min_support).select("word")
-        beside = materialize(beside, "pii-beside")
-        if beside.count() <= BROADCAST_WORDS:
-            beside = F.broadcast(beside)
-        words = docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word"))
-        totals = materialize(words.join(beside, "word", "left_semi").groupBy("word").agg(F.count("*").alias("total")), "pii-words")
-        _, scores = score_graph(edges, totals, rounds, min_support)
-        sure = scores.where(F.col("score") >= min_score)
-        new = spots.where(~F.col("base")).join(sure, ["kind", "norm"], "left_semi")
-        new = new.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", "base", "norm", "left", "right")).alias("added"))
+    each = seen.select("row", F.explode("found").alias("o")).select("row", "o.*")
+    found = materialize(occurrences(each), "pii-places")
+    seeds = seed_patterns(docs.sparkSession)
+    out, added = seen, F.lit(None).cast(SPOT_DDL)
+    if not found.where("kind < 0").isEmpty():  # else there is nothing to discover
+        # a pattern needs several instances, so only what stands beside that many is counted in the corpus
+        beside = found.select("norm", F.explode("patterns.gram").alias("gram")).distinct().groupBy("gram").agg(F.count("*").alias("norms"))
+        beside = materialize(beside.where(F.col("norms") >= min_support).select("gram"), "pii-beside")
+        totals = materialize(corpus_counts(docs, beside), "pii-totals")
+        _, scores = score_graph(found, totals, seeds, rounds, min_support, min_score)
+        sure = scores.where(F.col("score") >= min_score).select("norm", F.col("kind").alias("as"))
+        new = each.where("kind < 0").join(sure, "norm").groupBy("row").agg(F.collect_list(F.struct(F.col("as").alias("kind"), "start", "end", "norm", "left", "right")).alias("added"))
         out, added = seen.join(new, "row", "left"), F.col("added")
-    spans = F.concat(F.filter("found", lambda o: o.base), F.coalesce(added, F.array().cast(OCCURRENCE_DDL)))
-    return out.select("doc_id", F.array_sort(F.transform(spans, lambda o: F.struct(o.kind.alias("kind"), o.start.alias("start"), o.end.alias("end"), o.base.alias("base")))).alias("found"))
+
+    def plain(spans: Column, base: bool) -> Column:
+        return F.transform(spans, lambda o: F.struct(o.kind.alias("kind"), o.start.alias("start"), o.end.alias("end"), F.lit(base).alias("base")))
+
+    known = plain(F.filter("found", lambda o: o.kind >= 0), True)
+    return out.select("doc_id", F.array_sort(F.concat(known, plain(F.coalesce(added, F.array().cast(SPOT_DDL)), False))).alias("found"))
+
+
+def of_kind(spans: Column, kind: int) -> Column:
+    """The spans of one kind."""
+    return F.filter(spans, lambda s: s.kind == kind)
 
 
 def span_text(spans: Column) -> Column:
@@ -179,8 +279,21 @@ def span_text(spans: Column) -> Column:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data in every whole text: base matches counted and digested, all spans spelt out."""
+    """Personal data in every whole text: base matches counted and digested, and all spans spelt out.
+
+    ``spans`` has all spans of the four base kinds; secrets, which have no base rule, are counted and spelt out beside them.
+    n_added counts what the patterns discovered, of any kind.
+    """
     found = find_pii(read(spark, sf_dir, "documents").select("doc_id", empty_if_null("text").alias("text")))
-    base = F.filter("found", lambda s: s.base)
-    counts = [F.size(F.filter(base, lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("found")).alias("spans"), (F.size("found") - F.size(base)).cast("long").alias("n_added"))
+    base, secret = F.filter("found", lambda s: s.base), of_kind(F.col("found"), KINDS.index("secret"))
+    counts = [F.size(of_kind(base, k)).cast("long").alias(f"n_{name}") for k, name in enumerate(BASE_KINDS)]
+    named = F.filter("found", lambda s: s.kind < len(BASE_KINDS))
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(span_text(base), 256).alias("base_sha256"),
+        span_text(named).alias("spans"),
+        F.size(secret).cast("long").alias("n_secret"),
+        span_text(secret).alias("secrets"),
+        (F.size("found") - F.size(base)).cast("long").alias("n_added"),
+    )

@@ -1,5 +1,8 @@
+import hashlib
 import re
+from collections import Counter, defaultdict
 
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -7,6 +10,7 @@ from folioflow.llm import pii
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, found string, kind int"
 
 
@@ -53,20 +57,110 @@ def test_documents_against_the_rules(spark):
     assert any(found.values())
 
 
-def test_patterns_confirm_loose_identifiers(spark):
-    rows = [(i, f"words here phone: +1 (555) 555-01{i:02d} extension mail-to: user{i}@host.example.com please", "x", 1) for i in range(30)]
-    rows += [(100, "call phone: 555-555-0199 extension now", "x", 1), (101, "write mail-to: someone@intranet please", "x", 1), (102, "part 555-555-0198 of 100", "x", 1), (103, "nobody@nowhere is here", "x", 1)]
-    rows += [(104, None, "x", 1), (105, "", "x", 1), (None, "phone: +1 (555) 555-0100 extension", "x", 1), (106, "plain", "x", 1), (106, "plain", "x", 1)]
-    found = {}
+def test_query_counts_and_digest_against_the_rules(spark):
+    """Every column of the query over a whole table, the graph's decisions among them."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    known = graph([t for t in docs.values()])
+    rows = pii.op1_pii(spark, SF).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        base = brute(docs[r.doc_id])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == kind for k, _, _ in base) for kind in range(4))
+        said = [f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(said).encode()).hexdigest()
+        added = [(known[s["norm"]], s["start"], s["end"]) for s in pii.spots(docs[r.doc_id]) if s["kind"] < 0 and s["norm"] in known]
+        every = sorted(base + added)
+        assert r.spans == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in every if k < 4)
+        assert r.secrets == ",".join(f"secret:{a}:{b}" for k, a, b in every if k == 4)
+        assert r.n_added == len(added) and r.n_secret == sum(k == 4 for k, _, _ in added)
+    assert sum(r.n_added for r in rows) > 0
+
+
+def words(text):
+    return regex.findall(pii.TOKEN, text.lower())
+
+
+def patterns_of(left, right):
+    a, b = words(left), words(right)
+    return [("l", " ".join(a[-n:])) for n in range(1, pii.LEFT + 1) if len(a) >= n] + [("r", " ".join(b[:n])) for n in range(1, pii.RIGHT + 1) if len(b) >= n]
+
+
+def graph(texts, rounds=pii.ROUNDS, min_support=3, min_score=0.8, prior=1.0):
+    """The pattern-instance graph scored by plain loops: the kind of each confident instance that no base rule finds."""
+    spots = [s for t in texts for s in pii.spots(t)]
+    totals = Counter()
+    for t in texts:
+        w = words(t)
+        totals.update(" ".join(w[i : i + n]) for i in range(len(w)) for n in range(1, max(pii.LEFT, pii.RIGHT) + 1) if i + n <= len(w))
+    seeds = {(4, "l", f"{w} {c}"): 0.95 for w in pii.SECRET_WORDS for c in "=:"}
+    sure = {}
+    for _ in range(rounds):
+        mass, who = defaultdict(float), defaultdict(set)
+        for s in spots:
+            kind, score = (s["kind"], 1.0) if s["kind"] >= 0 else sure.get(s["norm"], (None, 0))
+            if kind is not None:
+                for p in patterns_of(s["left"], s["right"]):
+                    mass[kind, *p] += score
+                    who[kind, *p].add(s["norm"])
+        conf = {p: min(0.99, m / (totals[p[2]] + prior)) for p, m in mass.items() if len(who[p]) >= min_support and totals[p[2]]}
+        conf = {p: max(conf.get(p, 0), seeds.get(p, 0)) for p in conf.keys() | seeds.keys()}
+        got, n = defaultdict(float), Counter()
+        for s in spots:
+            if s["kind"] < 0:
+                places = patterns_of(s["left"], s["right"])
+                n[s["norm"]] += any((kind, *p) in conf for kind in range(5) for p in places)
+                for kind in range(5):
+                    best = {side: max([conf.get((kind, *p), 0) for p in patterns_of(s["left"], s["right"]) if p[0] == side], default=0) for side in "lr"}
+                    got[s["norm"], kind] += 1 - (1 - best["l"]) * (1 - best["r"])
+        new = {}
+        for norm, c in n.items():
+            kind = max(range(5), key=lambda k: (got[norm, k], -k))
+            if c and got[norm, kind] / c >= min_score:
+                new[norm] = (kind, got[norm, kind] / c)
+        if new.keys() == sure.keys():
+            break
+        sure = new
+    return {k: v[0] for k, v in sure.items()}
+
+
+def discovered(spark, rows):
+    out = {}
     for r in pii.find_pii(spark.createDataFrame(rows, SCHEMA)).collect():
-        found.setdefault(r.doc_id, []).append([(s.kind, s.start, s.end, s.base) for s in r.found])
-    assert found[100] == [[(3, 12, 24, False)]] and found[101] == [[(0, 15, 31, False)]]
+        out.setdefault(r.doc_id, []).append([(s.kind, s.start, s.end, s.base) for s in r.found])
+    return out
+
+
+def test_patterns_discover_what_no_rule_knows(spark):
+    rows = [(i, f"words here, reach me at: +1 (555) 555-01{i:02d} extension; mail-to: user{i}@host.example.com please", "x", 1) for i in range(30)]
+    rows += [(100, "call, reach me at: 555-555-0199 extension now", "x", 1), (101, "write mail-to: someone@intranet please", "x", 1), (102, "part 555-555-0198 of 100", "x", 1), (103, "nobody@nowhere is here", "x", 1)]
+    rows += [(104, None, "x", 1), (105, "", "x", 1), (None, "at: +1 (555) 555-0100 extension", "x", 1), (106, "plain", "x", 1), (106, "plain", "x", 1)]
+    rows += [(107, "mail-to: jane (at) host (dot) example please", "x", 1), (108, "reach me at: (555) 0177 extension", "x", 1)]
+    found = discovered(spark, rows)
+    assert found[100] == [[(3, 19, 31, False)]] and found[101] == [[(0, 15, 31, False)]]
     assert found[102] == found[103] == found[104] == found[105] == [[]] and found[106] == [[], []]
-    assert found[None] == [[(3, 7, 24, True)]]
+    assert found[None] == [[(3, 4, 21, True)]]
+    assert found[107] == [[(0, 9, 37, False)]] and found[108] == [[(3, 13, 23, False)]]
+
+
+def test_discovered_instances_teach_further_patterns(spark):
+    rows = [(i, f'api_key = "K{i}x{i * 77}Q" and then', "x", 1) for i in range(12)]
+    rows += [(100 + i, f"vault entry: K{i}x{i * 77}Q stored", "x", 1) for i in range(12)]  # the same secrets elsewhere
+    rows += [(200, "vault entry: Zeta_9 stored", "x", 1), (201, "vault of 1999 other goods", "x", 1)]
+    found = discovered(spark, rows)
+    assert all(found[i] == [[(4, 11, 11 + len(f"K{i}x{i * 77}Q"), False)]] for i in range(12))
+    assert all(len(found[100 + i][0]) == 1 for i in range(12))
+    assert found[200] == [[(4, 13, 19, False)]] and found[201] == [[]]  # a pattern that only the second round has
+    one = {r.doc_id: r.found for r in pii.find_pii(spark.createDataFrame(rows, SCHEMA), rounds=1).collect()}
+    assert one[200] == []
+    known = graph([t for _, t, *_ in rows])
+    assert "zeta_9" in known and "1999" not in known
+
+
+def test_candidates_are_linear_and_apart():
+    assert pii.candidates("a " * 10 + "9" * 300_000) == [] and pii.candidates("(" * 100_000 + "1") == []
+    text = 'x = "a1b2c3"### (555) 555-0100, 12 and __init__ b@c'
+    assert [text[a:b] for a, b in pii.candidates(text)] == ["a1b2c3", "(555) 555-0100", "init", "b@c"]
 
 
-def test_query_shape_and_no_rows(spark):
-    docs = spark.createDataFrame([], SCHEMA)
-    assert pii.find_pii(docs).collect() == []
-    row = pii.op1_pii(spark, "/root/testdata/sf0.001").first()
-    assert {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"} <= set(row.asDict())
+def test_no_rows_and_clashing_columns(spark):
+    assert pii.find_pii(spark.createDataFrame([], SCHEMA)).collect() == []

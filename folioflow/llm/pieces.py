@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +26,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 #: Exponent of the pieces' probabilities: below 1 the samples differ more.
 ALPHA = 0.5
-#: Characters that are searched side by side, and units whose lattices are kept between batches.
-SLICE, KEPT_UNITS = 1 << 19, 150_000
+#: Characters that are searched side by side, and edges of the lattices that are kept from one slice to the next.
+SLICE, KEPT_EDGES = 1 << 17, 1 << 20
 SPACE = "▁"
 #: Stands for a SPACE that a text has itself, which is written as bytes; valid text has no such code point.
 OWN_SPACE = "\ud800"
@@ -56,8 +57,9 @@ class Vocabulary:
         return Vocabulary([m.id_to_piece(i) for i in range(n)], special, byte_ids, np.log(p / p.sum())).built()
 
     @staticmethod
-    def hashed(key: np.ndarray) -> np.ndarray:
-        return ((key.view(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(46)).astype(np.int64)
+    def hashed(key: np.ndarray, size: int) -> np.ndarray:
+        """Where to look for a key first in a table of ``size`` slots, a power of two."""
+        return ((key.view(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(65 - size.bit_length())).astype(np.int64)
 
     def built(self) -> Vocabulary:
         """With the trie: a hash table of keys state * 2**21 + character, the states they lead to, and the piece of each state."""
@@ -70,10 +72,11 @@ class Vocabulary:
                     if s == len(piece):
                         piece.append(-1)
                 piece[s] = i
-        table, leads = np.full(1 << 18, -1, np.int64), np.zeros(1 << 18, np.int64)
+        size = 1 << (4 * len(states)).bit_length()  # under a quarter of the slots are taken, so looking for a free one ends
+        table, leads = np.full(size, -1, np.int64), np.zeros(size, np.int64)
         for (s, c), v in states.items():
             if c >= 0:
-                spot = int(self.hashed(np.array([(s << 21) + c]))[0])
+                spot = int(self.hashed(np.array([(s << 21) + c]), size)[0])
                 while table[spot] >= 0:
                     spot = (spot + 1) & (len(table) - 1)
                 table[spot], leads[spot] = (s << 21) + c, v
@@ -122,7 +125,7 @@ class Lattices:
         found = []  # for each length the places of pieces that long, and the pieces
         while len(at):
             key = (state << 21) + chars[at + len(found)]
-            spot = Vocabulary.hashed(key)
+            spot = Vocabulary.hashed(key, len(table))
             off = np.flatnonzero((table[spot] != key) & (table[spot] >= 0))
             while len(off):  # the slot is another key's: try the next
                 spot[off] = (spot[off] + 1) & (len(table) - 1)
@@ -202,7 +205,7 @@ class Lattices:
         self.places, self.edges, self.n_ids = self.places + len(chars), self.edges + len(place), self.n_ids + len(flat)
 
     def of(self, units: list[str]) -> np.ndarray:
-        if len(self.index) > KEPT_UNITS:
+        if self.edges > KEPT_EDGES:
             self.clear()
         get = self.index.get
         found = np.array([get(u, -1) for u in units], np.int64)
@@ -382,38 +385,46 @@ def sample_texts(lattices: Lattices, texts: list[str], keys: np.ndarray, samples
     return {k: np.concatenate(v) for k, v in out.items()}
 
 
-def encode_samples(docs: DataFrame, samples: int = SAMPLES, alpha: float = ALPHA, model: str = MODEL, seed: int = 11) -> DataFrame:
+def encode_samples(docs: DataFrame, samples: int = SAMPLES, alpha: float = ALPHA, model: str = MODEL, seed: int = 11, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Rows (doc_id, sample, ids, n_ids, log_p, inclusion): up to ``samples`` distinct segmentations of every row of ``docs``.
 
-    Only doc_id and text are read. A piece's probability follows Zipf's law over the vocabulary's order, to the power alpha;
+    Only text and the columns of ``key`` are read, which stand in the result in the place of doc_id. A piece's probability follows Zipf's law over the vocabulary's order, to the power alpha;
     log_p is a segmentation's log-probability among all of its text, and inclusion = 1 - exp(-exp(log_p - k)) the probability
     with which it is among the samples given k, the perturbed value of the best segmentation that is not (1 where all are).
     Sample 0 is a plain draw. Characters that are no piece are written as their bytes, so :func:`decode_ids` gives the text
-    back. A null text counts as empty; an empty text has one segmentation, of no ids. The seed of a row is its doc_id, so rows
-    that agree in doc_id and text get the same samples. Texts of any length are searched whole.
+    back. A null text counts as empty; an empty text has one segmentation, of no ids. The seed of a row is its key, so rows
+    that agree in key and text get the same samples. Texts of any length are searched whole; short ones some at a time, so that
+    a task's memory goes with SLICE, KEPT_EDGES and its longest text.
     """
     vocabulary = Vocabulary.load(model)
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(vocabulary, alpha)
         for batch in batches:
-            texts, keys = batch.column("text").to_pylist(), batch.column("key").to_numpy().view(_U)
+            column, keys = batch.column("text"), batch.column("key").to_numpy().view(_U)
+            ends = np.cumsum(pc.utf8_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
             at = 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= SLICE):
-                    size += len(texts[to])
-                    to += 1
-                got = sample_texts(lattices, texts[at:to], keys[at:to], samples)
+            while at < len(column):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")))
+                got = sample_texts(lattices, column.slice(at, to - at).to_pylist(), keys[at:to], samples)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], got["n"].cumsum()]), pa.int32()), pa.array(got["ids"], pa.int32()))
-                doc = batch.column("doc_id").take(pa.array(at + got["doc"]))
-                columns = [doc, pa.array(got["sample"], pa.int32()), ids, pa.array(got["n"], pa.int64()), pa.array(got["log_p"]), pa.array(got["inclusion"])]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sample", "ids", "n_ids", "log_p", "inclusion"])
+                row = pa.array(at + got["doc"])
+                columns = [*(batch.column(k).take(row) for k in key), pa.array(got["sample"], pa.int32()), ids, pa.array(got["n"], pa.int64()), pa.array(got["log_p"]), pa.array(got["inclusion"])]
+                yield pa.RecordBatch.from_arrays(columns, names=[*key, "sample", "ids", "n_ids", "log_p", "inclusion"])
                 at = to
 
-    keyed = docs.select("doc_id", empty_if_null("text").alias("text"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")).alias("key"))
-    return keyed.mapInArrow(run, f"doc_id {kind}, sample int, ids array<int>, n_ids long, log_p double, inclusion double")
+    keyed = docs.select(*key, empty_if_null("text").alias("text"), F.xxhash64(F.lit(seed), *[F.col(k).cast("string") for k in key]).alias("key"))
+    kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in key)
+    return keyed.mapInArrow(run, f"{kinds}, sample int, ids array<int>, n_ids long, log_p double, inclusion double")
+
+
+def encode_repeated(docs: DataFrame, samples: int = SAMPLES, **options) -> DataFrame:
+    """Like :func:`encode_samples` for ``docs`` that repeat rows: adds ``repetition`` (from 0) of a doc_id and text, each with draws of its own.
+
+    Repetitions are counted before the shuffle, so a row that is repeated often is sent once a task.
+    """
+    times = docs.groupBy("doc_id", empty_if_null("text").alias("text")).agg(F.count("*").cast("int").alias("n"))
+    return encode_samples(times.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("repetition")), samples, key=("doc_id", "repetition"), **options)
 
 
 def decode_ids(rows: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:

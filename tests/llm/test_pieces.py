@@ -100,7 +100,7 @@ def test_samples_do_not_hang_on_the_batch(monkeypatch):
     whole = sample(texts, 2)
     for i, t in enumerate(texts):
         assert sample([t], 2, [i])[0] == whole[i]
-    monkeypatch.setattr(p, "KEPT_UNITS", 2)
+    monkeypatch.setattr(p, "KEPT_EDGES", 20)
     assert sample(texts, 2) == whole
 
 
@@ -114,3 +114,13 @@ def test_rows_nulls_ties_and_extra_columns(spark):
     assert [r.text for r in back if r.doc_id is None] == ["null id"] * 2
     assert p.encode_samples(docs.limit(0)).collect() == []
     assert sorted(map(str, out.collect())) == sorted(map(str, p.encode_samples(docs).collect()))
+
+
+def test_repetitions_have_draws_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "some words that can be cut in many ways"), (1, "some words that can be cut in many ways"), (2, "once"), (None, None), (None, None)], "doc_id long, text string")
+    got = p.encode_repeated(docs, samples=2).collect()
+    ids = {(r.doc_id, r.repetition, r.sample): tuple(r.ids) for r in got}
+    assert len(ids) == len(got) and {k[:2] for k in ids} == {(1, 0), (1, 1), (2, 0), (None, 0), (None, 1)}
+    assert ids[1, 0, 0] != ids[1, 1, 0] and ids[1, 0, 0] != ids[1, 0, 1]
+    assert {r.text for r in p.decode_ids(p.encode_repeated(docs)).where("doc_id = 1").collect()} == {docs.first().text}
+    assert p.encode_repeated(docs.limit(0)).collect() == []

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +19,12 @@ from folioflow.llm.common import empty_if_null, materialize, read
 #: Labelled rows that voters are induced from, and documents that the classifier is fitted to, at most.
 LABELLED, FITTED = 20_000, 16_384
 THRESHOLD = 0.3
+#: P(toxic) of a document whose label says so.
+SURE = 0.98
 #: Shortest and longest beginning of a word that a pattern voter looks for.
 SHORT, LONG = 4, 7
+#: Weight of a labelled row that has no near copy; divisible by every small number, so that shares of it are whole.
+UNIT = 720_720
 
 # A seed lexicon of common English insults; each word is a voter.
 LEXICON = ("clown", "disgusting", "dumb", "fool", "freak", "garbage", "hate", "idiot", "jerk", "loser", "moron", "pathetic", "pig", "scum", "stupid", "trash", "ugly", "vermin", "worthless")
@@ -37,25 +40,40 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def _family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the least hash of a text's word triples: near copies mostly share it, other texts hardly ever."""
+def family(text: str) -> int:
+    """The least 64-bit hash of a text's word triples: near copies mostly share it, other texts do not."""
+    words = text.split()
+    triples = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+    return min(int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big", signed=True) for t in triples)
+
+
+def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for text in batch.column("text").to_pylist():
-            words = text.split()
-            out.append(min((zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))), default=0))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=["text", "toxic", "family"])
+        found = pa.array([family(t) for t in batch.column("text").to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns, found], names=["text", "toxic", "family"])
+
+
+def weighed(taught: DataFrame) -> DataFrame:
+    """Labelled rows (text, toxic) with ``weight``: UNIT shared among the rows of a family and label, at least 1 each.
+
+    Copies and near copies of a text so count once together, or chance words of a large family would pass for signs; every row keeps its say.
+    """
+    rows = taught.mapInArrow(_families, "text string, toxic int, family long")
+    sizes = rows.groupBy("family", "toxic").agg(F.count("*").alias("size"))
+    return rows.join(sizes, ["family", "toxic"]).select("text", "toxic", F.greatest(F.lit(1), F.floor(F.lit(UNIT) / F.col("size"))).cast("long").alias("weight"))
 
 
 def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen = (Counter(), Counter())
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+        for text, toxic, weight in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "weight")), strict=True):
             stems = set()
             for w in set(words_of(text)):
                 stems.add(w + "$")  # the whole word
                 stems.update(w[:n] for n in range(SHORT, min(LONG, len(w)) + 1))
-            seen[toxic].update(stems)
+            count = seen[toxic]
+            for stem in stems:
+                count[stem] += weight
         names = list(seen[0].keys() | seen[1].keys())
         columns = [pa.array(names, pa.string()), pa.array([seen[1][x] for x in names], pa.int64()), pa.array([seen[0][x] for x in names], pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, names=["stem", "bad", "good"])
@@ -75,25 +93,25 @@ class Voters:
 
 
 def induce(labelled: DataFrame) -> Voters:
-    """Chooses voters from rows of text and toxic.
+    """Chooses voters from rows of text, toxic and weight (in UNITs).
 
     A stem is a word or a word's beginning. It votes if toxic rows carry it so much more often than their share that, over
     all stems seen, chance brings one about with 0.05 at most, whatever the number of rows; of nested ones the shortest that is nearly as pure stays.
     However many pass, all vote, and the words of the seed lexicon that none of them covers vote beside them. Other stems
     that toxic rows carry over four times as often as their share are features. Stems are weighed in Spark.
     """
-    bad_rows, rows = labelled.agg(F.sum("toxic"), F.count("*")).first()
+    bad_rows, rows = labelled.agg(F.sum(F.col("toxic") * F.col("weight")) / UNIT, F.sum("weight") / UNIT).first()
     if not bad_rows or bad_rows == rows:
         return Voters([w + "$" for w in LEXICON], [], 0.05, np.full(len(LEXICON), 0.1), np.full(len(LEXICON), 0.001), 0)
     share = bad_rows / rows
-    counts = labelled.mapInArrow(_count_stems, "stem string, bad long, good long").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = labelled.mapInArrow(_count_stems, "stem string, bad long, good long").groupBy("stem").agg((F.sum("bad") / UNIT).alias("bad"), (F.sum("good") / UNIT).alias("good"))
     seeds = [w + "$" for w in LEXICON]
     counts = materialize(counts.where((F.col("bad") >= 3) | F.col("stem").isin(seeds)), "stem-counts")
     weighed = counts.where("bad >= 3")
     n_stems = max(1, weighed.count())
     p, n = F.col("p"), F.col("bad") + F.col("good")
     # Chernoff bound of the binomial tail
-    tail = n * (p * F.log(p / share) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0))
+    tail = n * (p * F.log(p / share) + F.when(p < 1 - 1e-9, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0))
     scored = weighed.withColumn("p", F.col("bad") / n).where(p > min(0.9, 4 * share)).withColumn("surplus", tail - math.log(n_stems))
     scored = materialize(scored.withColumn("votes", (F.col("surplus") > math.log(20)) & (p >= 0.85)), "stem-scores")
     body = F.rtrim(F.col("stem"), F.lit("$"))
@@ -135,8 +153,9 @@ def _match(stems: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = [hits_of(text, index, lengths) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(hits, pa.list_(pa.int32()))], names=["doc_id", "h", "hits"])
+            hits = [hits_of(text.as_py(), index, lengths) for text in batch.column("text")]
+            kept = ["h", "doc_id", "row"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(hits, pa.list_(pa.int32()))], names=[*kept, "hits"])
 
     return run
 
@@ -235,58 +254,50 @@ class Classifier:
     def of_hits(self, hits: Column) -> Column:
         return linear(hits, self.bias, self.weights)
 
-    def of_text(self, text: Column) -> Column:
-        """The score as a column beside any others; null texts count as empty."""
-        index, lengths = _index(self.stems)
-        bias, weights = self.bias, self.weights
-
-        @F.pandas_udf("double")
-        def score(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: 1 / (1 + math.exp(-(bias + float(weights[hits_of(t, index, lengths)].sum())))))
-
-        return score(F.coalesce(text, F.lit("")))
-
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, fitted: int = FITTED) -> tuple[Classifier, DataFrame]:
-    """The classifier, and what it saw of each row of ``docs``: doc_id and hits (numbers of stems)."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str], labelled: int = LABELLED, fitted: int = FITTED) -> tuple[Classifier, DataFrame]:
+    """The classifier, and what it saw of each row of ``docs``: row (its columns ``keep``) and hits (numbers of stems)."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    texts = docs.select("doc_id", empty_if_null("text").alias("text"))
-    # copies and near copies of a text count once, or chance words of a large family would pass for signs
-    taught = texts.join(F.broadcast(known), "doc_id").select("text", "toxic").mapInArrow(_family, "text string, toxic int, family long")
-    taught = taught.groupBy("family").agg(F.max(F.struct("toxic", "text")).alias("r")).select("r.text", "r.toxic")
-    chosen = induce(materialize(taught, "tox-taught"))
+    known = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled), "tox-known")
+    texts = docs.select("doc_id", empty_if_null("text").alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
+    taught = texts.join(F.broadcast(known), "doc_id").select("text", "toxic")
+    chosen = induce(materialize(weighed(taught), "tox-taught"))
     stems, n_voters = chosen.voters + chosen.extra, len(chosen.voters)
-    hashed = texts.withColumn("h", F.xxhash64("text"))
-    seen = hashed.mapInArrow(_match(stems), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, hits array<int>")
+    hashed = texts.select("text", F.xxhash64("text").alias("h"), "doc_id", "row")
+    seen = hashed.mapInArrow(_match(stems), f"h long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, row {texts.schema['row'].dataType.simpleString()}, hits array<int>")
     seen = materialize(seen, "tox-hits")
     cast = F.filter("hits", lambda i: i < n_voters)
     votes = seen.groupBy("h", cast.alias("votes")).count().groupBy("votes").agg(F.count("*").alias("n"))
     model = label_model(materialize(votes, "tox-votes"), chosen)
-    sample = seen.withColumn("p", model.posterior(cast)).orderBy(F.xxhash64("hits", "doc_id"), "doc_id").limit(fitted).select("hits", "p").collect()
+    order = (F.xxhash64("hits", "doc_id"), "doc_id")
+    sample = seen.withColumn("p", model.posterior(cast)).orderBy(*order).limit(fitted).select("hits", "p").collect()
+    # a label is a voter that is nearly always right, where there is one
+    said = seen.join(F.broadcast(known), "doc_id").withColumn("p", F.when(F.col("toxic") == 1, SURE).otherwise(1 - SURE))
+    sample += said.orderBy(*order).limit(labelled).select("hits", "p").collect()
     if sample:
         bias, weights = fit_linear([r.hits for r in sample], np.array([r.p for r in sample]), len(stems))
     else:
         bias, weights = model.bias, np.append(model.weights, np.zeros(len(chosen.extra)))
-    return Classifier(stems, bias, weights), seen.select("doc_id", "hits")
+    return Classifier(stems, bias, weights), seen.select("row", "hits")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, fitted: int = FITTED) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; others are ignored): doc_id, held_out, score (0 to 1), predicted (score >= 0.3).
 
-    ``labels`` (doc_id, toxic) teach only which stems may vote, from at most ``labelled`` rows that are not held out, drawn by
-    hash; a row labelled twice counts as toxic if one label says so. Votes of all documents fit the label model, and
-    at most ``fitted`` documents, drawn by hash, the classifier. Null texts count as empty: they have no votes and get the
-    score of a text without hits. Scores depend on the text alone. Without labels the seed lexicon votes alone.
+    ``labels`` (doc_id, toxic) teach which stems may vote and are voters themselves, from at most ``labelled`` rows that are
+    not held out, drawn by hash; a row labelled twice counts as toxic if one label says so. Votes of all documents fit the label
+    model; the classifier is fitted to at most ``fitted`` documents and ``labelled`` labelled ones, drawn by hash. Null texts
+    count as empty: they have no votes and get the score of a text without hits. Scores depend on the text alone. Without
+    labels the seed lexicon votes alone.
     """
-    model, seen = fit_toxicity(docs, labels, labelled, fitted)
-    return seen.select("doc_id", held_out().alias("held_out"), model.of_hits(F.col("hits")).alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    model, seen = fit_toxicity(docs, labels, ["doc_id"], labelled, fitted)
+    return seen.select("row.doc_id", held_out("row.doc_id").alias("held_out"), model.of_hits(F.col("hits")).alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs``, all columns, without the rows that the classifier takes for toxic."""
-    model, _ = fit_toxicity(docs, labels)
-    return docs.where(model.of_text(F.col("text")) < THRESHOLD)
+    model, seen = fit_toxicity(docs, labels, docs.columns)
+    return seen.where(model.of_hits(F.col("hits")) < THRESHOLD).select("row.*")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def test_every_stem_that_passes_the_chance_test_votes(spark):
     # 250 stems that are no voters, as clean rows carry them too, but features
     rows += [(f"kalo miter {w} vosil", int(j < 3)) for i in range(250) for w in [f"ü{chr(97 + i // 26)}{chr(97 + i % 26)}"] for j in range(5)]
     rows += [("kalo miter sendu vosil", 0)] * 25_000
-    chosen = tx.induce(spark.createDataFrame(rows, "text string, toxic int"))
+    chosen = tx.induce(spark.createDataFrame([(*r, tx.UNIT) for r in rows], "text string, toxic int, weight long"))
     assert {w[:4] for w in common + rare} <= set(chosen.voters)
     assert {w + "$" for w in tx.LEXICON} <= set(chosen.voters) and len(set(chosen.voters)) == len(chosen.voters) == len(chosen.toxic) == len(chosen.clean)
     assert len(chosen.extra) >= 250 and not set(chosen.extra) & set(chosen.voters)
@@ -87,6 +87,42 @@ def test_texts_of_the_rarest_language_are_found(spark):
     assert sum(r.predicted for i, r in got.items() if said[i] is None) < 20
 
 
+def test_families_weigh_and_no_row_is_dropped(spark):
+    rows = [(f"one two three four copy", 1)] * 5 + [("one two three four copy", 0), ("quite another text here", 1)]
+    got = tx.weighed(spark.createDataFrame(rows, "text string, toxic int")).collect()
+    assert sorted((r.toxic, r.weight) for r in got) == [(0, tx.UNIT)] + [(1, tx.UNIT // 5)] * 5 + [(1, tx.UNIT)]
+    # texts whose 32-bit hashes would meet by chance keep families of their own
+    texts = [f"{i:x} text number {i}" for i in range(150_000)]
+    assert len({tx.family(t) for t in texts}) == len(texts)
+
+
+def naive_posterior(votes, share, toxic, clean):
+    if not votes:
+        return 0.02 * share
+    a, b = share, 1 - share
+    for j in votes:
+        a, b = a * toxic[j], b * clean[j]
+    return a / (a + b)
+
+
+def test_label_model_against_plain_expectation_maximisation(spark):
+    rng = np.random.default_rng(8)
+    rows = [([j for j in range(5) if rng.random() < (0.4 if i % 9 == 0 else 0.03)], int(rng.integers(1, 4))) for i in range(600)]
+    known = tx.Voters(list("abcde"), [], 0.12, np.full(5, 0.3), np.full(5, 0.02), 40)
+    model = tx.label_model(spark.createDataFrame(rows, "votes array<int>, n long"), known, rounds=3)
+    toxic, clean = known.toxic.copy(), known.clean.copy()
+    for _ in range(3):
+        post = [naive_posterior(v, 0.12, toxic, clean) for v, _ in rows]
+        p, n = sum(q * w for q, (_, w) in zip(post, rows, strict=True)), sum(w for _, w in rows)
+        for j in range(5):
+            pj = sum(q * w for q, (v, w) in zip(post, rows, strict=True) if j in v)
+            nj = sum(w for v, w in rows if j in v)
+            new_t = (pj + (5 + 40 * 0.12) * known.toxic[j]) / (p + 5 + 40 * 0.12)
+            new_c = (nj - pj + (5 + 40 * 0.88) * known.clean[j]) / (n - p + 5 + 40 * 0.88)
+            toxic[j], clean[j] = min(0.99, new_t), min(0.5, new_c)
+    assert np.allclose(model.toxic, toxic, atol=1e-6) and np.allclose(model.clean, clean, atol=1e-6)
+
+
 def test_label_model_finds_accuracies_and_correlations(spark):
     rng = np.random.default_rng(3)
     y = rng.random(20000) < 0.1

@@ -8,7 +8,7 @@ from folioflow.llm.common import materialize, read
 from folioflow.llm.exact_dedup import drop_copies
 from folioflow.llm.mixing import mixed
 from folioflow.llm.ngram_join import drop_near_copies
-from folioflow.llm.pieces import encode_samples
+from folioflow.llm.pieces import encode_repeated
 from folioflow.llm.toxicity import drop_toxic
 
 
@@ -33,8 +33,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of each document."""
-    return encode_samples(docs)
+    """Sampled segmentations of each document; each repetition of a document has draws of its own."""
+    return encode_repeated(docs)
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("ngram_join", ngram_join), ("mix_sources", mix_sources), ("sentencepiece", sentencepiece)]

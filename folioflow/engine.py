@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +20,17 @@ OLD, NEW = "pdf17", registry.DEFAULT_SPEC
 
 
 class Engine:
-    """Operations over canonical tables (see sources.canonical). Results are dicts whose lists come from bounded queries of one document."""
+    """Operations over canonical tables (see sources.canonical). Results are dicts whose lists come from bounded queries of one document.
+
+    The sections and the search index of a document are built from its own files when first asked for, and kept for the
+    HELD documents that were asked for last.
+    """
+
+    HELD = 8
 
     def __init__(self, spark: SparkSession, data: dict[str, DataFrame], default_spec: str = registry.DEFAULT_SPEC, old_spec: str = OLD, new_spec: str = NEW) -> None:
         self.spark, self.data, self.default, self.old, self.new = spark, data, default_spec, old_spec, new_spec
-        self.sections = outline.sections(data["outline_entries"], data["doc_stats"]).persist()
-        self.pages = outline.page_sections(search.page_text(data["text_items"]), self.sections).persist()
+        self.held: dict[tuple[str, str | None], DataFrame] = {}
         self.operations = {name: getattr(self, name) for name in ("list_specs", "get_structure", "get_section", "search_spec", "get_requirements", "get_definitions", "get_tables", "compare_versions")}
 
     @classmethod
@@ -32,14 +38,41 @@ class Engine:
         return cls(spark, canonical.read(spark, folder), **options)
 
     def close(self) -> None:
-        self.sections.unpersist()
-        self.pages.unpersist()
+        for df in self.held.values():
+            df.unpersist()
+        self.held.clear()
 
     def register_views(self) -> None:
-        """The tables as views for SQL."""
-        for name, df in {**self.data, "sections": self.sections, "page_text": self.pages}.items():
+        """The tables as views for SQL, with the sections and page texts of all documents; nothing is built before it is asked for."""
+        whole = {"sections": self._sections_of(None), "page_text": self._pages_of(None)}
+        for name, df in {**self.data, **whole}.items():
             df.createOrReplaceTempView(name)
 
+    def _table(self, name: str, spec: str | None) -> DataFrame:
+        """A table, or a document's part of it."""
+        return self.data[name] if spec is None else self._of(self.data[name], spec)
+
+    def _sections_of(self, spec: str | None) -> DataFrame:
+        return outline.sections(self._table("outline_entries", spec), self._table("doc_stats", spec))
+
+    def _pages_of(self, spec: str | None) -> DataFrame:
+        return search.index(outline.page_sections(search.page_text(self._table("text_items", spec)), self.sections(spec) if spec else self._sections_of(None)))
+
+    def _keep(self, what: str, spec: str | None, build: Callable[[str | None], DataFrame]) -> DataFrame:
+        found = self.held.pop((what, spec), None)
+        self.held[what, spec] = found if found is not None else build(spec).persist()
+        while len(self.held) > 2 * self.HELD:
+            self.held.pop(next(iter(self.held))).unpersist()
+        return self.held[what, spec]
+
+    def sections(self, spec: str) -> DataFrame:
+        """The sections of a document."""
+        return self._keep("sections", spec, self._sections_of)
+
+    def pages(self, spec: str | None) -> DataFrame:
+        """The search index of a document, or of all."""
+        return self._keep("pages", spec, self._pages_of)
+
     def call(self, name: str, arguments: dict[str, Any] | None = None) -> str:
         """An operation by name, as JSON; failures are {error, code}."""
         try:
@@ -51,7 +84,7 @@ class Engine:
         return json.dumps(out, ensure_ascii=False, indent=2)
 
     def _specs(self) -> DataFrame:
-        keys = outline.counts(self.sections).select("spec_id", F.col("outline_entries").cast("int"))
+        keys = outline.counts(self._sections_of(None)).select("spec_id", F.col("outline_entries").cast("int"))
         return registry.enrich(self.data["specs"], self.data["doc_stats"].withColumnRenamed("total_pages", "pages").join(keys, "spec_id", "left"))
 
     def _spec(self, spec: Any) -> str:
@@ -73,7 +106,7 @@ class Engine:
         return content.section_content(content.page_elements(nodes, items), secs)
 
     def _find(self, spec: str, section: str) -> Any:
-        secs = self._of(self.sections, spec)
+        secs = self.sections(spec)
         asked = self.spark.createDataFrame([(spec, section)], "spec_id string, query string")
         row = outline.find_sections(secs, asked).first()
         if row is None or row.section is None:
@@ -97,14 +130,14 @@ class Engine:
             (top if r.parent_id is None else made[r.parent_id]["children"]).append(made[r.entry_id])
         info = self._of(self.data["specs"], spec).first()
         stats = self._of(self.data["doc_stats"], spec).first()
-        return {"title": info.title, "totalPages": stats.total_pages if stats else None, "totalSections": self._of(self.sections, spec).count(), "sections": top}
+        return {"title": info.title, "totalPages": stats.total_pages if stats else None, "totalSections": self.sections(spec).count(), "sections": top}
 
     def get_section(self, section: Any, spec: Any = None) -> dict:
         check.spec(spec)
         section = check.section(section)
         spec = self._spec(spec)
         s = self._find(spec, section)
-        rows = self._content(spec, self._of(self.sections, spec).where(F.col("ord") == s.ord)).orderBy("elem_ord").collect()
+        rows = self._content(spec, self.sections(spec).where(F.col("ord") == s.ord)).orderBy("elem_ord").collect()
         keep = ("type", "level", "text", "label", "items", "headers", "rows")
         elements = [{k: r[k] for k in keep if r[k] is not None} for r in rows]
         return {"sectionNumber": s.section, "title": s.title, "pageRange": {"start": s.page, "end": s.end_page}, "content": elements}
@@ -113,21 +146,21 @@ class Engine:
         check.spec(spec)
         query, most = check.query(query), check.max_results(max_results)
         spec = self._spec(spec)
-        hits = search.with_titles(search.search(self._of(self.pages, spec), query, most), self._of(self.sections, spec))
+        hits = search.with_titles(search.search(self.pages(spec), query, most), self.sections(spec))
         rows = [{k: r[k] for k in ("section", "title", "page", "snippet", "score")} for r in hits.orderBy(F.desc("score"), "page").collect()]
         return {"query": query, "totalResults": len(rows), "results": rows}
 
     def search_all(self, query: Any, max_results: Any = None) -> dict:
         """The search over all documents at once."""
         query, most = check.query(query), check.max_results(max_results)
-        rows = [r.asDict() for r in search.search(self.pages, query, most, per_spec=False).collect()]
+        rows = [r.asDict() for r in search.search(self.pages(None), query, most, per_spec=False).collect()]
         return {"query": query, "totalResults": len(rows), "results": rows}
 
     def get_requirements(self, section: Any = None, level: Any = None, spec: Any = None) -> dict:
         check.spec(spec)
         section, level = check.optional_section(section), check.level(level)
         spec = self._spec(spec)
-        secs = self._of(self.sections, spec)
+        secs = self.sections(spec)
         if section:
             secs = outline.subtree(secs, section)
             if secs.isEmpty():
@@ -149,7 +182,7 @@ class Engine:
         if spec not in DEFINED:
             raise ContentError(f'get_definitions is only supported for {", ".join(DEFINED)}. For "{spec}", use get_section with section "3" instead.')
         s = self._find(spec, "3")
-        found = definitions.extract(self._content(spec, self._of(self.sections, spec).where(F.col("ord") == s.ord)))
+        found = definitions.extract(self._content(spec, self.sections(spec).where(F.col("ord") == s.ord)))
         rows = [{k: v for k, v in r.asDict().items() if k not in ("spec_id", "number") and v is not None} for r in definitions.matching(found, term).orderBy("number").collect()]
         return {"totalDefinitions": len(rows), "searchTerm": term, "definitions": rows}
 
@@ -158,7 +191,7 @@ class Engine:
         section, index = check.section(section), check.table_index(table_index)
         spec = self._spec(spec)
         s = self._find(spec, section)
-        found = tables.section_tables(self._content(spec, self._of(self.sections, spec).where(F.col("ord") == s.ord)))
+        found = tables.section_tables(self._content(spec, self.sections(spec).where(F.col("ord") == s.ord)))
         rows = [{k: r[k] for k in ("index", "caption", "headers", "rows")} for r in found.orderBy("index").collect()]
         if index is not None:
             if index >= len(rows):
@@ -172,7 +205,7 @@ class Engine:
             if spec not in known:
                 raise PrerequisiteError(f'compare_versions requires "{spec}"')
         section = check.optional_section(section)
-        rows = compare.compare(self.sections, self.old, self.new)
+        rows = compare.compare(self.sections(self.old).unionByName(self.sections(self.new)) if self.old != self.new else self.sections(self.old), self.old, self.new)
         rows = compare.within(rows, section) if section else rows
         out: dict[str, list] = {"matched": [], "added": [], "removed": []}
         for r in rows.orderBy("ord").collect():

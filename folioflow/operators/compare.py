@@ -32,7 +32,8 @@ def compare(secs: DataFrame, old_spec: str, new_spec: str) -> DataFrame:
     by_context = titled.groupBy("norm", "context").agg(F.min_by(F.struct("section", "title"), "ord").alias("first"))
     asked = old.join(by_title, "norm", "left").join(by_context, ["norm", "context"], "left")
     asked = asked.withColumn("to", F.when(F.col("n") == 1, F.col("only")).when(F.col("n") > 1, F.col("first")))
-    turn = F.row_number().over(Window.partitionBy("to.section").orderBy("ord"))
+    # who has nothing to ask for takes no turn: each such row is a partition of its own
+    turn = F.row_number().over(Window.partitionBy("to.section", F.when(F.col("to").isNull(), F.col("ord"))).orderBy("ord"))
     got = asked.withColumn("got", F.col("to").isNotNull() & (turn == 1))
     no = F.lit(None).cast("string")
     matched = got.where("got").select(F.lit("matched").alias("kind"), F.col("section").alias("old_section"), F.col("to.section").alias("new_section"), F.col("to.title").alias("title"), F.when(F.col("section") == F.col("to.section"), "same").otherwise("moved").alias("status"), "ord")

@@ -7,15 +7,15 @@ belongs to; what follows groups leaves by block, item or cell.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as tx
+from folioflow.operators.recursion import recursive
 
 MAX_LEVELS = 64
 PAGE = ["spec_id", "page"]
+AT = [*PAGE, "block_path", "block_role"]
 CONTENT = ["spec_id", "page", "elem_ord", "type", "level", "text", "label", "items", "headers", "rows"]
 # Roles that make a block of their own, and how a paragraph says that it is a note.
 BLOCKS = "role RLIKE '^H[1-6]?\\\\z' OR role IN ('P', 'L', 'Table', 'Code')"
@@ -44,27 +44,50 @@ def marked_text(items: DataFrame) -> DataFrame:
 
 def _walk(nodes: DataFrame) -> DataFrame:
     """Nodes that count, with path, roles and sub-paths on the way down, and the path and role of their block. Artifacts are left out with all below."""
-    spark = nodes.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    name = f"nodes_{uuid.uuid4().hex}"
-    nodes.where("role IS NULL OR role <> 'Artifact'").createOrReplaceTempView(name)
-    block = f"CASE WHEN {BLOCKS} THEN true ELSE false END"
-    return spark.sql(f"""
+    block = f"CASE WHEN {BLOCKS} THEN true ELSE false END".replace("role", "c.role")
+    return recursive(
+        nodes.where("role IS NULL OR role <> 'Artifact'"),
+        f"""
         WITH RECURSIVE walk (spec_id, page, node_id, role, content_id, path, roles, block_path, block_role) MAX RECURSION LEVEL {MAX_LEVELS} AS (
           SELECT spec_id, page, node_id, role, content_id, array(sib_ord), array(coalesce(role, '')), CAST(NULL AS ARRAY<INT>), CAST(NULL AS STRING)
-          FROM {name} WHERE parent_id IS NULL
+          FROM {{rows}} WHERE parent_id IS NULL
           UNION ALL
           SELECT c.spec_id, c.page, c.node_id, c.role, c.content_id, array_append(w.path, c.sib_ord), array_append(w.roles, coalesce(c.role, '')),
-            coalesce(w.block_path, CASE WHEN {block.replace("role", "c.role")} THEN array_append(w.path, c.sib_ord) END),
-            coalesce(w.block_role, CASE WHEN {block.replace("role", "c.role")} THEN c.role END)
-          FROM walk w JOIN {name} c ON c.spec_id = w.spec_id AND c.page = w.page AND c.parent_id = w.node_id)
-        SELECT *, slice(roles, size(block_path) + 1, 64) AS below, slice(path, size(block_path) + 1, 64) AS sub FROM walk WHERE block_path IS NOT NULL""")
+            coalesce(w.block_path, CASE WHEN {block} THEN array_append(w.path, c.sib_ord) END),
+            coalesce(w.block_role, CASE WHEN {block} THEN c.role END)
+          FROM walk w JOIN {{rows}} c ON c.spec_id = w.spec_id AND c.page = w.page AND c.parent_id = w.node_id)
+        SELECT *, slice(roles, size(block_path) + 1, 64) AS below, slice(path, size(block_path) + 1, 64) AS sub FROM walk WHERE block_path IS NOT NULL""",
+    )
+
 
+def _pieces(nodes: DataFrame, items: DataFrame) -> DataFrame:
+    """What blocks are made of (page, block, tr, td, is_cell, is_row, in_head, all_th, text), from one walk of the nodes.
 
-def _join_text(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The texts of leaves put together by ``keys`` in path order."""
-    parts = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("path", "text"))).alias("p"))
-    return parts.select(*keys, tx.trim(F.array_join("p.text", "")).alias("text"))
+    A list's piece is an item, with its place as tr; a table's is a cell, or a row's mark, with td null; another block's is the
+    whole. Texts of leaves are put together in path order.
+    """
+    table, list_ = F.col("block_role") == "Table", F.col("block_role") == "L"
+    below, sub = (lambda i: F.get("below", F.lit(i))), (lambda i: F.get("sub", F.lit(i)))
+    depth = F.when(table & (below(0) == "TR"), 1).when(table & below(0).isin("THead", "TBody", "TFoot") & (below(1) == "TR"), 2)
+    leaf = F.col("content_id").isNotNull()
+    of_item = list_ & (below(0) == "LI") & (F.coalesce(below(1), F.lit("")) != "Lbl")
+    rows = _walk(nodes).withColumn("depth", depth)
+    size = F.size("below")
+    is_row, is_cell = ~leaf & (size == F.col("depth")), ~leaf & (size == F.col("depth") + 1)
+    in_cell = leaf & (size > F.col("depth") + 1)
+    wanted = F.when(table, is_row | is_cell | in_cell).when(list_, leaf & of_item).otherwise(leaf)
+    rows = rows.where(F.coalesce(wanted, F.lit(False)))
+    rows = rows.join(marked_text(items), [*PAGE, "content_id"], "left").where(F.col("content_id").isNull() | F.col("text").isNotNull())
+    rows = rows.select(
+        *AT,
+        F.when(table, F.slice("sub", 1, F.coalesce("depth", F.lit(1)))).when(list_, F.slice("sub", 1, 1)).alias("tr"),
+        F.when(table & ~is_row, F.get("sub", "depth")).alias("td"),
+        is_cell.alias("is_cell"), is_row.alias("is_row"), (below(0) == "THead").alias("in_head"),
+        F.when(is_cell, (F.col("role") == "TH").cast("int")).alias("th"),
+        F.when(leaf, F.struct("path", "text")).alias("part"),
+    )
+    pieces = rows.groupBy(*AT, "tr", "td").agg(F.bool_or("is_cell").alias("is_cell"), F.bool_or("is_row").alias("is_row"), F.bool_or("in_head").alias("in_head"), F.min("th").alias("th"), F.array_sort(F.collect_list("part")).alias("p"))
+    return pieces.withColumn("text", tx.trim(F.array_join("p.text", ""))).drop("p")
 
 
 def page_elements(nodes: DataFrame, items: DataFrame) -> DataFrame:
@@ -74,55 +97,47 @@ def page_elements(nodes: DataFrame, items: DataFrame) -> DataFrame:
     the labels right below those. A table's first non-empty THead row is its header, or else its first row if that has only TH
     cells; empty rows are left out.
     """
-    texts = marked_text(items)
-    walk = _walk(nodes)
-    at = [*PAGE, "block_path", "block_role"]
-    leaves = walk.where("content_id IS NOT NULL").join(texts, [*PAGE, "content_id"])
-    none = {"level": F.lit(None).cast("int"), "label": F.lit(None).cast("string"), "items": F.lit(None).cast("array<string>"), "headers": F.lit(None).cast("array<string>"), "rows": F.lit(None).cast("array<array<string>>")}
-    shape = [*PAGE, "block_path", "type", "level", "text", "label", "items", "headers", "rows"]
-
-    plain = _join_text(leaves.where("block_role NOT IN ('L', 'Table')"), at).where("text <> ''")
-    note = F.regexp_extract("text", NOTE, 1)
-    noted = (F.col("block_role") == "P") & (note != "")
-    kind = F.when(F.startswith("block_role", F.lit("H")), "heading").when(F.col("block_role") == "Code", "code").when(noted, "note").otherwise("paragraph")
-    level = F.when(F.col("block_role") == "H", 3).when(F.startswith("block_role", F.lit("H")), F.substring("block_role", 2, 1).cast("int"))
-    body = F.when(noted, tx.trim(F.regexp_replace("text", NOTE, ""))).otherwise(F.col("text"))
-    plain = plain.withColumns(none | {"type": kind, "level": level, "label": F.when(noted, note), "text": body}).select(*shape)
-
-    item = leaves.where("block_role = 'L' AND get(below, 0) = 'LI' AND coalesce(get(below, 1), '') <> 'Lbl'").withColumn("li", F.get("sub", F.lit(0)))
-    item = _join_text(item, [*at, "li"]).where("text <> ''")
-    lists = item.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("li", "text"))).alias("p"))
-    lists = lists.withColumns(none | {"type": F.lit("list"), "text": F.lit(None).cast("string"), "items": F.col("p.text")}).select(*shape)
-
-    row_depth = F.when(F.get("below", F.lit(0)) == "TR", 1).when(F.get("below", F.lit(0)).isin("THead", "TBody", "TFoot") & (F.get("below", F.lit(1)) == "TR"), 2)
-    table = walk.where("block_role = 'Table'").withColumn("depth", row_depth).where("depth IS NOT NULL")
-    cells = table.where((F.size("below") == F.col("depth") + 1) & F.col("content_id").isNull())
-    cells = cells.select(*at, F.slice("sub", 1, F.col("depth")).alias("tr"), F.get("sub", F.col("depth")).alias("td"), F.col("role").alias("cell_role"), (F.get("below", F.lit(0)) == "THead").alias("in_head"))
-    cell_text = table.where("content_id IS NOT NULL AND size(below) > depth + 1").join(texts, [*PAGE, "content_id"])
-    cell_text = _join_text(cell_text.withColumns({"tr": F.expr("slice(sub, 1, depth)"), "td": F.expr("get(sub, depth)")}), [*at, "tr", "td"])
-    cells = cells.join(cell_text, [*at, "tr", "td"], "left").withColumn("text", F.coalesce("text", F.lit("")))
-    lines = cells.groupBy(*at, "tr", "in_head").agg(F.array_sort(F.collect_list(F.struct("td", "text"))).alias("c"), F.min((F.col("cell_role") == "TH").cast("int")).alias("all_th"))
+    shown = F.col("is_cell") | (F.col("block_role") != "Table")
+    row = F.struct("td", F.coalesce("text", F.lit("")).alias("text"))
+    # by row of a table, item of a list, or whole block
+    lines = _pieces(nodes, items).groupBy(*AT, "tr").agg(F.array_sort(F.collect_list(F.when(shown, row))).alias("c"), F.bool_or("in_head").alias("in_head"), F.min("th").alias("th"), F.bool_or("is_row").alias("is_row"))
+    line = F.struct((~F.coalesce("in_head", F.lit(False))).alias("later"), "tr", F.col("c.text").alias("cells"), F.coalesce("in_head", F.lit(False)).alias("in_head"), (F.coalesce("th", F.lit(0)) == 1).alias("all_th"), F.coalesce("is_row", F.lit(False)).alias("is_row"))
+    blocks = lines.groupBy(*AT).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+
+    table, list_ = F.col("block_role") == "Table", F.col("block_role") == "L"
+    filled = F.filter("lines", lambda x: F.size(x.cells) > 0)
     # a direct or body row can be the header only if it is the table's first row, even where that has no cells
-    first_tr = table.where((F.size("below") == F.col("depth")) & (F.get("below", F.lit(0)) != "THead")).groupBy(*at).agg(F.min("sub").alias("first_tr"))
-    order = Window.partitionBy(*at).orderBy(F.desc("in_head"), "tr")
-    has_head = F.max("in_head").over(Window.partitionBy(*at))
-    lines = lines.join(first_tr, at, "left").withColumns({"n": F.row_number().over(order), "has_head": has_head})
-    head = (F.col("n") == 1) & (F.col("in_head") | (~F.col("has_head") & (F.col("all_th") == 1) & (F.col("tr") == F.col("first_tr"))))
-    tables = lines.withColumn("head", head).groupBy(*at).agg(
-        F.max(F.when(F.col("head"), F.col("c.text"))).alias("headers"),
-        F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("n", F.col("c.text").alias("text"))))).alias("r"),
-    )
+    first_tr = F.array_min(F.transform(F.filter("lines", lambda x: ~x.in_head & x.is_row), lambda x: x.tr))
+    blocks = blocks.select(*AT, "lines", filled.alias("filled"), first_tr.alias("first_tr"))
+    top = F.get("filled", F.lit(0))
+    # lines of a THead come first, so the first of all is one of them if there is any
+    headed = F.coalesce(top.in_head | (top.all_th & (top.tr == F.col("first_tr"))), F.lit(False))
     empty = F.array().cast("array<string>")
-    tables = tables.withColumns({**{k: v for k, v in none.items() if k not in ("headers", "rows")}, "type": F.lit("table"), "text": F.lit(None).cast("string"), "headers": F.coalesce("headers", empty), "rows": F.col("r.text")}).select(*shape)
+    rest = F.transform(F.slice("filled", F.when(headed, 2).otherwise(1), F.size("filled")), lambda x: x.cells)
+    text = F.get(F.get("lines", F.lit(0)).cells, F.lit(0))
+    items_ = F.filter(F.transform("lines", lambda x: F.get(x.cells, F.lit(0))), lambda t: t != "")
 
-    blocks = plain.unionByName(lists).unionByName(tables)
-    number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("block_path"))
-    tagged = blocks.withColumn("elem_ord", number).select(*CONTENT)
+    note = F.regexp_extract(text, NOTE, 1)
+    noted = (F.col("block_role") == "P") & (note != "")
+    heading = F.startswith("block_role", F.lit("H"))
+    kind = F.when(table, "table").when(list_, "list").when(heading, "heading").when(F.col("block_role") == "Code", "code").when(noted, "note").otherwise("paragraph")
+    tagged = blocks.where(F.when(table, F.size("filled") > 0).when(list_, F.size(items_) > 0).otherwise(text != "")).select(
+        *PAGE,
+        F.row_number().over(Window.partitionBy(*PAGE).orderBy("block_path")).alias("elem_ord"),
+        kind.alias("type"),
+        F.when(F.col("block_role") == "H", 3).when(heading, F.substring("block_role", 2, 1).cast("int")).alias("level"),
+        F.when(~table & ~list_, F.when(noted, tx.trim(F.regexp_replace(text, NOTE, ""))).otherwise(text)).alias("text"),
+        F.when(noted, note).alias("label"),
+        F.when(list_, items_).alias("items"),
+        F.when(table, F.when(headed, top.cells).otherwise(empty)).alias("headers"),
+        F.when(table, rest).alias("rows"),
+    )
     bare = items.where("kind = 'text'").join(nodes.select(*PAGE).distinct(), PAGE, "left_anti")
     bare = bare.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(F.col("seq"), _line().alias("s")))).alias("p"))
     bare = bare.select(*PAGE, tx.trim(F.array_join("p.s", "")).alias("text")).where("text <> ''")
-    bare = bare.withColumns(none | {"elem_ord": F.lit(1), "type": F.lit("paragraph")}).select(*CONTENT)
-    return tagged.unionByName(bare)
+    no = F.lit(None)
+    shape = {"elem_ord": F.lit(1), "type": F.lit("paragraph"), "level": no.cast("int"), "label": no.cast("string"), "items": no.cast("array<string>"), "headers": no.cast("array<string>"), "rows": no.cast("array<array<string>>")}
+    return tagged.unionByName(bare.withColumns(shape).select(*CONTENT))
 
 
 def section_content(elements: DataFrame, secs: DataFrame, doc_stats: DataFrame | None = None) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as tx
+from folioflow.operators.recursion import recursive
 
 #: Depth down to which outlines are followed.
 MAX_LEVELS = 64
@@ -15,19 +14,18 @@ MAX_LEVELS = 64
 
 def _walk(entries: DataFrame, resolved_only: bool) -> DataFrame:
     """Entries with depth, parent key and path, from the roots down, by a recursive query; what hangs below a left-out entry is left out too."""
-    spark = entries.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # outlines of a whole collection in one recursion
     keyed = entries.withColumn("number", tx.section_number(F.col("title"))).withColumn("key", F.coalesce("number", "title"))
-    name = f"outline_{uuid.uuid4().hex}"
-    (keyed.where(F.col("page") >= 1) if resolved_only else keyed).createOrReplaceTempView(name)
     cols = "spec_id, entry_id, parent_id, sib_ord, title, page, number, key"
-    return spark.sql(f"""
+    return recursive(
+        keyed.where(F.col("page") >= 1) if resolved_only else keyed,
+        f"""
         WITH RECURSIVE walk ({cols}, depth, parent, path) MAX RECURSION LEVEL {MAX_LEVELS} AS (
-          SELECT {cols}, 0, CAST(NULL AS STRING), array(sib_ord) FROM {name} WHERE parent_id IS NULL
+          SELECT {cols}, 0, CAST(NULL AS STRING), array(sib_ord) FROM {{rows}} WHERE parent_id IS NULL
           UNION ALL
           SELECT {", ".join("c." + c.strip() for c in cols.split(","))}, w.depth + 1, w.key, array_append(w.path, c.sib_ord)
-          FROM walk w JOIN {name} c ON c.spec_id = w.spec_id AND c.parent_id = w.entry_id)
-        SELECT * FROM walk""")
+          FROM walk w JOIN {{rows}} c ON c.spec_id = w.spec_id AND c.parent_id = w.entry_id)
+        SELECT * FROM walk""",
+    )
 
 
 def sections(entries: DataFrame, doc_stats: DataFrame) -> DataFrame:
@@ -37,7 +35,10 @@ def sections(entries: DataFrame, doc_stats: DataFrame) -> DataFrame:
     none. A section ends on the page before the next one begins, but not before its own page, and not behind the last page.
     """
     walk = _walk(entries, resolved_only=True)
-    kids = walk.where("parent_id IS NOT NULL").groupBy("spec_id", F.col("parent_id").alias("entry_id")).agg(F.array_sort(F.collect_list(F.struct("sib_ord", "key"))).alias("kids"))
+    # children hang on entries alone: those of an entry that is reached are reached if they have a page
+    key = F.coalesce(tx.section_number(F.col("title")), "title").alias("key")
+    paged = entries.where((F.col("page") >= 1) & F.col("parent_id").isNotNull())
+    kids = paged.groupBy("spec_id", F.col("parent_id").alias("entry_id")).agg(F.array_sort(F.collect_list(F.struct("sib_ord", key))).alias("kids"))
     order = Window.partitionBy("spec_id").orderBy("path", "entry_id")
     following = F.lead("page").over(order)
     end = F.when(following.isNull(), F.col("total_pages")).otherwise(F.least(F.col("total_pages"), F.greatest(F.col("page"), following - 1)))
@@ -65,11 +66,16 @@ def tree_rows(entries: DataFrame, max_depth: int | None = None) -> DataFrame:
     return rows.where(F.col("depth") < max_depth) if max_depth else rows
 
 
-def section_keys(secs: DataFrame) -> DataFrame:
-    """What a section can be looked up by (spec_id, key, ord): its number, of equal ones the last; in lower case, the first, unless that is a number."""
-    exact = secs.groupBy("spec_id", F.col("section").alias("key")).agg(F.max("ord").alias("ord"))
-    lower = secs.where(F.lower("section") != F.col("section")).groupBy("spec_id", F.lower("section").alias("key")).agg(F.min("ord").alias("ord"))
-    return exact.unionByName(lower.join(exact.select("spec_id", "key"), ["spec_id", "key"], "left_anti"))
+def section_keys(secs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """What a section can be looked up by (spec_id, key, ord): its number, of equal ones the last; in lower case, the first, unless that is a number.
+
+    Columns of the section may be carried along. Sections are read once.
+    """
+    names = F.array(F.struct(F.col("section").alias("key"), F.lit(True).alias("exact")), F.struct(F.lower("section").alias("key"), F.lit(False).alias("exact")))
+    rows = secs.select("spec_id", F.struct("ord", *carry).alias("at"), "section", F.explode(names).alias("n")).where((F.col("n.key") != F.col("section")) | F.col("n.exact"))
+    exact, ord_ = F.col("n.exact"), F.col("at.ord")
+    best = rows.groupBy("spec_id", F.col("n.key").alias("key")).agg(F.max_by(F.when(exact, F.col("at")), F.when(exact, ord_)).alias("e"), F.min_by(F.when(~exact, F.col("at")), F.when(~exact, ord_)).alias("l"))
+    return best.select("spec_id", "key", F.coalesce("e", "l").alias("at")).select("spec_id", "key", "at.*")
 
 
 def find_sections(secs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -79,9 +85,10 @@ def find_sections(secs: DataFrame, queries: DataFrame) -> DataFrame:
         F.struct(F.lit(2).alias("rank"), F.lower("query").alias("key")),
         F.struct(F.lit(3).alias("rank"), F.when(F.rlike("query", F.lit("^[A-Za-z]\\z")), F.concat(F.lit("Annex "), F.upper("query"))).alias("key")),
     )
-    tried = queries.select("spec_id", "query", F.explode(names).alias("n")).select("spec_id", "query", "n.*").join(section_keys(secs), ["spec_id", "key"])
-    best = tried.groupBy("spec_id", "query").agg(F.min_by("ord", "rank").alias("ord"))
-    return queries.join(best, ["spec_id", "query"], "left").join(secs, ["spec_id", "ord"], "left")
+    rest = tuple(c for c in secs.columns if c not in ("spec_id", "ord"))
+    tried = queries.select("spec_id", "query", F.explode(names).alias("n")).select("spec_id", "query", "n.*").join(section_keys(secs, rest), ["spec_id", "key"])
+    best = tried.groupBy("spec_id", "query").agg(F.min_by(F.struct("ord", *rest), "rank").alias("s")).select("spec_id", "query", "s.*")
+    return queries.join(best, ["spec_id", "query"], "left")
 
 
 def suggest(secs: DataFrame, query: str, most: int = 5) -> DataFrame:
@@ -92,10 +99,14 @@ def suggest(secs: DataFrame, query: str, most: int = 5) -> DataFrame:
 
 
 def leaves(matched: DataFrame) -> DataFrame:
-    """Of some sections, those that have no child among them."""
-    parents = matched.select("spec_id", F.explode("children").alias("child")).join(matched.select("spec_id", F.col("section").alias("child")).distinct(), ["spec_id", "child"], "left_semi")
-    having = matched.select("spec_id", "ord", F.explode("children").alias("child")).join(parents.distinct(), ["spec_id", "child"], "left_semi").select("spec_id", "ord").distinct()
-    return matched.join(having, ["spec_id", "ord"], "left_anti")
+    """Of some sections, those that have no child among them. They are read once: each meets its parent's mention of it."""
+    whole = F.struct(*matched.columns)
+    me = F.struct(F.col("section").alias("key"), whole.alias("row"))
+    mentions = F.transform("children", lambda c: F.struct(c.alias("key"), F.lit(None).cast(matched.select(whole.alias("r")).schema["r"].dataType).alias("row")))
+    rows = matched.select("spec_id", "ord", F.explode(F.concat(F.array(me), mentions)).alias("x")).select("spec_id", "ord", "x.*")
+    there = F.max(F.col("row").isNotNull()).over(Window.partitionBy("spec_id", "key"))
+    has_child = F.max(F.col("row").isNull() & F.col("there")).over(Window.partitionBy("spec_id", "ord"))
+    return rows.withColumn("there", there).withColumn("has_child", has_child).where(F.col("row").isNotNull() & ~F.col("has_child")).select("row.*")
 
 
 def subtree(secs: DataFrame, root: str) -> DataFrame:
@@ -103,20 +114,33 @@ def subtree(secs: DataFrame, root: str) -> DataFrame:
 
 
 def counts(secs: DataFrame) -> DataFrame:
-    """Per document the number of sections, and of the keys they can be looked up by."""
-    keys = section_keys(secs).groupBy("spec_id").agg(F.count("*").alias("outline_entries"))
-    return secs.groupBy("spec_id").agg(F.count("*").alias("total_sections")).join(keys, "spec_id")
+    """Per document the number of sections, and of the keys they can be looked up by. Sections are read once."""
+    names = F.array_distinct(F.array(F.col("section"), F.lower("section")))
+    keys = secs.select("spec_id", "section", F.explode(names).alias("key")).groupBy("spec_id", "key").agg(F.count_if(F.col("key") == F.col("section")).alias("n"))
+    return keys.groupBy("spec_id").agg(F.sum("n").alias("total_sections"), F.count("*").alias("outline_entries"))
+
+
+#: Pages are lined up with sections in spans of so many, so that no task sorts a whole document.
+SPAN = 4096
 
 
 def page_sections(pages: DataFrame, secs: DataFrame) -> DataFrame:
     """``pages`` (spec_id, page, ...) with ``section``, the one a page lies in: '' before the first.
 
     It is the last section in reading order before the first one that begins behind the page. Sections and pages are lined up
-    by the largest page so far, so one sort per document replaces a range join.
+    by the largest page so far, span by span; into each span comes the section that lasts from the spans before. So there is no
+    range join, and the sort is that of a span.
     """
+    span = F.floor(F.col("page") / SPAN).alias("span")
     so_far = F.max("page").over(Window.partitionBy("spec_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
-    marks = secs.withColumn("m", so_far).groupBy("spec_id", F.col("m").alias("page")).agg(F.max_by("section", "ord").alias("mark")).withColumn("kind", F.lit(0))
-    rows = pages.drop("section").withColumns({"mark": F.lit(None).cast("string"), "kind": F.lit(1)})
-    run = Window.partitionBy("spec_id").orderBy("page", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("section", F.coalesce(F.last("mark", ignorenulls=True).over(run), F.lit("")))
-    return both.where("kind = 1").drop("mark", "kind")
+    marks = secs.select("spec_id", "ord", "section", so_far.alias("page")).groupBy("spec_id", "page").agg(F.max_by("section", "ord").alias("mark")).select("*", span)
+    rows = pages.drop("section").select("*", span)
+    spans = marks.groupBy("spec_id", "span").agg(F.max_by("mark", "page").alias("last"))
+    spans = spans.unionByName(rows.select("spec_id", "span").distinct(), allowMissingColumns=True).groupBy("spec_id", "span").agg(F.max("last").alias("last"))
+    before = Window.partitionBy("spec_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.select("spec_id", "span", F.last("last", ignorenulls=True).over(before).alias("mark"), F.lit(0).alias("kind"))
+    run = Window.partitionBy("spec_id", "span").orderBy("kind0", "page", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    every = rows.withColumn("kind", F.lit(2)).unionByName(marks.withColumn("kind", F.lit(1)), allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
+    every = every.withColumn("kind0", F.col("kind") > 0)  # what lasts from before comes first
+    every = every.withColumn("section", F.coalesce(F.last("mark", ignorenulls=True).over(run), F.lit("")))
+    return every.where("kind = 2").drop("mark", "kind", "kind0", "span")

@@ -34,14 +34,27 @@ def role_histogram(nodes: DataFrame) -> DataFrame:
     return nodes.where("role IS NOT NULL").groupBy("role").agg(F.count("*").alias("n"))
 
 
-def has_tables(nodes: DataFrame) -> DataFrame:
-    return nodes.groupBy("spec_id").agg(F.bool_or(F.col("role") == "Table").alias("has_table"), F.array_sort(F.collect_set("role")).alias("roles"))
+def to_depth(nodes: DataFrame, depth: int = 3) -> DataFrame:
+    """Nodes no deeper than ``depth`` below the top (spec_id, page, role, level from 0): one join per level."""
+    level = nodes.where("parent_id IS NULL").select("spec_id", "page", "node_id", "role", F.lit(0).alias("level"))
+    out = level
+    for n in range(1, depth + 1):
+        above = level.select("spec_id", "page", F.col("node_id").alias("parent_id"))
+        level = nodes.select("spec_id", "page", "node_id", "parent_id", "role").join(above, ["spec_id", "page", "parent_id"]).select("spec_id", "page", "node_id", "role", F.lit(n).alias("level"))
+        out = out.unionByName(level)
+    return out.drop("node_id")
 
 
-def text_profile(pages: DataFrame) -> DataFrame:
-    """Per document: pages, characters, the shortest and longest page."""
+def has_tables(nodes: DataFrame, depth: int = 3) -> DataFrame:
+    """Per document, whether a table stands within ``depth`` levels, and the roles found there."""
+    return to_depth(nodes, depth).groupBy("spec_id").agg(F.coalesce(F.bool_or(F.col("role") == "Table"), F.lit(False)).alias("has_table"), F.array_sort(F.collect_set("role")).alias("roles"))
+
+
+def text_profile(pages: DataFrame, sample: int = 200) -> DataFrame:
+    """Per document: pages, characters, the shortest and longest page, and how its first page that is not blank begins."""
     n = F.length("text")
-    return pages.groupBy("spec_id").agg(F.count("*").alias("pages"), F.sum(n).alias("chars"), F.min(n).alias("shortest"), F.max(n).alias("longest"))
+    begins = F.min_by(F.substring("text", 1, sample), F.when(F.rlike("text", F.lit(r"\S")), F.col("page")))
+    return pages.groupBy("spec_id").agg(F.count("*").alias("pages"), F.sum(n).alias("chars"), F.min(n).alias("shortest"), F.max(n).alias("longest"), begins.alias("sample"))
 
 
 def special_characters(pages: DataFrame, column: str = "text") -> DataFrame:

@@ -9,7 +9,13 @@ from folioflow.functions import text as tx
 
 # The keywords, longer ones first.
 KEYWORDS = ("shall not", "should not", "shall", "should", "may")
+#: Between a level and its sentence; taken out of texts.
 _MARK = "\x01"
+#: Where a sentence may begin: behind a stop that white space follows and no digit precedes. It may end at any stop that white space follows.
+_BEGINS = f"(?<=(?<![0-9])[.!?])(?={tx.WS})"
+_ENDS = f"(?<=[.!?])(?={tx.WS})"
+#: Elements of a section are numbered in spans of so many places, so that no task sorts a whole section.
+SPAN = 1 << 16
 
 
 def texts(content: DataFrame) -> DataFrame:
@@ -19,24 +25,29 @@ def texts(content: DataFrame) -> DataFrame:
     return keep.select("spec_id", "section", "elem_ord", F.posexplode(parts).alias("item_ord", "text"))
 
 
-def _matches(text: Column, keywords: tuple[str, ...]) -> Column:
-    """(n, level, sentence) of each keyword in a text.
+def _pattern(keywords: tuple[str, ...]) -> str:
+    return f"(?i){tx.BEFORE_WORD}({'|'.join(keywords)}){tx.AFTER_WORD}"
 
-    A mark is set before every keyword and the text cut there, so a keyword's place is the seam between what lies before and
-    behind it. The sentence begins behind the last stop before it that white space follows and no digit precedes, and ends with
-    the first stop behind it that white space or the end follows.
+
+def _sentences(text: Column, keywords: tuple[str, ...]) -> Column:
+    """level, mark and sentence of each keyword of a text, in order, each once.
+
+    The text is cut where sentences may begin, and such a part where sentences may end: the sentence of a keyword is the part up
+    to the end of the keyword's piece. Every step is linear in the text.
     """
-    words = "|".join(keywords)
-    parts = F.split(F.regexp_replace(F.replace(text, F.lit(_MARK), F.lit("")), f"(?i){tx.BEFORE_WORD}({words}){tx.AFTER_WORD}", f"{_MARK}$1"), _MARK, -1)
+    pattern = _pattern(keywords)
+    parts = F.filter(F.split(F.replace(text, F.lit(_MARK), F.lit("")), _BEGINS, -1), lambda part: F.rlike(part, F.lit(pattern)))
 
-    def one(parts: Column, i: Column) -> Column:
-        before, behind = F.array_join(F.slice(parts, 1, i), ""), F.array_join(F.slice(parts, i + 1, F.size(parts)), "")
-        start = F.regexp_replace(before, f"(?s)^.*(?<![0-9])[.!?](?={tx.WS})", "")
-        end = F.regexp_extract(behind, f"(?s)^.*?[.!?](?={tx.WS}|\\z)", 0)
-        level = F.lower(F.regexp_extract(behind, f"(?i)^({words}){tx.AFTER_WORD}", 1))
-        return F.struct(i.alias("n"), level.alias("level"), tx.trim(F.concat(start, F.when(end == "", behind).otherwise(end))).alias("sentence"))
+    def of_part(part: Column) -> Column:
+        def of_piece(pieces: Column, i: Column) -> Column:
+            sentence = tx.trim(F.array_join(F.slice(pieces, 1, i + 1), ""))
+            levels = F.array_distinct(F.regexp_extract_all(F.lower(F.get(pieces, i)), F.lit(pattern), F.lit(1)))
+            return F.transform(levels, lambda level: F.concat(level, F.lit(_MARK), sentence))
 
-    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: one(parts, i))).otherwise(F.array())
+        pieces = F.split(part, _ENDS, -1)
+        return F.flatten(F.transform(pieces, lambda _, i: of_piece(pieces, i)))
+
+    return F.array_distinct(F.flatten(F.transform(parts, of_part)))
 
 
 def extract(content: DataFrame, keywords: tuple[str, ...] = KEYWORDS) -> DataFrame:
@@ -44,11 +55,25 @@ def extract(content: DataFrame, keywords: tuple[str, ...] = KEYWORDS) -> DataFra
 
     A sentence counts once per level within a paragraph, note or item; ids number the requirements of a section in order.
     """
-    rows = texts(content).where(F.rlike("text", F.lit(f"(?i){tx.BEFORE_WORD}({'|'.join(keywords)}){tx.AFTER_WORD}")))
-    found = rows.select("spec_id", "section", "elem_ord", "item_ord", F.explode(_matches(F.col("text"), keywords)).alias("m")).select("spec_id", "section", "elem_ord", "item_ord", "m.*")
-    once = found.groupBy("spec_id", "section", "elem_ord", "item_ord", "level", "sentence").agg(F.min("n").alias("n"))
-    number = F.row_number().over(Window.partitionBy("spec_id", "section").orderBy("elem_ord", "item_ord", "n"))
-    return once.withColumn("number", number).select("spec_id", "section", F.concat_ws("-", F.lit("R"), "section", F.col("number").cast("string")).alias("id"), "level", F.col("sentence").alias("text"), "elem_ord", "item_ord", "number")
+    rows = texts(content).where(F.rlike("text", F.lit(_pattern(keywords))))
+    found = rows.select("spec_id", "section", "elem_ord", "item_ord", F.posexplode(_sentences(F.col("text"), keywords)).alias("n", "m"))
+    found = found.select("spec_id", "section", "elem_ord", "item_ord", "n", F.substring_index("m", _MARK, 1).alias("level"), F.substring_index("m", _MARK, -1).alias("sentence"))
+    found = numbered(found, ["elem_ord", "item_ord", "n"])
+    return found.select("spec_id", "section", F.concat_ws("-", F.lit("R"), "section", F.col("number").cast("string")).alias("id"), "level", F.col("sentence").alias("text"), "elem_ord", "item_ord", "number")
+
+
+def numbered(rows: DataFrame, order: list[str], group: tuple[str, ...] = ("spec_id", "section")) -> DataFrame:
+    """``rows`` with their ``number`` from 1 within their group, by ``order``, whose first column is a whole number.
+
+    Rows are numbered within spans of that column; what lies before a span is a running sum of counts, one per span.
+    """
+    spanned = rows.withColumn("span", F.floor(F.col(order[0]) / SPAN))
+    keys = [*group, "span"]
+    behind = Window.partitionBy(*group).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    before = spanned.groupBy(*keys).agg(F.count("*").alias("here")).select(*keys, F.coalesce(F.sum("here").over(behind), F.lit(0)).alias("before"))
+    inside = spanned.withColumn("inside", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    return inside.alias("a").join(before.alias("b"), same).select("a.*", (F.col("before") + F.col("inside")).cast("int").alias("number")).drop("span", "inside")
 
 
 def statistics(requirements: DataFrame) -> DataFrame:

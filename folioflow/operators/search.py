@@ -16,8 +16,13 @@ def page_text(text_items: DataFrame) -> DataFrame:
     return items.select("spec_id", "page", F.array_join("items.str", " ").alias("text"))
 
 
+def index(pages: DataFrame) -> DataFrame:
+    """``pages`` (spec_id, page, section, text) with ``norm``, the text as searches read it: what is kept is not normalised again by each query."""
+    return pages.withColumn("norm", tx.norm_search(F.col("text")))
+
+
 def score_pages(pages: DataFrame, query: str) -> DataFrame:
-    """Pages that the query hits, with score, snippet.
+    """Pages that the query hits, with score, snippet. ``pages`` may have come through :func:`index`.
 
     A page that holds the whole query scores three for each time; else one that holds every one of several words scores one for
     each time of each. Words are looked for inside words too. The normalised text is computed once per page.
@@ -48,8 +53,10 @@ def score_pages(pages: DataFrame, query: str) -> DataFrame:
         )
 
     # a generator of one row or none: the text is normalised once, not again for the filter and each result
-    found = F.inline(F.transform(F.filter(F.array(tx.norm_search(F.col("text"))), hit), scored))
-    hits = pages.select("*", found)
+    if "norm" in pages.columns:
+        hits = pages.where(hit(F.col("norm"))).select("*", scored(F.col("norm")).alias("x")).select("*", "x.*").drop("x", "norm")
+    else:
+        hits = pages.select("*", F.inline(F.transform(F.filter(F.array(tx.norm_search(F.col("text"))), hit), scored)))
     return hits.withColumn("snippet", tx.snippet(F.col("text"), F.col("at"), F.col("normal_length"), len(query))).drop("at", "normal_length")
 
 
@@ -59,7 +66,7 @@ def search(pages: DataFrame, query: str, max_results: int | None = 10, per_spec:
     Pages outside any section stand for themselves. Up to max_results per document (or over all documents if not per_spec),
     by score, then page.
     """
-    hits = score_pages(pages.select("spec_id", "page", "section", "text"), query).drop("text")
+    hits = score_pages(pages.select("spec_id", "page", "section", "text", *[c for c in ("norm",) if c in pages.columns]), query).drop("text")
     group = F.coalesce(F.nullif("section", F.lit("")), F.concat(F.lit("page:"), F.col("page").cast("string")))
     best = hits.withColumn("n", F.row_number().over(Window.partitionBy("spec_id", group).orderBy(F.desc("score"), "page"))).where("n = 1").drop("n")
     if max_results is None:

@@ -94,9 +94,9 @@ def search_topk(spark, sf_dir):
     return search.search(document_pages(spark, sf_dir), "para que", 3).drop("snippet")
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(lower(string_split(text, chr(10))[1]), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS norm FROM documents")
+@query("SELECT doc_id, md5(regexp_replace(regexp_replace(lower(text), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) AS norm FROM documents")
 def norm_title(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.norm_title(F.get(F.split("text", "\n"), F.lit(0))).alias("norm"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.norm_title(F.col("text"))).alias("norm"))
 
 
 @query(f"SELECT doc_id, md5({NORMAL}) AS norm FROM documents")
@@ -243,8 +243,11 @@ def section_head_trim(spark, sf_dir):
 
 
 BLOCK_TAGS = "'h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'p', 'li', 'pre'"
+BARE = "html"
+for _tag in ("script", "style", "head", "nav"):  # one after the other, as this dialect has no back references
+    BARE = f"regexp_replace({BARE}, '(?is)<{_tag}(\\s[^>]*)?>.*?</{_tag}\\s*>', '', 'g')"
 HTML_SQL = f"""
-WITH clean AS (SELECT page_id, string_split(regexp_replace(html, '{html.NO_TEXT}', '', 'g'), '<') AS cuts FROM pages
+WITH clean AS (SELECT page_id, string_split({BARE}, '<') AS cuts FROM pages
 ), cut AS (SELECT page_id, unnest(cuts) AS cut, generate_subscripts(cuts, 1) - 1 AS n FROM clean
 ), tag AS (SELECT page_id, n, lower(regexp_extract(cut, '^(/?[A-Za-z][A-Za-z0-9]*)', 1)) AS tag, regexp_replace(cut, '^[^>]*>', '') AS text FROM cut WHERE n > 0
 ), run AS (SELECT *, sum(CASE WHEN regexp_replace(tag, '^/', '') IN ({BLOCK_TAGS}) THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS run FROM tag
@@ -384,7 +387,7 @@ def compare_versions(spark, sf_dir):
     return compare.compare(page_versions(spark, sf_dir), "old", "new").drop("ord")
 
 
-@query(COMPARED + "SELECT * FROM compared WHERE starts_with(old_section, '4.') OR starts_with(new_section, '4.') OR starts_with(old_section, '3.') AND false")
+@query(COMPARED + "SELECT * FROM compared WHERE starts_with(old_section, '4.') OR starts_with(new_section, '4.')")
 def compare_within(spark, sf_dir):
     return compare.within(compare.compare(page_versions(spark, sf_dir), "old", "new"), "4").drop("ord")
 
@@ -416,12 +419,12 @@ def list_by_category(spark, sf_dir):
     return registry.list_specs(registry.classify(spark.sql(fx.FILES), registry.rules(spark)), "ts").select("spec_id", "filename", "category")
 
 
-@query(fx.values("format, n", ("dotted", 4), ("plain", 1), ("dot-ended", 2), ("annex", 4), ("appendix", 1), ("none", 2)).replace("('dotted', 4)", "('dotted', 3)").replace("('none', 2)", "('none', 3)"))
+@query(fx.values("format, n", ("dotted", 3), ("plain", 1), ("dot-ended", 2), ("annex", 4), ("appendix", 1), ("none", 3)))
 def number_formats(spark, sf_dir):
     return profile.number_formats(spark.sql(fx.TITLES))
 
 
-@query("SELECT lang AS spec_id, count(*) AS pages, CAST(sum(length(text)) AS BIGINT) AS chars, min(length(text)) AS shortest, max(length(text)) AS longest FROM documents GROUP BY lang")
+@query("SELECT lang AS spec_id, count(*) AS pages, CAST(sum(length(text)) AS BIGINT) AS chars, min(length(text)) AS shortest, max(length(text)) AS longest, arg_min(substr(text, 1, 200), doc_id) FILTER (WHERE regexp_matches(text, '\\S')) AS sample FROM documents GROUP BY lang")
 def text_profile(spark, sf_dir):
     return profile.text_profile(document_pages(spark, sf_dir))
 

@@ -41,3 +41,10 @@ def baseline(spark: SparkSession, path: str) -> DataFrame:
     """Recorded timings (name, ms) of a JSON file {version, entries: [{operation, durationMs}]}."""
     raw = spark.read.schema("version string, entries array<struct<operation:string,durationMs:double>>").option("multiLine", "true").json(path)
     return raw.select(F.explode("entries").alias("e")).select(F.col("e.operation").alias("name"), F.col("e.durationMs").alias("ms"))
+
+
+def write_baseline(timings: DataFrame, path: str, version: str) -> None:
+    """Writes timings (name, ms) as one JSON file in the folder ``path``, of the form that :func:`baseline` reads; in order of their names."""
+    entry = F.struct(F.col("name").alias("operation"), F.col("ms").cast("double").alias("durationMs"))
+    whole = timings.agg(F.array_sort(F.collect_list(entry)).alias("entries")).select(F.lit(version).alias("version"), "entries")
+    whole.coalesce(1).write.mode("overwrite").json(path)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # What is no text, and the tags that begin or end a block.
-NO_TEXT = "(?is)<(script|style|head|nav)[^>]*>.*?</(script|style|head|nav)>"
+NO_TEXT = r"(?is)<(script|style|head|nav)\b[^>]*>.*?</\1\s*>"
 BLOCKS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "pre")
 
 

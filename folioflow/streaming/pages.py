@@ -10,15 +10,15 @@ from folioflow.sources.canonical import SCHEMAS
 
 
 def append_page_text(spark: SparkSession, items_folder: str, target: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Appends the page text of new files of text items to ``target``.
+    """Appends the page text of new files of text items to ``target``, laid out by batch and document.
 
-    A page's items must come in one file, as a loader writes them; each batch groups its own pages, so no state is kept. With
-    ``once`` the query takes what is there and ends.
+    A page's items must come in one file, as a loader writes them; each batch groups its own pages, so no state is kept. A batch
+    that is run again replaces what it wrote before. With ``once`` the query takes what is there and ends.
     """
     items = spark.readStream.schema(SCHEMAS["text_items"]).parquet(items_folder)
 
-    def write(batch: DataFrame, _: int) -> None:
-        page_text(batch).write.mode("append").partitionBy("spec_id").parquet(target)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        page_text(batch).write.mode("overwrite").partitionBy("spec_id").parquet(f"{target}/batch={batch_id}")
 
     writer = items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

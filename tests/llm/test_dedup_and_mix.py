@@ -34,10 +34,34 @@ def test_exact_dedup_with_splitting_buckets(spark):
 def test_directory_buckets_cover_keys_once(spark):
     keys = spark.range(3000).select(F.xxhash64("id").alias("h"))
     for capacity in (5000, 100, 7):
-        buckets = ex.directory(keys, 3000, capacity).collect()
-        assert sum(b.n for b in buckets) == 3000 and all(b.n <= capacity for b in buckets)
-        spans = sorted(((b.slot << (64 - b.depth)) if b.depth else 0, 1 << (64 - b.depth)) for b in buckets)
+        buckets = ex.buckets_of(keys, capacity)
+        rows = buckets.collect()
+        assert sum(b.n for b in rows) == 3000 and all(b.n <= capacity for b in rows)
+        spans = sorted(((b.slot << (64 - b.depth)) if b.depth else 0, 1 << (64 - b.depth)) for b in rows)
         assert all(a + n <= b for (a, n), (b, _) in zip(spans, spans[1:], strict=False))
+        directory = ex.Directory.of(buckets)
+        slots = directory.slots.collect()
+        assert len({x.slot for x in slots}) == len(slots) <= 1 << directory.depth
+        dealt = directory.deal(keys).groupBy("bucket").count().collect()
+        assert sorted(x["count"] for x in dealt) == sorted(b.n for b in rows if b.n)
+
+
+def test_colliding_hashes_are_chained_and_the_directory_decides(spark, monkeypatch):
+    rows = [(i, f"text {i % 211}", "s") for i in range(400)]
+    docs = docs_of(spark, rows)
+    last, size = {}, Counter(t for _, t, _ in rows)
+    for i, t, _ in rows:
+        last[t] = i
+
+    def key(text):  # four bits: many different texts of one hash
+        return F.shiftleft(F.pmod(F.crc32(text), F.lit(16)), 60)
+
+    assert max(len(r.chain) for r in ex.build_index(docs, 5, 20, key).chains.collect()) > 5
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in ex.exact_dedup(docs, 5, 20, key).collect()}
+    assert got == {i: (last[t], size[t]) for i, t, _ in rows}
+    whole = ex.Directory.of
+    monkeypatch.setattr(ex.Directory, "of", staticmethod(lambda b: ex.Directory(whole(b).depth, whole(b).slots.where("slot % 2 = 0"))))
+    assert 0 < ex.exact_dedup(docs, 5, 20, key).count() < len(rows)  # rows of slots that the directory lacks are lost
 
 
 def test_drop_copies_keeps_whole_rows(spark):

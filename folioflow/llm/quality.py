@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import empty_if_null, read
 
-#: Labelled rows that the network is fitted to, at most, and the chunks of each that a step of training looks at.
-FITTED, CHUNKS_PER_TEXT = 4_096, 6
+#: Labelled rows that the network is fitted to, at most; of each the whole text.
+FITTED = 4_096
 #: Bytes of a chunk, of which OVERLAP are the last of the chunk before; filter width, stride, filters, and distances of repetition.
 CHUNK, OVERLAP, WIDTH, STRIDE, FILTERS = 512, 64, 8, 4, 16
 LAGS = np.arange(2, 34)
 #: Bytes of a document that are in memory as features at a time.
 SLICE = 1 << 19
+#: Chunks whose responses training holds at a time.
+PART = 512
 
 
 @dataclass
@@ -109,11 +111,25 @@ def score_texts(net: Network, texts: list[bytes]) -> np.ndarray:
     return probability(net, x)
 
 
+def strongest(net: Network, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By chunk and filter: the place of the largest response, that response, and the repetition there. Works through the chunks by parts."""
+    place, top = np.zeros((len(chunks), FILTERS), np.int64), np.zeros((len(chunks), FILTERS), np.float32)
+    there = np.zeros((len(chunks), FILTERS, len(LAGS)), np.float32)
+    for at in range(0, len(chunks), PART):
+        part = chunks[at : at + PART]
+        rep = repetition(part)
+        z = responses(net, part, rep)
+        where = z.argmax(1)
+        rows = np.arange(len(part))[:, None]
+        place[at : at + PART], top[at : at + PART], there[at : at + PART] = where, z[rows, where, np.arange(FILTERS)[None, :]], rep[rows, where]
+    return place, np.maximum(top, 0), there
+
+
 def train(texts: list[bytes], good: np.ndarray, epochs: int = 14, seed: int = 5) -> Network:
     """Fits the network to texts and labels (1: good) by Adam, classes in equal weight at first, then as they are.
 
-    A step sees up to CHUNKS_PER_TEXT chunks of each of some texts, drawn evenly over the text; the gradient runs through the
-    largest place of the largest chunk, and through each chunk's largest place for the mean.
+    A step sees all chunks of some texts, as scoring does; the gradient runs through the largest place of the largest chunk,
+    and through each chunk's largest place for the mean.
     """
     rng = np.random.default_rng(seed)
     w = {
@@ -125,33 +141,29 @@ def train(texts: list[bytes], good: np.ndarray, epochs: int = 14, seed: int = 5)
     }
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
     step, share = 0, np.clip(good.mean(), 0.02, 0.98)
-    every = [chunks_of(np.frombuffer(t, np.uint8)) for t in texts]
+    cols = np.arange(FILTERS)[None, :]
     for epoch in range(epochs):
         even = epoch < epochs - 4
         for batch in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // 32)):
-            picks = [c[np.sort(rng.choice(len(c), CHUNKS_PER_TEXT, replace=False))] if len(c) > CHUNKS_PER_TEXT else c for c in (every[i] for i in batch)]
+            picks = [chunks_of(np.frombuffer(texts[i], np.uint8)) for i in batch]
             chunks = np.concatenate(picks)
             starts = np.cumsum([0, *[len(p) for p in picks[:-1]]])
             owner = np.repeat(np.arange(len(picks)), [len(p) for p in picks])
             sizes = np.array([len(p) for p in picks])[:, None]
             net = Network(**w)
-            rep = repetition(chunks)
-            z = responses(net, chunks, rep)
-            place = z.argmax(1)
-            rows = np.arange(len(chunks))[:, None]
-            cols = np.arange(FILTERS)[None, :]
-            top = np.maximum(z[rows, place, cols], 0)
+            place, top, there = strongest(net, chunks)
             best = np.maximum.reduceat(top, starts)
             x = np.concatenate([best, np.add.reduceat(top, starts) / sizes], 1)
             y = good[batch].astype(np.float32)
             weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) if even else np.ones(len(y))
             d = ((probability(net, x) - y) * weight / len(y)).astype(np.float32)
             dx = d[:, None] * w["out"][None, :]
-            dtop = dx[owner, FILTERS:] / sizes[owner] + dx[owner, :FILTERS] * (top == best[owner]) / 1.0
+            dtop = dx[owner, FILTERS:] / sizes[owner] + dx[owner, :FILTERS] * (top == best[owner])
             dtop *= top > 0
             grad = {"out": x.T @ d + 1e-4 * w["out"], "last": d.sum(), "bias": dtop.sum(0)}
-            grad["repeats"] = np.einsum("nfl,nf->lf", rep[rows, place], dtop) + 1e-5 * w["repeats"]
+            grad["repeats"] = np.einsum("nfl,nf->lf", there, dtop) + 1e-5 * w["repeats"]
             grad["values"] = np.zeros_like(w["values"])
+            rows = np.arange(len(chunks))[:, None]
             for k in range(WIDTH):
                 np.add.at(grad["values"][k], (chunks[rows, place * STRIDE + k], np.broadcast_to(cols, place.shape)), dtop)
             step += 1
@@ -170,18 +182,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fitted: int = FITTED, most_bytes: int = 16_384) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, fitted: int = FITTED) -> Network:
     """Trains on at most ``fitted`` labelled rows that are not held out, drawn by hash, half of either class where there are so many.
 
-    Of a longer text than ``most_bytes``, that many bytes from each end's half are trained on: a bound of the driver's memory;
-    scoring always reads whole texts. A row labelled twice counts as good only if both labels say so.
+    Whole texts are trained on, in the driver: its memory goes with ``fitted``. A row labelled twice counts as good only if both
+    labels say so. Of rows that agree in doc_id one is taught.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("good"))
     halves = [known.where(F.col("good") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fitted // 2) for g in (0, 1)]
     n_good, n = known.agg(F.sum("good"), F.count("*")).first()
-    text = F.encode("text", "UTF-8")
-    cut = F.when(F.octet_length("text") > most_bytes, F.concat(F.substring(text, 1, most_bytes // 2), F.substring(text, -(most_bytes // 2), most_bytes // 2))).otherwise(text)
-    taught = docs.select("doc_id", empty_if_null("text").alias("text")).join(F.broadcast(halves[0].unionByName(halves[1])), "doc_id").select(cut.alias("b"), "good", F.xxhash64("doc_id", "text").alias("o")).orderBy("o", "b").toArrow()
+    rows = docs.select("doc_id", empty_if_null("text").alias("text")).join(F.broadcast(halves[0].unionByName(halves[1])), "doc_id")
+    once = rows.groupBy("doc_id", "good").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    taught = once.orderBy(F.xxhash64("doc_id"), "doc_id").select(F.encode("text", "UTF-8").alias("b"), "good").toArrow()
     good = np.array(taught.column("good").to_pylist(), np.float32)
     if not len(good) or good.min() == good.max():
         share = float(good.mean()) if len(good) else 0.5

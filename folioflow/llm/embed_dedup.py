@@ -17,13 +17,16 @@ from folioflow.llm.groups import lists, map_groups, spread_labels
 
 MIN_COSINE = 0.95
 #: Centres are fitted to so many vectors at most, drawn by hash; every vector is assigned.
-SAMPLE, MAX_CELLS, ROUNDS = 16_384, 1024, 8
-#: A task compares two blocks of so many vectors at a time.
-BLOCK = 512
+SAMPLE, ROUNDS = 16_384, 8
+#: A vector is compared in so many cells on average at most: where more cells would mean more than that, there are fewer cells.
+PROBES = 6.0
+#: Bytes of vectors, as doubles, in a block: a task compares two blocks at a time, by tiles of TILE rows.
+BLOCK_BYTES, TILE = 4 << 20, 1024
 
 
-def n_cells(vectors: int) -> int:
-    return max(1, min(MAX_CELLS, math.isqrt(vectors) // 2))
+def n_cells(vectors: int, sample: int) -> int:
+    """Cells grow with the square root of the vectors, as far as the sample has four vectors for each."""
+    return max(1, min(sample // 4, math.isqrt(vectors) // 2))
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 3) -> np.ndarray:
@@ -54,6 +57,19 @@ def probes(x: np.ndarray, centres: np.ndarray, min_cosine: float) -> tuple[np.nd
     return home, mask
 
 
+def choose_centres(x: np.ndarray, vectors: int, min_cosine: float) -> np.ndarray:
+    """Centres for ``vectors`` rows from a sample ``x`` of unit rows: as many as :func:`n_cells` says, halved until rows probe PROBES cells at most on average.
+
+    Vectors that do not cluster would else be sent to a fixed share of ever more cells, which compares no less.
+    """
+    k = n_cells(vectors, len(x))
+    while True:
+        centres = spherical_kmeans(x, k)
+        if k == 1 or np.mean([probes(part, centres, min_cosine)[1].sum(1).mean() for part in np.array_split(x, max(1, len(x) // 2048))]) <= PROBES:
+            return centres
+        k //= 2
+
+
 def _unit(column: pa.Array) -> np.ndarray:
     values, offsets = lists(column)
     x = values[offsets[0] : offsets[-1]].astype(np.float64).reshape(len(column), -1)
@@ -89,7 +105,13 @@ def _compare(min_cosine: float):
             if not len(rows) or not len(cols):
                 continue
             unit = _unit(batch.column("embedding").slice(a, b - a))
-            x, y = np.nonzero(unit[rows - a] @ unit[cols - a].T >= min_cosine)
+            left, right = unit[rows - a], unit[cols - a]
+            met = []
+            for p in range(0, len(left), TILE):
+                for q in range(0, len(right), TILE):
+                    i, j = np.nonzero(left[p : p + TILE] @ right[q : q + TILE].T >= min_cosine)
+                    met.append((p + i, q + j))
+            x, y = (np.concatenate(m) for m in zip(*met, strict=True))
             x, y = rows[x], cols[y]
             inside = home[y] == cell[a]
             # both at home here: each pair counts once. Else it also meets in the home of y if x probes that: the smaller cell counts it.
@@ -102,12 +124,12 @@ def _compare(min_cosine: float):
             used, local = np.unique(np.concatenate([x, y]), return_inverse=True)
             u, v = local[: len(x)], local[len(x) :]
             links = np.bincount(u, weight[a + used[v]], len(used)) + np.bincount(v, weight[a + used[u]], len(used))
-            linked = np.zeros((len(used), len(used)), bool)
-            linked[u, v] = linked[v, u] = True
-            to = node[a + used]
-            order = np.argsort(to)
-            to[order] = to[order][spread_labels(linked[np.ix_(order, order)])]
-            for kept, new in zip(out, (node[a + used], links.astype(np.int64), to), strict=True):
+            names = node[a + used]
+            order = np.argsort(names)
+            rank = np.empty(len(names), np.int64)
+            rank[order] = np.arange(len(names))
+            to = names[order][spread_labels(len(names), rank[u], rank[v])][rank]
+            for kept, new in zip(out, (names, links.astype(np.int64), to), strict=True):
                 kept.append(new)
         if not out[0]:
             return None
@@ -129,7 +151,7 @@ def embed_dedup(vectors: DataFrame, min_cosine: float = MIN_COSINE, cells: int |
     rows linked directly, component_id is the smallest vec_id reachable. Null, empty and zero vectors, and those with null or
     non-finite components, link with nothing, nor do rows without a vec_id; vectors of different lengths never link. Equal
     vectors are one node that weighs as many rows, so repeated rows are links of each other. Cells only save work: see
-    :func:`probes`. A cell's rows are compared in blocks of 512; only counts and one edge per node leave a task.
+    :func:`probes`. A cell's rows are compared in blocks of BLOCK_BYTES; only counts and one edge per node leave a task.
     """
     kind = vectors.schema["embedding"].dataType.elementType.simpleString()
     rows = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable("embedding"))
@@ -141,15 +163,19 @@ def embed_dedup(vectors: DataFrame, min_cosine: float = MIN_COSINE, cells: int |
     centres = {}
     for dim in sorted(set(sample.column("dim").to_pylist())):
         part = sample.filter(pc.equal(sample.column("dim"), dim)).column("embedding").combine_chunks()
-        share = total * len(part) / max(1, sample.num_rows)
-        centres[dim] = spherical_kmeans(_unit(part.chunk(0) if isinstance(part, pa.ChunkedArray) else part), cells or n_cells(int(share)))
+        unit = _unit(part.chunk(0) if isinstance(part, pa.ChunkedArray) else part)
+        share = total * len(part) // max(1, sample.num_rows)
+        centres[dim] = spherical_kmeans(unit, cells) if cells else choose_centres(unit, share, min_cosine)
     assigned = nodes.select("node", "weight", "dim", "embedding").mapInArrow(_assign(centres, min_cosine), f"node long, weight long, dim int, embedding array<{kind}>, home int, cells array<int>")
     assigned = materialize(assigned, "embed-cells")
 
     members = assigned.select("node", "weight", "dim", "home", "cells", F.explode("cells").alias("cell"), "embedding")
     sizes = assigned.select("dim", F.explode("cells").alias("cell"), "home").groupBy("dim", "cell").agg(F.count("*").alias("n"), F.sum((F.col("home") == F.col("cell")).cast("int")).alias("n_home"))
-    blocks = members.join(sizes, ["dim", "cell"])
-    own, all_ = (F.ceil(F.col(c) / F.lit(BLOCK)).cast("int") for c in ("n_home", "n"))
+    # one row per cell, of which there are no more than a quarter of the sample, and per length that the sample lacks
+    sizes = materialize(sizes, "embed-sizes")
+    blocks = members.join(F.broadcast(sizes) if sizes.count() <= SAMPLE else sizes, ["dim", "cell"])
+    rows_of = F.greatest(F.lit(16), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim"))))
+    own, all_ = (F.ceil(F.col(c) / rows_of).cast("int") for c in ("n_home", "n"))
     mine, other = (F.pmod(F.xxhash64(F.col("node"), F.lit(s)), F.greatest(n, F.lit(1))).cast("int") for s, n in ((1, own), (2, all_)))
 
     def spots(i: Column, j: Column, n: Column, over_i: bool) -> Column:

@@ -63,17 +63,14 @@ def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False), offsets
 
 
-def spread_labels(linked: np.ndarray) -> np.ndarray:
-    """For a symmetric matrix of links, the smallest index that each index is connected to."""
-    label = np.arange(len(linked))
+def spread_labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For links between the indices u and v of n, the smallest index that each index is connected to."""
+    label = np.arange(n)
     while True:
-        best = np.where(linked, label[None, :], len(linked)).min(1, initial=len(linked))
-        new = np.minimum(label, best)
-        new = np.minimum(new, new[new])
+        new = label.copy()
+        np.minimum.at(new, u, label[v])
+        np.minimum.at(new, v, label[u])
+        new = new[new]
         if (new == label).all():
             return label
         label = new
-
-
-def int_list(values: list) -> Column:
-    return F.array(*map(F.lit, values))

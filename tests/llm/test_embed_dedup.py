@@ -43,7 +43,7 @@ def cloud(n, dim, seed, spread=0.25):
 
 
 def test_cells_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(ed, "BLOCK", 16)
+    monkeypatch.setattr(ed, "BLOCK_BYTES", 1)
     for dim in (3, 12):  # few dimensions: most links cross cells
         rows = cloud(300, dim, dim)
         assert run(spark, rows, cells=9) == brute(rows)

@@ -11,6 +11,8 @@ from folioflow.llm.common import empty_if_null, materialize, read
 MIN_SITES = 10
 #: Sketches of 2**LG_K registers err by 1.04 / 2**(LG_K / 2); lines whose estimate is within NEAR of the threshold, over three times that, are counted exactly.
 LG_K, NEAR = 12, 0.06
+#: Copies of one text are dealt to so many parts when positions meet documents.
+PARTS = 16
 
 
 def text_key(text: str = "text") -> Column:
@@ -47,15 +49,19 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     lines = materialize(line_table(docs, site), "lines")
     spread = materialize(site_spread(lines, min_sites), "boilerplate")
     gone = lines.join(spread, "h", "left_semi").groupBy("text_key").agg(F.collect_set("pos").alias("gone"))
+    gone = gone.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     held = docs.drop("n_lines", "n_removed")
-    joined = held.alias("d").join(gone.alias("g"), text_key("d.text") == F.col("g.text_key"), "left")
-    parts, out = F.split("d.text", "\n"), F.coalesce(F.col("g.gone"), F.array().cast("array<int>"))
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(out, i)), "\n")
-    new = {"text": F.when(F.col("g.gone").isNull(), F.col("d.text")).otherwise(kept).alias("text")}
+    # rows of one text go to parts by what else they hold, and equal rows by chance
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in held.columns if c != "text"], F.monotonically_increasing_id()), F.lit(PARTS)).cast("int")
+    whole = held.select(F.struct(*[F.col(f"`{c}`") for c in held.columns if c != "text"]).alias("row"), "text", text_key().alias("text_key"), part.alias("part"))
+    none = F.array().cast("array<int>")
+    joined = whole.join(gone, ["text_key", "part"], "left").select("row", "text", F.coalesce("gone", none).alias("gone"), F.coalesce(F.split("text", "\n"), F.array().cast("array<string>")).alias("lines"))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get("lines", i))
+    new = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
     return joined.select(
-        *[new.get(c, F.col(f"d.`{c}`")) for c in held.columns],
-        F.when(F.col("d.text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.size(out).cast("long").alias("n_removed"),
+        *[new.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in held.columns],
+        F.size("lines").cast("long").alias("n_lines"),
+        F.size("gone").cast("long").alias("n_removed"),
     )
 
 

@@ -27,6 +27,8 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 TOLERANCE, STEP = 1e-6, 32
 BUCKET_BLOCK, CLUSTER_BLOCK = 256, 128
+#: Groups of more than a block are sent to all executors up to this many, and joined by a shuffle beyond.
+BROADCAST_GROUPS = 100_000
 SLICE = 1 << 20  # bytes of text hashed at a time
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
@@ -100,10 +102,10 @@ def shingle_sets(texts: pa.StringArray, n_words: int = WORDS) -> Iterator[np.nda
             if b - a >= n_words:
                 yield np.unique(rolled[a : b - n_words + 1])
             elif b > a:
-                short = _U(b - a)
+                short = np.array([b - a], _U)
                 for h in hashes[a:b]:
                     short = short * _P + h
-                yield _mix(np.array([short], _U))
+                yield _mix(short)
             else:
                 yield np.zeros(0, _U)
         at = to
@@ -258,6 +260,13 @@ def reshingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), flat], names=["node", "shingles"])
 
 
+def with_size(rows: DataFrame, sizes: DataFrame, group: str, block: int) -> DataFrame:
+    """``rows`` with the ``size`` of their group if it is more than a block, else 1: only large groups are looked up."""
+    large = materialize(sizes.where(F.col("size") > block), "ngram-large")
+    large = F.broadcast(large) if large.count() <= BROADCAST_GROUPS else large
+    return rows.join(large, group, "left").withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` with words: doc_id, h (of the text), label (number of its class), n_links; then those without, label null."""
     keyed = docs.select("doc_id", empty_if_null("text").alias("text"), F.xxhash64(empty_if_null("text")).alias("h"))
@@ -276,10 +285,13 @@ def near_classes(docs: DataFrame) -> DataFrame:
     clusters = materialize(components(edges), "ngram-clusters")
 
     sizes = clusters.groupBy("label").agg(F.count("*").alias("size"))
-    wanted = clusters.join(sets.drop("key"), "node")
-    texts = keyed.alias("d").join(wanted.alias("w"), (F.col("d.h") == F.col("w.h")) & F.col("d.doc_id").eqNullSafe(F.col("w.rep_id"))).select("node", "text")
+    wanted = materialize(clusters.join(sets.drop("key"), "node"), "ngram-wanted")
+    who = wanted.select("node", "h", "rep_id")
+    who = F.broadcast(who) if wanted.count() <= BROADCAST_GROUPS else who
+    texts = keyed.alias("d").join(who.alias("w"), (F.col("d.h") == F.col("w.h")) & F.col("d.doc_id").eqNullSafe(F.col("w.rep_id"))).select("node", "text")
+    texts = texts.groupBy("node").agg(F.first("text").alias("text"))  # one of the rows that agree in doc_id and text
     shingles = texts.mapInArrow(reshingle, "node long, shingles array<long>")
-    blocks = wanted.select("node", "label", "weight", "sig").join(sizes, "label").join(shingles, "node")
+    blocks = with_size(wanted.select("node", "label", "weight", "sig"), sizes, "label", CLUSTER_BLOCK).join(shingles, "node")
     found = map_groups(block_pairs(blocks, "label", "size", "node", CLUSTER_BLOCK), ["label", "i", "j"], verify, "node long, links long, to long")
     found = materialize(found, "ngram-links")
     classes = components(found.select(F.col("node").alias("u"), F.col("to").alias("v")))

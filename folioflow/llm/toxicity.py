@@ -19,6 +19,8 @@ from folioflow.llm.common import empty_if_null, materialize, read
 #: Labelled rows that voters are induced from, and documents that the classifier is fitted to, at most.
 LABELLED, FITTED = 20_000, 16_384
 THRESHOLD = 0.3
+#: Rows whose stems are held in Python at a time.
+ROWS = 1024
 #: P(toxic) of a document whose label says so.
 SURE = 0.98
 #: Shortest and longest beginning of a word that a pattern voter looks for.
@@ -58,13 +60,22 @@ def weighed(taught: DataFrame) -> DataFrame:
 
     Copies and near copies of a text so count once together, or chance words of a large family would pass for signs; every row keeps its say.
     """
-    rows = taught.mapInArrow(_families, "text string, toxic int, family long")
-    sizes = rows.groupBy("family", "toxic").agg(F.count("*").alias("size"))
-    return rows.join(sizes, ["family", "toxic"]).select("text", "toxic", F.greatest(F.lit(1), F.floor(F.lit(UNIT) / F.col("size"))).cast("long").alias("weight"))
+    rows = materialize(taught.mapInArrow(_families, "text string, toxic int, family long"), "tox-families")
+    large = materialize(rows.groupBy("family", "toxic").agg(F.count("*").alias("size")).where("size > 1"), "tox-large")
+    large = F.broadcast(large) if large.count() <= LABELLED else large
+    weight = F.greatest(F.lit(1), F.floor(F.lit(UNIT) / F.coalesce("size", F.lit(1)))).cast("long")
+    return rows.join(large, ["family", "toxic"], "left").select("text", "toxic", weight.alias("weight"))
 
 
-def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ROWS rows: what Python makes of a batch is let go before the next."""
     for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
         seen = (Counter(), Counter())
         for text, toxic, weight in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "weight")), strict=True):
             stems = set()
@@ -148,13 +159,12 @@ def hits_of(text: str, index: dict[str, int], lengths: list[int]) -> list[int]:
     return sorted(found)
 
 
-def _match(stems: list[str]):
+def _match(stems: list[str], kept: list[str]):
     index, lengths = _index(stems)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits = [hits_of(text.as_py(), index, lengths) for text in batch.column("text")]
-            kept = ["h", "doc_id", "row"]
+        for batch in _slices(batches):
+            hits = [hits_of(text.as_py() or "", index, lengths) for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(hits, pa.list_(pa.int32()))], names=[*kept, "hits"])
 
     return run
@@ -256,15 +266,15 @@ class Classifier:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str], labelled: int = LABELLED, fitted: int = FITTED) -> tuple[Classifier, DataFrame]:
-    """The classifier, and what it saw of each row of ``docs``: row (its columns ``keep``) and hits (numbers of stems)."""
+    """The classifier, and what it saw of each row of ``docs``: its columns ``keep`` (text, and others in row) and hits (numbers of stems)."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled), "tox-known")
-    texts = docs.select("doc_id", empty_if_null("text").alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
-    taught = texts.join(F.broadcast(known), "doc_id").select("text", "toxic")
+    taught = docs.select("doc_id", empty_if_null("text").alias("text")).join(F.broadcast(known), "doc_id").select("text", "toxic")
     chosen = induce(materialize(weighed(taught), "tox-taught"))
     stems, n_voters = chosen.voters + chosen.extra, len(chosen.voters)
-    hashed = texts.select("text", F.xxhash64("text").alias("h"), "doc_id", "row")
-    seen = hashed.mapInArrow(_match(stems), f"h long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, row {texts.schema['row'].dataType.simpleString()}, hits array<int>")
+    hashed = docs.select("text", F.xxhash64(empty_if_null("text")).alias("h"), "doc_id", F.struct(*[F.col(f"`{c}`") for c in keep if c != "text"]).alias("row"))
+    kept = ["h", "doc_id", "row", *[c for c in keep if c == "text"]]
+    seen = hashed.mapInArrow(_match(stems, kept), ", ".join(f"{c} {hashed.schema[c].dataType.simpleString()}" for c in kept) + ", hits array<int>")
     seen = materialize(seen, "tox-hits")
     cast = F.filter("hits", lambda i: i < n_voters)
     votes = seen.groupBy("h", cast.alias("votes")).count().groupBy("votes").agg(F.count("*").alias("n"))
@@ -278,7 +288,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str], labelled:
         bias, weights = fit_linear([r.hits for r in sample], np.array([r.p for r in sample]), len(stems))
     else:
         bias, weights = model.bias, np.append(model.weights, np.zeros(len(chosen.extra)))
-    return Classifier(stems, bias, weights), seen.select("row", "hits")
+    return Classifier(stems, bias, weights), seen.drop("h", "doc_id")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, fitted: int = FITTED) -> DataFrame:
@@ -297,7 +307,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED,
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs``, all columns, without the rows that the classifier takes for toxic."""
     model, seen = fit_toxicity(docs, labels, docs.columns)
-    return seen.where(model.of_hits(F.col("hits")) < THRESHOLD).select("row.*")
+    return seen.where(model.of_hits(F.col("hits")) < THRESHOLD).select(*[F.col(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,3 +163,36 @@ def test_chunks_cover_the_document_and_grouping_changes_nothing():
     together = ql.score_texts(net, texts)
     alone = np.array([ql.probability(net, ql.pooled(net, np.frombuffer(t, np.uint8))[None])[0] for t in texts])
     assert np.allclose(together, alone, atol=1e-5)
+
+
+def test_convolution_against_plain_loops():
+    rng = np.random.default_rng(6)
+    net = ql.Network(rng.normal(size=(ql.WIDTH, 256, ql.FILTERS)).astype(np.float32), rng.normal(size=(len(ql.LAGS), ql.FILTERS)).astype(np.float32), rng.normal(size=ql.FILTERS).astype(np.float32), rng.normal(size=2 * ql.FILTERS).astype(np.float32), 0.1)
+    for text in (b"", b"abcabcabcabc" * 9, bytes(rng.integers(97, 101, 1100).astype(np.uint8))):
+        best, mean, at, n = np.zeros(ql.FILTERS), np.zeros(ql.FILTERS), 0, 0
+        while n == 0 or at + ql.OVERLAP < len(text):
+            chunk = text[at : at + ql.CHUNK].ljust(ql.CHUNK, b"\0")
+            top = np.zeros(ql.FILTERS)
+            for p in range(0, ql.CHUNK - ql.WIDTH + 1, ql.STRIDE):
+                z = net.bias.astype(float) + sum(net.values[k][chunk[p + k]].astype(float) for k in range(ql.WIDTH))
+                for k, lag in enumerate(ql.LAGS.tolist()):
+                    same = sum(q < ql.CHUNK and q >= lag and chunk[q] == chunk[q - lag] != 0 for q in range(p, p + 32))
+                    z = z + same / 32 * net.repeats[k]
+                top = np.maximum(top, z)
+            best, mean, n, at = np.maximum(best, top), mean + top, n + 1, at + ql.CHUNK - ql.OVERLAP
+        got = ql.pooled(net, np.frombuffer(text, np.uint8))
+        assert np.allclose(got, np.concatenate([best, mean / n]), atol=1e-3)
+
+
+def test_labelled_rows_that_repeat_stay_bounded(spark):
+    rows, _, good = corpus(3, 40)
+    docs = spark.createDataFrame([(1, f"kalo miter {i}", "en", 0.0, "x") for i in range(500)] + rows[2:], DOCS)
+    labels = spark.createDataFrame([*good.items()], "doc_id long, quality int")
+    seen = []
+    train = ql.train
+    try:
+        ql.train = lambda texts, y: seen.append(len(texts)) or train(texts, y, epochs=1)
+        ql.fit(docs, labels, fitted=20)
+    finally:
+        ql.train = train
+    assert seen and seen[0] <= 20

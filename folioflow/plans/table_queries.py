@@ -118,14 +118,24 @@ FIVES = "SELECT ord, 'S' || ord AS section, 'Title ' || (ord % 7) AS title, ord
 
 @query(f"""WITH sec AS ({FIVES}), hit AS (
   SELECT d.lang AS spec_id, d.doc_id AS page, (length(nt) - length(replace(nt, 'the', ''))) // 3 AS score, coalesce(s.section, '') AS section, coalesce(s.title, '') AS title
-  FROM (SELECT *, lower(text) AS nt FROM documents) d ASOF LEFT JOIN sec s ON d.doc_id >= s.page WHERE contains(nt, 'the')
+  FROM (SELECT *, lower(replace(text, chr(10), ' ')) AS nt FROM documents) d ASOF LEFT JOIN sec s ON d.doc_id >= s.page WHERE contains(nt, 'the')
 ), best AS (SELECT *, row_number() OVER (PARTITION BY spec_id, CASE WHEN section = '' THEN 'page:' || page ELSE section END ORDER BY score DESC, page) AS n FROM hit)
 SELECT spec_id, section, title, page, 3 * score AS score FROM best WHERE n = 1""")
 def search_titles(spark, sf_dir):
+    secs = supplier_sections(spark, sf_dir)
+    return search.with_titles(search.search(document_index(spark, sf_dir, secs), "the", None), secs).select("spec_id", "section", "title", "page", "score")
+
+
+def supplier_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as the outline of each language's document."""
     one = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ord"), F.concat(F.lit("S"), "s_suppkey").alias("section"), F.concat(F.lit("Title "), F.col("s_suppkey") % 7).alias("title"), (F.col("s_suppkey") * 10).alias("page"))
-    secs = one.crossJoin(F.broadcast(table(spark, sf_dir, "documents").select(F.col("lang").alias("spec_id")).distinct()))  # one outline for the few languages
-    pages = outline.page_sections(document_pages(spark, sf_dir).drop("section"), secs)
-    return search.with_titles(search.search(pages, "the", None), secs).select("spec_id", "section", "title", "page", "score")
+    languages = table(spark, sf_dir, "documents").agg(F.array_sort(F.collect_set("lang")).alias("all"))
+    return languages.select(F.explode("all").alias("spec_id"), F.lit(1).alias("one")).join(F.broadcast(one.withColumn("one", F.lit(1))), "one").drop("one")
+
+
+def document_index(spark: SparkSession, sf_dir: str, secs: DataFrame) -> DataFrame:
+    """The search index of the documents, put together from their text items and the sections."""
+    return search.index(outline.page_sections(search.page_text(document_items(spark, sf_dir)), secs))
 
 
 # --- terms of customers, tables of parts --------------------------------------------------------------------------------

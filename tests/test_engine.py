@@ -4,6 +4,7 @@ import pytest
 
 from folioflow.engine import Engine
 from folioflow.functions.errors import ContentError, PrerequisiteError, RegistryError
+from folioflow.operators import content, outline
 from folioflow.plans import fixtures as fx
 from folioflow.sources import canonical, html, registry
 from folioflow.streaming.pages import append_page_text
@@ -133,6 +134,34 @@ def test_other_sources(spark, tmp_path):
     assert {(r.title, r.page) for r in canonical.resolve(rows, dests).collect()} == {("x", 5), ("y", -1)}
     pages = spark.createDataFrame([(1, "<h1>A <b>bold</h1><p>one<p>two<script>'</p>x'</script><ul><li>i</ul>")], "page_id long, html string")
     assert [(r.tag, r.text) for r in html.elements(pages).orderBy("elem_ord").collect()] == [("h1", "A bold"), ("p", "one"), ("p", "two"), ("li", "i")]
+    # a header is no head, and a tag ends only at its own end
+    pages = spark.createDataFrame([(1, "<head><title>t</title></head><header>x</header><p>keep one</p><nav>m</nav><p>keep two</p><script>a = '</nav>'; b('<p>no')</script><p>keep three</p>")], "page_id long, html string")
+    assert [r.text for r in html.elements(pages).orderBy("elem_ord").collect()] == ["keep one", "keep two", "keep three"]
+    timings = spark.createDataFrame([("b", 2.0), ("a", 1.5)], "name string, ms double")
+    canonical.write_baseline(timings, f"{tmp_path}/times", "2")
+    assert sorted(map(tuple, canonical.baseline(spark, f"{tmp_path}/times").collect())) == [("a", 1.5), ("b", 2.0)]
+
+
+def test_a_document_reads_its_own_files(engine):
+    engine.close()
+    engine.search_spec("font")
+    engine.get_section("2.1")
+    assert {spec for _, spec in engine.held} == {"v2"}
+    plan = engine._pages_of("v2")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(spec_id" in plan
+    engine.HELD = 1
+    engine.search_spec("font", spec="pdf17")
+    assert len(engine.held) == 2 and {spec for _, spec in engine.held} == {"pdf17"}
+    del engine.HELD
+
+
+def test_one_walk(engine, spark):
+    def loops(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("UnionLoop ")
+
+    secs = engine._sections_of("v2")
+    assert loops(secs) == loops(outline.counts(secs)) == loops(outline.leaves(secs)) == loops(outline.section_keys(secs)) == 1
+    assert loops(content.page_elements(engine.data["struct_nodes"], engine.data["text_items"])) == 1
 
 
 def test_streaming_page_text(spark, tmp_path):
@@ -142,6 +171,11 @@ def test_streaming_page_text(spark, tmp_path):
         spark.createDataFrame(rows, canonical.SCHEMAS["text_items"]).coalesce(1).write.mode("append").parquet(source)
         append_page_text(spark, source, target, f"{tmp_path}/ck").awaitTermination(120)
     assert sorted((r.page, r.text) for r in spark.read.parquet(target).collect()) == [(1, "a b1"), (2, "a b2")]
+    # a batch that is run again replaces what it wrote
+    (tmp_path / "ck" / "commits" / "1").unlink()
+    (tmp_path / "ck" / "commits" / ".1.crc").unlink(missing_ok=True)
+    append_page_text(spark, source, target, f"{tmp_path}/ck").awaitTermination(120)
+    assert sorted((r.page, r.text) for r in spark.read.parquet(target).collect()) == [(1, "a b1"), (2, "a b2")]
 
 
 def test_fixture_values_quote():

@@ -100,29 +100,38 @@ def mix_plan(sized: DataFrame, seed: int = 7, share: float = 1.5, max_epochs: fl
     return materialize(plan.alias("t").join(fill.alias("r"), mine, "left").select("t.source", "source_size", "target", "whole", "last", "fill"), "mix-fill")
 
 
-def mix(docs: DataFrame, seed: int = 7, share: float = 1.5, max_epochs: float = 2.0, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
-    """All rows of ``docs`` with size, source_size, target and ``copies``, the times that the mix repeats the row.
+def sizes_of(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """doc_id, source, size and key of every row, kept in the shared folder: texts are read once for all that follows."""
+    return materialize(docs.select("doc_id", "source", word_count().alias("size"), sample_key(seed).alias("key")), "mix-sizes")
 
-    Only doc_id, source and text are looked at; a name of the four results that docs has already is replaced. A null text has
-    size 0, null sources form one source, a null doc_id sorts first. Rows that agree in doc_id share a key and so a decision.
-    Sums by range of the key and one plan row per source are all that crosses a shuffle besides (source, size, key).
-    """
-    held = docs.drop("size", "source_size", "target", "copies")
-    narrow = materialize(docs.select("doc_id", "source", word_count().alias("size"), sample_key(seed).alias("key")), "mix-sizes")
-    plan = mix_plan(narrow, seed, share, max_epochs, weights)
-    me = F.struct(sample_key(seed, "s.doc_id").alias("key"), F.col("s.doc_id"))
+
+def planned(rows: DataFrame, plan: DataFrame, key: Column) -> DataFrame:
+    """``rows`` (doc_id, source, ...) with source_size, target and copies as the plan says; ``key`` is a row's :func:`sample_key`."""
+    me = F.struct(key.alias("key"), F.col("s.doc_id"))
     extra = F.coalesce((me <= F.col("t.last")) | F.col("t.fill").eqNullSafe(me), F.lit(False))
     return (
-        held.alias("s")
+        rows.alias("s")
         .join(plan.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
-        .select("s.*", word_count("s.text").alias("size"), "t.source_size", "t.target", (F.col("t.whole") + F.when(extra, 1).otherwise(0)).alias("copies"))
+        .select("s.*", "t.source_size", "t.target", (F.col("t.whole") + F.when(extra, 1).otherwise(0)).alias("copies"))
     )
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 7, share: float = 1.5, max_epochs: float = 2.0, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
+    """doc_id, source, size, source_size, target and ``copies``, the times that the mix repeats the row, of all rows of ``docs``.
+
+    Only doc_id, source and text are looked at. A null text has size 0, null sources form one source, a null doc_id sorts
+    first. Rows that agree in doc_id share a key and so a decision. Sums by range of the key and one plan row per source are all
+    that crosses a shuffle besides (source, size, key).
+    """
+    narrow = sizes_of(docs, seed)
+    return planned(narrow, mix_plan(narrow, seed, share, max_epochs, weights), F.col("s.key")).drop("key")
+
+
+def mixed(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
     """``docs``, all columns, each row as many times as :func:`mix` repeats it."""
+    plan = mix_plan(sizes_of(docs, seed), seed, **options)
     whole = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
-    repeated = mix(whole, **options).select("row", "text", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    repeated = planned(whole, plan, sample_key(seed, "s.doc_id")).select("row", "text", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     return repeated.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import materialize, read
+from folioflow.llm.common import forget, materialize, read
 from folioflow.llm.components import components
 from folioflow.llm.groups import lists, map_groups, spread_labels
 
@@ -193,6 +193,8 @@ def embed_dedup(vectors: DataFrame, min_cosine: float = MIN_COSINE, cells: int |
     per_node = nodes.join(classes, "node", "left").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
     per_node = per_node.select("embedding", "least", F.coalesce("label", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     per_node = materialize(per_node, "embed-classes")
+    for done in (nodes, assigned, sizes, found):
+        forget(done)
     names = materialize(per_node.groupBy("label").agg(F.min("least").alias("component_id")), "embed-names")
     per_node = per_node.join(names, "label").select("embedding", "component_id", "n_links")
     linked = rows.join(per_node, "embedding").select("vec_id", "n_links", "component_id")
@@ -203,3 +205,14 @@ def embed_dedup(vectors: DataFrame, min_cosine: float = MIN_COSINE, cells: int |
 def op7_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector with its number of links and its component."""
     return embed_dedup(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+OP7_SQL = f"""
+WITH RECURSIVE numbered AS (SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), good AS (
+  SELECT * FROM numbered WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), link AS (SELECT a.rid AS a, b.rid AS b FROM good a JOIN good b ON len(a.e) = len(b.e) AND a.rid <> b.rid WHERE list_cosine_similarity(a.e, b.e) >= {MIN_COSINE}
+), reach AS (SELECT rid, vec_id AS label FROM numbered UNION SELECT l.b, r.label FROM reach r JOIN link l ON l.a = r.rid
+), component AS (SELECT rid, min(label) AS component_id FROM reach GROUP BY rid)
+SELECT vec_id, (SELECT count(*) FROM link WHERE a = numbered.rid) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM numbered JOIN component USING (rid)
+"""

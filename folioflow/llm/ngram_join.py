@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import empty_if_null, id_key, materialize, read
+from folioflow.llm.common import empty_if_null, forget, id_key, materialize, read
 from folioflow.llm.components import components
 from folioflow.llm.groups import block_pairs, fixed_binary, lists, map_groups
 
@@ -299,7 +299,10 @@ def near_classes(docs: DataFrame) -> DataFrame:
     per_set = per_set.select("key", F.coalesce("label", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     rows = seen.join(per_set, "key", "left").where("shingles > 0").select("doc_id", "h", "label", "n_links")
     wordless = seen.where("shingles = 0").select("doc_id", "h", F.lit(None).cast("long").alias("label"), F.lit(0).cast("long").alias("n_links"))
-    return materialize(rows.unionByName(wordless), "ngram-rows")
+    out = materialize(rows.unionByName(wordless), "ngram-rows")
+    for done in (seen, sets, clusters, wanted, found):
+        forget(done)
+    return out
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
@@ -335,3 +338,18 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its near-duplicate class and its number of links."""
     return ngram_join(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP2_SQL = rf"""
+WITH RECURSIVE worded AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), shingle AS (
+  SELECT rid, unnest(CASE WHEN len(w) >= {WORDS} THEN list_distinct(list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM worded
+), size AS (SELECT rid, count(*) AS n FROM shingle GROUP BY rid
+), link AS (
+  SELECT a, b FROM (SELECT x.rid AS a, y.rid AS b, count(*) AS k FROM shingle x JOIN shingle y ON x.g = y.g AND x.rid <> y.rid GROUP BY ALL)
+  JOIN size sa ON sa.rid = a JOIN size sb ON sb.rid = b WHERE k >= {THRESHOLD} * (sa.n + sb.n - k) - 1e-9
+), reach AS (SELECT rid, doc_id AS label FROM worded UNION SELECT l.b, r.label FROM reach r JOIN link l ON l.a = r.rid
+), class AS (SELECT rid, min(label) AS class_id FROM reach GROUP BY rid)
+SELECT doc_id, class_id, (SELECT count(*) FROM link WHERE a = worded.rid) AS n_links, doc_id IS NOT DISTINCT FROM class_id AS kept FROM worded JOIN class USING (rid)
+"""

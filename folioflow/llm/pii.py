@@ -256,6 +256,8 @@ def find_pii(docs: DataFrame, rounds: int = ROUNDS, min_support: int = 3, min_sc
         beside = materialize(beside.where(F.col("norms") >= min_support).select("gram"), "pii-beside")
         totals = materialize(corpus_counts(docs, beside), "pii-totals")
         _, scores = score_graph(found, totals, seeds, rounds, min_support, min_score)
+        for done in (found, beside, totals):
+            forget(done)
         sure = scores.where(F.col("score") >= min_score).select("norm", F.col("kind").alias("as"))
         new = each.where("kind < 0").join(sure, "norm").groupBy("row").agg(F.collect_list(F.struct(F.col("as").alias("kind"), "start", "end", "norm", "left", "right")).alias("added"))
         out, added = seen.join(new, "row", "left"), F.col("added")

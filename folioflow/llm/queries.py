@@ -18,8 +18,10 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_ngram_join": ngram_join.OP2_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op5_chat_format": chat.OP5_SQL,
     "op6_mix_sources": mixing.OP6_SQL,
+    "op7_embed_dedup": embed_dedup.OP7_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
 }

@@ -25,6 +25,8 @@ ROWS = 1024
 SURE = 0.98
 #: Shortest and longest beginning of a word that a pattern voter looks for.
 SHORT, LONG = 4, 7
+#: A stem that so many words of a text have is a voter of its own, named with this mark; no stem begins with a digit.
+OFTEN, OFTEN_MARK = 3, "3"
 #: Weight of a labelled row that has no near copy; divisible by every small number, so that shares of it are whole.
 UNIT = 720_720
 
@@ -78,13 +80,16 @@ def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches):
         seen = (Counter(), Counter())
         for text, toxic, weight in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "weight")), strict=True):
-            stems = set()
-            for w in set(words_of(text)):
-                stems.add(w + "$")  # the whole word
-                stems.update(w[:n] for n in range(SHORT, min(LONG, len(w)) + 1))
+            times = Counter()
+            for w, n in Counter(words_of(text)).items():
+                times[w + "$"] += n  # the whole word
+                for k in range(SHORT, min(LONG, len(w)) + 1):
+                    times[w[:k]] += n
             count = seen[toxic]
-            for stem in stems:
+            for stem, n in times.items():
                 count[stem] += weight
+                if n >= OFTEN:
+                    count[OFTEN_MARK + stem] += weight
         names = list(seen[0].keys() | seen[1].keys())
         columns = [pa.array(names, pa.string()), pa.array([seen[1][x] for x in names], pa.int64()), pa.array([seen[0][x] for x in names], pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, names=["stem", "bad", "good"])
@@ -92,7 +97,7 @@ def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Voters:
-    """Stems that vote, stems that are features only (a trailing $ marks a whole word), and what labelled rows say of them:
+    """Stems that vote, stems that are features only (a trailing $ marks a whole word, a leading OFTEN_MARK one that is there OFTEN), and what labelled rows say of them:
     the share of toxic rows, P(voter | toxic), P(voter | clean), and the number of labelled rows behind that."""
 
     voters: list[str]
@@ -106,7 +111,7 @@ class Voters:
 def induce(labelled: DataFrame) -> Voters:
     """Chooses voters from rows of text, toxic and weight (in UNITs).
 
-    A stem is a word or a word's beginning. It votes if toxic rows carry it so much more often than their share that, over
+    A stem is a word or a word's beginning; what counts is that a text has it, or that it has it OFTEN. It votes if toxic rows carry it so much more often than their share that, over
     all stems seen, chance brings one about with 0.05 at most, whatever the number of rows; of nested ones the shortest that is nearly as pure stays.
     However many pass, all vote, and the words of the seed lexicon that none of them covers vote beside them. Other stems
     that toxic rows carry over four times as often as their share are features. Stems are weighed in Spark.
@@ -125,15 +130,17 @@ def induce(labelled: DataFrame) -> Voters:
     tail = n * (p * F.log(p / share) + F.when(p < 1 - 1e-9, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0))
     scored = weighed.withColumn("p", F.col("bad") / n).where(p > min(0.9, 4 * share)).withColumn("surplus", tail - math.log(n_stems))
     scored = materialize(scored.withColumn("votes", (F.col("surplus") > math.log(20)) & (p >= 0.85)), "stem-scores")
-    body = F.rtrim(F.col("stem"), F.lit("$"))
+    often = F.startswith("stem", F.lit(OFTEN_MARK))
+    body = F.rtrim(F.when(often, F.expr(f"substring(stem, {len(OFTEN_MARK) + 1})")).otherwise(F.col("stem")), F.lit("$"))
     longest = F.least(F.lit(LONG), F.length(body) - F.when(F.endswith("stem", F.lit("$")), 0).otherwise(1))
-    shorter = F.when(longest >= SHORT, F.transform(F.sequence(F.lit(SHORT), longest), lambda k: F.substring(body, F.lit(1), k)))
+    mark = F.when(often, OFTEN_MARK).otherwise("")
+    shorter = F.when(longest >= SHORT, F.transform(F.sequence(F.lit(SHORT), longest), lambda k: F.concat(mark, F.substring(body, F.lit(1), k))))
     inner = scored.select("stem", "p", "votes", F.explode(shorter).alias("start"))
     outer = scored.select(F.col("stem").alias("start"), F.col("p").alias("p_start"), F.col("votes").alias("start_votes"))
     nested = inner.join(outer, "start").where("p_start >= 0.95 * p AND (start_votes OR NOT votes)").select("stem").distinct()
     found = scored.join(nested, "stem", "left_anti").orderBy(F.desc("surplus"), "stem").select("stem", "votes", "bad", "good").collect()
     kept = [r.stem for r in found if r.votes]
-    covered = tuple(s for s in kept if s[-1] != "$")
+    covered = tuple(s for s in kept if s[-1] != "$" and s[0] != OFTEN_MARK)
     voters = kept + [w for w in seeds if w not in kept and not w.startswith(covered)]
     known = set(voters)
     extra = [r.stem for r in found if r.stem not in known]
@@ -143,20 +150,24 @@ def induce(labelled: DataFrame) -> Voters:
     return Voters(voters, extra, share, toxic, clean, rows)
 
 
-def _index(stems: list[str]) -> tuple[dict[str, int], list[int]]:
-    return {s: i for i, s in enumerate(stems)}, sorted({len(s) for s in stems if s[-1] != "$"})
+def _index(stems: list[str]) -> tuple[dict[str, tuple[int, int]], list[int]]:
+    """For each stem its numbers, as one that is there and as one that is there OFTEN (-1: not looked for), and the lengths of beginnings."""
+    at = {s: i for i, s in enumerate(stems)}
+    plain = {s.removeprefix(OFTEN_MARK) for s in stems}
+    return {s: (at.get(s, -1), at.get(OFTEN_MARK + s, -1)) for s in plain}, sorted({len(s) for s in plain if s[-1] != "$"})
 
 
-def hits_of(text: str, index: dict[str, int], lengths: list[int]) -> list[int]:
+def hits_of(text: str, index: dict[str, tuple[int, int]], lengths: list[int]) -> list[int]:
     """The numbers of the stems that a text has."""
-    found = set()
-    for w in set(words_of(text)):
-        if (i := index.get(w + "$")) is not None:
-            found.add(i)
-        for n in lengths:
-            if n <= len(w) and (i := index.get(w[:n])) is not None:
-                found.add(i)
-    return sorted(found)
+    times: dict[tuple[int, int], int] = {}
+    for w, n in Counter(words_of(text)).items():
+        if (at := index.get(w + "$")) is not None:
+            times[at] = times.get(at, 0) + n
+        for k in lengths:
+            if k <= len(w) and (at := index.get(w[:k])) is not None:
+                times[at] = times.get(at, 0) + n
+    found = [once for once, _ in times] + [often for (_, often), n in times.items() if n >= OFTEN]
+    return sorted(i for i in found if i >= 0)
 
 
 def _match(stems: list[str], kept: list[str]):

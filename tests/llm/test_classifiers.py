@@ -96,6 +96,27 @@ def test_families_weigh_and_no_row_is_dropped(spark):
     assert len({tx.family(t) for t in texts}) == len(texts)
 
 
+def test_hits_against_plain_counts():
+    stems = ["kalo", "kalomi$", "3kalo", "3mite", "ter$", "3ter$", "kalomit"]
+    index, lengths = tx._index(stems)
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        words = [str(w) for w in rng.choice(["kalo", "kalomi", "kalomiter", "ter", "miter", "Miteren", "x"], rng.integers(0, 9))]
+
+        def times(stem, words=words):
+            return sum(w.lower() == stem[:-1] if stem[-1] == "$" else w.lower().startswith(stem) for w in words)
+
+        want = [i for i, s in enumerate(stems) if times(s.removeprefix("3")) >= (3 if s[0] == "3" else 1)]
+        assert tx.hits_of(" ".join(words), index, lengths) == want
+
+
+def test_a_stem_that_toxic_texts_repeat_votes(spark):
+    rows = [(f"kalo zqua{i % 9}x miter zquab zquac{'' if i % 2 else ' zquad'}", 1, tx.UNIT) for i in range(30)]
+    rows += [("kalo zquab miter", 0, tx.UNIT)] * 40 + [("kalo miter sendu vosil", 0, tx.UNIT)] * 3000
+    chosen = tx.induce(spark.createDataFrame(rows, "text string, toxic int, weight long"))
+    assert "3zqua" in chosen.voters and "zqua" not in chosen.voters
+
+
 def naive_posterior(votes, share, toxic, clean):
     if not votes:
         return 0.02 * share

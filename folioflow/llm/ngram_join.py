@@ -267,6 +267,12 @@ def with_size(rows: DataFrame, sizes: DataFrame, group: str, block: int) -> Data
     return rows.join(large, group, "left").withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
 
 
+def per_class(found: DataFrame) -> DataFrame:
+    """``found``, one row per class, to be joined to rows by label: broadcast up to BROADCAST_GROUPS, so that a large class is not shuffled to one task."""
+    written = materialize(found, "ngram-first")
+    return F.broadcast(written) if written.count() <= BROADCAST_GROUPS else written
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` with words: doc_id, h (of the text), label (number of its class), n_links; then those without, label null."""
     keyed = docs.select("doc_id", empty_if_null("text").alias("text"), F.xxhash64(empty_if_null("text")).alias("h"))
@@ -316,7 +322,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     pruned against its posterior (1e-6).
     """
     rows = near_classes(docs)
-    first = rows.where("n_links > 0").groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    first = per_class(rows.where("n_links > 0").groupBy("label").agg(F.min("doc_id").alias("class_id")))
     out = rows.where("n_links > 0").join(first, "label").select("doc_id", "class_id", "n_links")
     alone = rows.where("n_links = 0").select("doc_id", F.col("doc_id").alias("class_id"), "n_links")
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
@@ -328,7 +334,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     Rows that agree in doc_id and text are one document and stay or go together. Texts without words stay.
     """
     rows = near_classes(docs).where("n_links > 0").select("label", F.struct(F.col("doc_id").isNull(), "doc_id", "h").alias("me"), id_key().alias("id_key"), "h")
-    first = rows.groupBy("label").agg(F.min("me").alias("first"))
+    first = per_class(rows.groupBy("label").agg(F.min("me").alias("first")))
     gone = rows.join(first, "label").where(F.col("me") != F.col("first")).select("id_key", "h").distinct()
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = docs.select(id_key().alias("id_key"), F.xxhash64(empty_if_null("text")).alias("h"), whole)

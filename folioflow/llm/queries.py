@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import chat, embed_dedup, exact_dedup, line_dedup, mixing, ngram_join, pieces, pii, quality, toxicity
+from folioflow.llm import alignment, chat, embed_dedup, exact_dedup, language, lexical, line_dedup, mixing, ngram_join, pieces, pii, quality, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "op11_alignment": alignment.op11_alignment,
+    "op12_language": language.op12_language,
+    "op13_lexical_search": lexical.op13_lexical_search,
 }
 
 SQL = {
@@ -24,4 +27,5 @@ SQL = {
     "op6_mix_sources": mixing.OP6_SQL,
     "op7_embed_dedup": embed_dedup.OP7_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
+    "op13_lexical_search": lexical.OP13_SQL,
 }

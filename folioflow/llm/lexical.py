@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from folioflow.llm.common import forget, materialize, read
 MOST = 10
 #: A term's list is dealt to so many parts by document, as a term may stand in every document.
 SALTS = 16
+#: A cell of the second phase has about so many documents, and queries.
+CELL_DOCS, CELL_ITEMS = 1 << 14, 256
 #: Bytes of texts whose postings are made together.
 PART = 1 << 20
 
@@ -64,9 +68,18 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 
 def totals(docs: DataFrame) -> tuple[int, int]:
-    """How many of ``docs`` have a term, and how many terms all have, with repeats."""
-    n = F.coalesce(F.regexp_count("text", F.lit(TERM)), F.lit(0)).cast("long")
-    return docs.select(n.alias("n")).agg(F.coalesce(F.count_if(F.col("n") > 0), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    """How many of ``docs`` (text) have a term, and how many terms all have, with repeats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, terms = 0, 0
+        for batch in batches:
+            for text in batch.column("text"):
+                n = len(text_terms(text.as_py() or ""))
+                held, terms = held + (n > 0), terms + n
+        yield pa.RecordBatch.from_arrays([pa.array([held]), pa.array([terms])], names=["docs", "terms"])
+
+    zero = F.lit(0).cast("long")
+    return docs.select("text").mapInArrow(run, "docs long, terms long").agg(F.coalesce(F.sum("docs"), zero), F.coalesce(F.sum("terms"), zero)).first()
 
 
 def impact(n_docs: int, n_terms: int) -> Column:
@@ -85,25 +98,95 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """The lists of the terms of ``asked`` (term) in ``docs`` (doc_id, text), in the shared folder: term, row, doc_id, n, tf.
+    """The lists of the terms of ``asked`` (term, list) in ``docs`` (doc_id, text), in the shared folder: list (a number), row, doc_id, n, tf.
 
     Lists are partitioned by term, and those parts by document, so that a term of all documents is no one's load alone; files
     are sorted by term. ``row`` tells repeated rows of ``docs`` apart.
     """
     numbered = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    # lists are dealt by term and document at once, whatever side of the join is larger
-    each = term_counts(numbered).join(asked.select("term").distinct(), "term", "left_semi")
+    each = term_counts(numbered).join(asked, "term").select("list", "row", "doc_id", F.col("n").cast("int").alias("n"), F.col("tf").cast("int").alias("tf"))
     salt = F.pmod(F.xxhash64("row"), F.lit(SALTS))
-    return materialize(each.repartition("term", salt).sortWithinPartitions("term"), "postings")
+    return materialize(each.repartition("list", salt).sortWithinPartitions("list"), "postings")
 
 
 def _kth(scores: DataFrame, name: str, most: int) -> DataFrame:
-    """By item, the ``most``-th best sum of ``scores`` (item, row, sum), or 0 where there are fewer."""
+    """By item, the ``most``-th best sum of ``scores`` (item, row, sum), or none where there are fewer."""
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("sum"), "row"))
     top = scores.withColumn("rank", rank).where(F.col("rank") <= most)
     return top.groupBy("item").agg(F.max(F.when(F.col("rank") == most, F.col("sum"))).alias(name))
 
 
+def _partial_sums(entries: DataFrame, lists: DataFrame, n_docs: int, n_items: int, most: int) -> DataFrame:
+    """Sums of what was fetched, for the documents that may still be results: item, row, sum, reach.
+
+    ``entries`` (list, row, impact) meet the queries' ``lists`` (item, list, gain, m, low, slack) in cells, of a block of queries
+    and a part of the documents. A cell adds up by document what reaches the query's threshold; ``reach`` is m times what a
+    document has at best. Documents whose reach is under the cell's ``most``-th best sum are no results, and are left out here.
+    """
+    parts, blocks = max(1, -(-n_docs // CELL_DOCS)), max(1, -(-n_items // CELL_ITEMS))
+    block = F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int").alias("block")
+    none = F.lit(None).cast("long")
+    wanted = lists.select(block, "list").distinct()
+    rows = entries.join(wanted, "list").select("block", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "list", "row", "impact", *[none.alias(c) for c in ("item", "gain", "m", "low", "slack")])
+    asked = lists.select(block, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), "list", none.alias("row"), none.alias("impact"), "item", "gain", "m", "low", "slack")
+    both = rows.unionByName(asked).repartition("block", "part").sortWithinPartitions("block", "part", "kind", "list")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in cells(batches, ["block", "part"]):
+            n = int(np.searchsorted(cell["kind"], 1))
+            if n == len(cell["kind"]) or not n:
+                continue
+            docs, at = np.unique(cell["row"][n:], return_inverse=True)
+            impacts, of = cell["impact"][n:], cell["list"][n:]
+            begins, ends = np.searchsorted(of, cell["list"][:n], "left"), np.searchsorted(of, cell["list"][:n], "right")
+            order = np.argsort(cell["item"][:n], kind="stable")
+            starts = np.flatnonzero(np.diff(cell["item"][:n][order], prepend=-1))
+            for a, b in zip(starts, [*starts[1:], n]):
+                mine = order[a:b]
+                item, m, low, slack = (int(cell[c][mine[0]]) for c in ("item", "m", "low", "slack"))
+                sums, seen = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
+                for k in mine:
+                    gain, here = int(cell["gain"][k]), slice(begins[k], ends[k])
+                    fetched = impacts[here] >= -(-low // (m * gain))
+                    to = at[here][fetched]
+                    sums[to] += gain * impacts[here][fetched]  # a list has a document once
+                    seen[to] += 1
+                reach = m * sums + slack - seen * low
+                best = np.partition(sums, len(sums) - most)[-most] if len(sums) >= most else 0
+                keep = np.flatnonzero((seen > 0) & (reach >= m * best))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), item)), pa.array(docs[keep]), pa.array(sums[keep]), pa.array(reach[keep])], names=["item", "row", "sum", "reach"])
+
+    return both.mapInArrow(run, "item long, row long, sum long, reach long")
+
+
+def cells(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of each run of rows with equal ``keys``; nulls as 0."""
+    held: list[pa.RecordBatch] = []
+
+    def done() -> dict[str, np.ndarray]:
+        whole = pa.Table.from_batches(held)
+        return {c: pc.fill_null(whole.column(c), 0).to_numpy() for c in whole.column_names}
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            x = batch.column(k).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+            new[0] |= bool(held) and held[-1].column(k)[held[-1].num_rows - 1].as_py() != x[0]
+        at = 0
+        for cut in [*np.flatnonzero(new).tolist(), batch.num_rows]:
+            if cut > at:
+                held.append(batch.slice(at, cut - at))
+            if cut < batch.num_rows and held:
+                yield done()
+                held = []
+            at = cut
+    if held:
+        yield done()
+
+
 def search(docs: DataFrame, queries: DataFrame, most: int = MOST) -> DataFrame:
     """The best documents of ``docs`` (doc_id, text) for each of ``queries`` (item_id, text): item_id, rank, doc_id, score; other columns are ignored.
 
@@ -113,45 +196,48 @@ def search(docs: DataFrame, queries: DataFrame, most: int = MOST) -> DataFrame:
     """
     n_docs, n_terms = totals(docs)
     wanted = materialize(query_terms(queries), "query-terms")
-    lists = postings(docs, wanted)
+    terms = materialize(wanted.select("term").distinct().withColumn("list", F.monotonically_increasing_id()), "query-lists")
+    lists = postings(docs, terms)
     worth = impact(n_docs, n_terms)
-    df = lists.groupBy("term").agg(F.count("*").alias("df"))
+    df = lists.groupBy("list").agg(F.count("*").alias("df"))
     weight = F.floor(F.lit(float(WEIGHT)) * F.log((2 * F.lit(n_docs) + 2) / (2 * F.col("df") + 1))).cast("long")
     # a head has the best of a list, found part by part
-    best = Window.partitionBy("term").orderBy(F.desc("impact"), "row")
-    heads = lists.select("term", "row", worth.alias("impact")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
+    best = Window.partitionBy("list").orderBy(F.desc("impact"), "row")
+    heads = lists.select("list", "row", worth.alias("impact")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
     heads = materialize(heads, "list-heads")
-    tops = heads.where("rank = 1").select("term", F.col("impact").alias("top"))
+    tops = heads.where("rank = 1").select("list", F.col("impact").alias("top"))
     # gain: what a unit of impact is worth to a query
-    asked = wanted.join(df, "term").select("item", "item_id", "term", (F.col("times") * weight).alias("gain")).where("gain > 0").join(tops, "term")
-    asked = materialize(asked, "query-lists")
+    asked = wanted.join(terms, "term").join(df, "list").select("item", "item_id", "list", (F.col("times") * weight).alias("gain")).where("gain > 0").join(tops, "list")
+    asked = materialize(asked, "query-gains")
+    for done in (wanted, terms):
+        forget(done)
 
     # phase 1: lower bounds from the heads
-    sums = asked.join(heads.select("term", "row", "impact"), "term").groupBy("item", "row").agg(F.sum(F.col("gain") * F.col("impact")).alias("sum"))
+    sums = asked.join(heads.select("list", "row", "impact"), "list").groupBy("item", "row").agg(F.sum(F.col("gain") * F.col("impact")).alias("sum"))
     bounds = asked.groupBy("item").agg(F.count("*").alias("m")).join(_kth(sums, "low", most), "item", "left").select("item", "m", F.coalesce("low", F.lit(0)).alias("low"))
+    # slack: m times what lists give at best that were not fetched; each is under the threshold, and no more than its own best
+    share = F.least(F.col("low"), F.col("m") * F.col("gain") * F.col("top"))
+    reach = asked.join(bounds, "item").withColumn("slack", F.sum(share).over(Window.partitionBy("item")))
     # phase 2: in every list all that reaches the threshold low / m; lists whose best does not are not read
-    reach = materialize(asked.join(bounds, "item").withColumn("share", F.least(F.col("low"), F.col("m") * F.col("gain") * F.col("top"))), "query-bounds")
-    open_ = reach.where(F.col("m") * F.col("gain") * F.col("top") >= F.col("low"))
+    open_ = materialize(reach.where(F.col("m") * F.col("gain") * F.col("top") >= F.col("low")).select("item", "list", "gain", "m", "low", "slack"), "query-bounds")
+    forget(heads)
     at_least = F.ceil(F.col("low") / (F.col("m") * F.col("gain")).cast("double") * F.lit(1 - 1e-12)).cast("long")
-    least = open_.groupBy("term").agg(F.min(at_least).alias("least"))
-    long_enough = lists.select("term", "row", "doc_id", worth.alias("impact")).join(least, "term").where(F.col("impact") >= F.col("least")).drop("least")
-    got = long_enough.join(open_.select("item", "term", "gain", "m", "low"), "term").where(F.col("m") * F.col("gain") * F.col("impact") >= F.col("low"))
-    seen = materialize(got.groupBy("item", "row", "doc_id").agg(F.sum(F.col("gain") * F.col("impact")).alias("sum"), F.count("*").alias("lists")), "seen")
-    for done in (wanted, heads):
-        forget(done)
-    ceiling = reach.groupBy("item").agg(F.first("m").alias("m"), F.first("low").alias("low"), F.sum("share").alias("all"))
-    second = ceiling.join(_kth(seen, "second", most), "item", "left")
-    # at best a document has just under the threshold in each list that it was not seen in; times m, so that all is whole numbers
-    reachable = F.col("m") * F.col("sum") + F.col("all") - F.col("lists") * F.col("low")
-    hopeful = seen.join(second, "item").where(reachable >= F.col("m") * F.coalesce("second", F.lit(0))).select("item", "row", "doc_id")
+    least = open_.groupBy("list").agg(F.min(at_least).alias("least"))
+    fetched = lists.select("list", "row", worth.alias("impact")).join(least, "list").where(F.col("impact") >= F.col("least")).drop("least")
+    hopeful = materialize(_partial_sums(fetched, open_, n_docs, open_.select("item").distinct().count(), most), "query-sums")
+    hopeful = hopeful.join(_kth(hopeful, "second", most), "item").join(bounds_of(open_), "item").where(F.col("reach") >= F.col("m") * F.coalesce("second", F.lit(0))).select("item", "row")
     # phase 3: exact scores of those
-    lookups = hopeful.join(asked.select("item", "item_id", "term", "gain"), "item")
-    exact = lookups.join(lists.select("term", "row", worth.alias("impact")), ["term", "row"])
+    lookups = hopeful.join(asked.select("item", "item_id", "list", "gain"), "item")
+    exact = lookups.join(lists.select("list", "row", "doc_id", worth.alias("impact")), ["list", "row"])
     scored = exact.groupBy("item", "item_id", "row", "doc_id").agg(F.sum(F.col("gain") * F.col("impact")).alias("score")).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "doc_id", "row"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= most).select("item_id", "rank", "doc_id", "score")
 
 
+def bounds_of(lists: DataFrame) -> DataFrame:
+    return lists.groupBy("item").agg(F.first("m").alias("m"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for each item of the benchmark."""
     return search(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", "text"))

@@ -88,3 +88,22 @@ def test_sql_on_a_table_with_hard_rows(spark):
     con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
     con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
     assert sorted(con.sql(lx.OP13_SQL).select("item_id, rank, doc_id, score").fetchall(), key=repr) == run(spark, docs, items)
+
+
+def test_small_cells_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(lx, "CELL_DOCS", 30)
+    monkeypatch.setattr(lx, "CELL_ITEMS", 2)
+    docs, items = corpus(200, 5)
+    assert run(spark, docs, items) == brute(docs, items)
+
+
+def test_cells_of_batches():
+    rng = random.Random(6)
+    keys = sorted((rng.randint(0, 6), rng.randint(0, 3), k) for k in range(60))
+    table = lx.pa.table({"a": [k[0] for k in keys], "b": [k[1] for k in keys], "v": [k[2] for k in keys]})
+    for size in (1, 4, 7, 100):
+        got = [(int(c["a"][0]), int(c["b"][0]), c["v"].tolist()) for c in lx.cells(iter(table.to_batches(max_chunksize=size)), ["a", "b"])]
+        want = {}
+        for a, b, v in keys:
+            want.setdefault((a, b), []).append(v)
+        assert got == [(a, b, v) for (a, b), v in want.items()]

@@ -45,12 +45,12 @@ class Engine:
     def register_views(self) -> None:
         """The tables as views for SQL, with the sections and page texts of all documents; nothing is built before it is asked for."""
         whole = {"sections": self._sections_of(None), "page_text": self._pages_of(None)}
-        for name, df in {**self.data, **whole}.items():
+        for name, df in {**{name: canonical.of_spec(df, None) for name, df in self.data.items()}, **whole}.items():
             df.createOrReplaceTempView(name)
 
     def _table(self, name: str, spec: str | None) -> DataFrame:
         """A table, or a document's part of it."""
-        return self.data[name] if spec is None else self._of(self.data[name], spec)
+        return canonical.of_spec(self.data[name], spec)
 
     def _sections_of(self, spec: str | None) -> DataFrame:
         return outline.sections(self._table("outline_entries", spec), self._table("doc_stats", spec))
@@ -96,7 +96,7 @@ class Engine:
         return found
 
     def _of(self, df: DataFrame, spec: str) -> DataFrame:
-        return df.where(F.col("spec_id") == spec)
+        return canonical.of_spec(df, spec)
 
     def _content(self, spec: str, secs: DataFrame) -> DataFrame:
         """Elements of some sections of a document; only pages that they cover are read."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMAS = {
@@ -12,18 +14,38 @@ SCHEMAS = {
     "struct_nodes": "spec_id string, page int, node_id bigint, parent_id bigint, sib_ord int, role string, content_id string",
     "text_items": "spec_id string, page int, seq int, kind string, content_id string, str string, has_eol boolean",
 }
-#: What is read page by page is laid out by document, so that a query of one document reads its files alone.
-BY_SPEC = {"struct_nodes", "text_items", "outline_entries"}
+#: What is read page by page is dealt by document to so many folders, however many documents there are, and sorted in files: a query of one document reads a folder, and of its files the row groups that may hold the document.
+BY_SPEC, PARTS = {"struct_nodes", "text_items", "outline_entries"}, 256
+#: Pages of a document that are written together.
+PAGES = 4096
+
+
+def _part(spec_id: Column) -> Column:
+    return F.pmod(F.xxhash64(spec_id), F.lit(PARTS)).cast("int")
 
 
 def write(tables: dict[str, DataFrame], folder: str) -> None:
+    """Writes tables to a folder of their own each; what was there is replaced."""
     for name, df in tables.items():
-        writer = df.sortWithinPartitions("spec_id", *[c for c in ("page",) if c in df.columns]).write.mode("overwrite")
-        (writer.partitionBy("spec_id") if name in BY_SPEC else writer).parquet(f"{folder}/{name}")
+        if name in BY_SPEC:
+            dealt = df.withColumn("part", _part(F.col("spec_id")))
+            dealt = dealt.repartition("part", F.floor(F.col("page") / PAGES)).sortWithinPartitions("part", "spec_id", "page")
+            dealt.write.mode("overwrite").partitionBy("part").parquet(f"{folder}/{name}")
+        else:
+            df.sortWithinPartitions("spec_id").write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def read(spark: SparkSession, folder: str, names: Iterable[str] = tuple(SCHEMAS)) -> dict[str, DataFrame]:
+    """All or some tables as :func:`write` lays them out; those that are dealt have a column ``part``, which :func:`of_spec` uses and drops."""
+    return {name: spark.read.schema(schema + (", part int" if name in BY_SPEC else "")).parquet(f"{folder}/{name}") for name, schema in SCHEMAS.items() if name in names}
 
 
-def read(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in SCHEMAS.items()}
+def of_spec(table: DataFrame, spec: str | None) -> DataFrame:
+    """A document's rows of a table, or all."""
+    own = table if spec is None else table.where(F.col("spec_id") == spec)
+    if "part" not in table.columns:
+        return own
+    return (own if spec is None else own.where(F.col("part") == _part(F.lit(spec)))).drop("part")
 
 
 def resolve(outline: DataFrame, dests: DataFrame) -> DataFrame:

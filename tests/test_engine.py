@@ -148,7 +148,7 @@ def test_a_document_reads_its_own_files(engine):
     engine.get_section("2.1")
     assert {spec for _, spec in engine.held} == {"v2"}
     plan = engine._pages_of("v2")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(spec_id" in plan
+    assert "PartitionFilters: [isnotnull(part" in plan and "EqualTo(spec_id,v2)" in plan
     engine.HELD = 1
     engine.search_spec("font", spec="pdf17")
     assert len(engine.held) == 2 and {spec for _, spec in engine.held} == {"pdf17"}
@@ -161,7 +161,7 @@ def test_one_walk(engine, spark):
 
     secs = engine._sections_of("v2")
     assert loops(secs) == loops(outline.counts(secs)) == loops(outline.leaves(secs)) == loops(outline.section_keys(secs)) == 1
-    assert loops(content.page_elements(engine.data["struct_nodes"], engine.data["text_items"])) == 1
+    assert loops(content.page_elements(engine._table("struct_nodes", None), engine._table("text_items", None))) == 1
 
 
 def test_streaming_page_text(spark, tmp_path):

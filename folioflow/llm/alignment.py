@@ -9,6 +9,7 @@ one token of either side, so there is one link per different offset.
 from __future__ import annotations
 
 import hashlib
+import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,6 +35,11 @@ BLOCK_LINKS = 1 << 21
 #: Stretches of text whose tokens a task remembers, and characters of one at most.
 REMEMBERED, LONGEST = 1 << 18, 64
 
+#: Characters whose kinds do not hang on a library's Unicode tables.
+PLAIN = re.compile("[\n -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+# Fixed value: how byte-level vocabularies of this family split texts.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
 def tokenizer_files(spark: SparkSession) -> tuple[str, str]:
     folder = spark.conf.get("spark.folioflow.tokenizers", TOKENIZERS)
@@ -57,6 +63,7 @@ class Tokens:
 
     def __init__(self, file_a: str, file_b: str) -> None:
         import sentencepiece
+        import tiktoken
         import tokenizers
 
         self.a = tokenizers.Tokenizer.from_file(file_a)
@@ -66,6 +73,9 @@ class Tokens:
         self.bytes_a = [b""] * self.a.get_vocab_size()
         for token, i in self.a.get_vocab().items():
             self.bytes_a[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        # A's merges have rising ids, so its entries as ranks give the same tokens in a quicker library, where both agree on letters
+        known = {x: i for i, x in enumerate(self.bytes_a) if i not in self.a.get_added_tokens_decoder()}
+        self.quick = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks=known, special_tokens={})
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
@@ -94,7 +104,10 @@ class Tokens:
     def learn(self, new: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
         """The ids of both sides for each stretch, or None where they do not spell it out."""
         spaced = [" " + s for s in new]
-        ids_a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        ids_a = [self.quick.encode_ordinary(s) if PLAIN.fullmatch(s) else None for s in spaced]
+        rest = [i for i, ids in enumerate(ids_a) if ids is None]
+        for i, e in zip(rest, self.a.encode_batch_fast([spaced[i] for i in rest], add_special_tokens=False)):
+            ids_a[i] = e.ids
         ids_b = self.b.encode(new, num_threads=1)
         out = {}
         for s, want, a, b in zip(new, spaced, ids_a, ids_b):

@@ -1,8 +1,9 @@
 """Ranked lexical search by three-phase uniform thresholds over postings that are partitioned by term.
 
 For each query: the heads of its terms' lists, the best few documents of each, give a lower bound of the score that a result
-has; divided by the number of lists it is a threshold that a result reaches in one list at least. What is above the threshold in
-any list gives better bounds, and the documents that may still be results; these are looked up in all lists for exact scores.
+has; divided by the number of lists it is a threshold that a result reaches in one list at least. What is above the threshold
+in any list gives a better bound, and the documents that may still be results; these are looked up in all lists for exact
+scores.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ MOST = 10
 #: A term's list is dealt to so many parts by document, as a term may stand in every document.
 SALTS = 16
 #: A cell of the second phase has about so many documents, and queries.
-CELL_DOCS, CELL_ITEMS = 1 << 14, 256
+CELL_DOCS, CELL_ITEMS = 1 << 12, 256
 #: Bytes of texts whose postings are made together.
 PART = 1 << 20
 
@@ -117,18 +118,19 @@ def _kth(scores: DataFrame, name: str, most: int) -> DataFrame:
 
 
 def _partial_sums(entries: DataFrame, lists: DataFrame, n_docs: int, n_items: int, most: int) -> DataFrame:
-    """Sums of what was fetched, for the documents that may still be results: item, row, sum, reach.
+    """Sums of what was fetched, by query and document: item, row, sum; where ``bound`` is 0 the ``most`` best of each cell, else those that may reach it.
 
-    ``entries`` (list, row, impact) meet the queries' ``lists`` (item, list, gain, m, low, slack) in cells, of a block of queries
-    and a part of the documents. A cell adds up by document what reaches the query's threshold; ``reach`` is m times what a
-    document has at best. Documents whose reach is under the cell's ``most``-th best sum are no results, and are left out here.
+    ``entries`` (list, row, impact) meet the queries' ``lists`` (item, list, gain, m, low, slack, bound) in cells, of a block of
+    queries and a part of the documents. A cell adds up by document what reaches the query's threshold; at best a document
+    has slack / m more, and low / m less than that for each list it was seen in.
     """
     parts, blocks = max(1, -(-n_docs // CELL_DOCS)), max(1, -(-n_items // CELL_ITEMS))
     block = F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int").alias("block")
     none = F.lit(None).cast("long")
     wanted = lists.select(block, "list").distinct()
-    rows = entries.join(wanted, "list").select("block", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "list", "row", "impact", *[none.alias(c) for c in ("item", "gain", "m", "low", "slack")])
-    asked = lists.select(block, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), "list", none.alias("row"), none.alias("impact"), "item", "gain", "m", "low", "slack")
+    facts = ("item", "gain", "m", "low", "slack", "bound")
+    rows = entries.join(wanted, "list").select("block", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "list", "row", "impact", *[none.alias(c) for c in facts])
+    asked = lists.select(block, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), "list", none.alias("row"), none.alias("impact"), *facts)
     both = rows.unionByName(asked).repartition("block", "part").sortWithinPartitions("block", "part", "kind", "list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +145,7 @@ def _partial_sums(entries: DataFrame, lists: DataFrame, n_docs: int, n_items: in
             starts = np.flatnonzero(np.diff(cell["item"][:n][order], prepend=-1))
             for a, b in zip(starts, [*starts[1:], n]):
                 mine = order[a:b]
-                item, m, low, slack = (int(cell[c][mine[0]]) for c in ("item", "m", "low", "slack"))
+                item, m, low, slack, bound = (int(cell[c][mine[0]]) for c in ("item", "m", "low", "slack", "bound"))
                 sums, seen = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
                 for k in mine:
                     gain, here = int(cell["gain"][k]), slice(begins[k], ends[k])
@@ -151,12 +153,14 @@ def _partial_sums(entries: DataFrame, lists: DataFrame, n_docs: int, n_items: in
                     to = at[here][fetched]
                     sums[to] += gain * impacts[here][fetched]  # a list has a document once
                     seen[to] += 1
-                reach = m * sums + slack - seen * low
-                best = np.partition(sums, len(sums) - most)[-most] if len(sums) >= most else 0
-                keep = np.flatnonzero((seen > 0) & (reach >= m * best))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), item)), pa.array(docs[keep]), pa.array(sums[keep]), pa.array(reach[keep])], names=["item", "row", "sum", "reach"])
+                if bound:
+                    keep = np.flatnonzero((seen > 0) & (m * sums + slack - seen * low >= m * bound))
+                else:
+                    keep = np.flatnonzero(seen)
+                    keep = keep[np.argsort(-sums[keep], kind="stable")[:most]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), item)), pa.array(docs[keep]), pa.array(sums[keep])], names=["item", "row", "sum"])
 
-    return both.mapInArrow(run, "item long, row long, sum long, reach long")
+    return both.mapInArrow(run, "item long, row long, sum long")
 
 
 def cells(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -224,8 +228,12 @@ def search(docs: DataFrame, queries: DataFrame, most: int = MOST) -> DataFrame:
     at_least = F.ceil(F.col("low") / (F.col("m") * F.col("gain")).cast("double") * F.lit(1 - 1e-12)).cast("long")
     least = open_.groupBy("list").agg(F.min(at_least).alias("least"))
     fetched = lists.select("list", "row", worth.alias("impact")).join(least, "list").where(F.col("impact") >= F.col("least")).drop("least")
-    hopeful = materialize(_partial_sums(fetched, open_, n_docs, open_.select("item").distinct().count(), most), "query-sums")
-    hopeful = hopeful.join(_kth(hopeful, "second", most), "item").join(bounds_of(open_), "item").where(F.col("reach") >= F.col("m") * F.coalesce("second", F.lit(0))).select("item", "row")
+    n_items = open_.select("item").distinct().count()
+    # the cells' best give the second bound, and with it each cell those that may still reach it; both read the lists again
+    best_sums = _partial_sums(fetched, open_.withColumn("bound", F.lit(0).cast("long")), n_docs, n_items, most)
+    second = materialize(_kth(best_sums, "bound", most), "query-second")
+    bounded = open_.join(second, "item", "left").withColumn("bound", F.greatest(F.coalesce("bound", F.lit(1)), F.lit(1)))
+    hopeful = _partial_sums(fetched, bounded, n_docs, n_items, most).select("item", "row")
     # phase 3: exact scores of those
     lookups = hopeful.join(asked.select("item", "item_id", "list", "gain"), "item")
     exact = lookups.join(lists.select("list", "row", "doc_id", worth.alias("impact")), ["list", "row"])
@@ -234,10 +242,6 @@ def search(docs: DataFrame, queries: DataFrame, most: int = MOST) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= most).select("item_id", "rank", "doc_id", "score")
 
 
-def bounds_of(lists: DataFrame) -> DataFrame:
-    return lists.groupBy("item").agg(F.first("m").alias("m"))
-
-
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for each item of the benchmark."""
     return search(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", "text"))

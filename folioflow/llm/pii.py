@@ -1,8 +1,9 @@
 """Personal data by bootstrapped contextual extraction.
 
 Base rules find emails, addresses, cards and phones: the seed entities. What stands around a seed, one to three tokens to its
-left and one or two to its right, induces lexical patterns; a few seed contexts of secrets are patterns from the start. Every
-string that looks like an identifier at all (see CANDIDATE) may stand in a pattern's slot. Patterns and instances form a graph
+left and one or two to its right, induces lexical patterns. Secrets have shapes of well-known keys as seeds, and a few contexts
+that are patterns from the start. Every string that looks like an identifier at all (see :func:`candidates`), of any length, may
+stand in a pattern's slot; signs that part strings belong to the context, so labels that are glued to a value are seen. Patterns and instances form a graph
 that Spark scores in rounds until it stands still: a pattern is as good as the share of its occurrences in the corpus that hold
 confident instances, an instance as good as the places it stands in. Instances that become confident induce further patterns
 in the next round; what is confident at the end is personal data that no base rule knows.
@@ -10,7 +11,10 @@ in the next round; what is confident at the end is personal data that no base ru
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,17 +23,17 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import empty_if_null, forget, materialize, read
 
-#: Kinds of spans. The base rules know the first four; the last has seed contexts only, so all of its spans are discovered.
+#: Kinds of spans. The base rules know the first four.
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
-#: First tokens of patterns are sent to all executors up to this many, and joined by a shuffle beyond.
-BROADCAST_TOKENS = 100_000
+#: Grams that are counted in the corpus are told from others by so many bits, then exactly.
+LG_BITS = 22
 #: Rounds at most; the graph mostly stands still after three or four.
 ROUNDS = 10
 #: Tokens to the left and right that a pattern may have, and characters beside a span that are looked at for them.
 LEFT, RIGHT, BESIDE = 3, 2, 60
-#: An identifier is no longer than this.
-LONGEST = 256
+#: A longer string is told from others by its digest.
+LONG = 256
 
 # The base rules. Domains are looked for at each "@", and the local part to the left of it; this finds what
 # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+ finds, in linear time on long runs of letters.
@@ -43,15 +47,24 @@ DIGIT = re.compile(r"[0-9]")
 # Words before a colon or an equals sign that announce a secret.
 SECRET_WORDS = ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "private_key")
 
-#: What marks a string as a possible identifier. The string is the run of non-spaces around the mark; a bracketed "at" or "dot"
-#: ties its neighbours together, and so does a single space between two runs with digits.
-CANDIDATE = re.compile(r"[0-9@_]|[\[(](?:at|dot)[\])]")
-GLUE = re.compile(r"[\[(](?:at|dot)[\])]")
+# Shapes of well-known keys.
+SHAPE_STARTS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox", "eyJ")
+SHAPE = re.compile(r"(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}(?![0-9A-Z])|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+)")
+
+#: Characters of strings: all but white space and signs that part a value from its label or from others. A string with a digit,
+#: an underscore or an "@" may be an identifier, and so may any of six characters or more right behind a colon or an equals sign.
+_IN = r"[^\s=:,;\"'`(){}\[\]<>&|"
+MARKED = re.compile(rf"(?<!{_IN}]){_IN}0-9@_]*+[0-9@_]{_IN}]*+")
+LABELLED = re.compile(rf"(?<=[=:])[\"'` \t]{{0,3}}+({_IN}]{{6,}}+)")
+#: A bracketed "at" or "dot" ties its neighbours together, and so does a space, with or without a bracket, between two strings with digits.
+GLUED = re.compile(rf"({_IN}]++) ?[\[(](?:at|dot)[\])] ?({_IN}]++)")
+TIES = (" ", ") ", ")")
 #: A token of a context: a word, or a sign that is no quotation mark.
-TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_\"'`]"
+TOKEN = re.compile(r"\w+|[^\w\s\"'`]")
 
-SPOT = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("norm", pa.string()), ("left", pa.string()), ("right", pa.string())])
-SPOT_DDL = "array<struct<kind:int,start:int,end:int,norm:string,left:string,right:string>>"
+GRAM = pa.struct([("side", pa.string()), ("gram", pa.string())])
+SPOT = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("norm", pa.string()), ("patterns", pa.list_(GRAM))])
+SPOT_DDL = "array<struct<kind:int,start:int,end:int,norm:string,patterns:array<struct<side:string,gram:string>>>>"
 
 
 def luhn(digits: str) -> bool:
@@ -96,62 +109,66 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """(start, end) of every string that may be an identifier, in order and apart from each other; signs at its ends are left out."""
+    found = {m.span() for m in MARKED.finditer(text)}
+    found |= {m.span(1) for m in LABELLED.finditer(text)}
+    if "(" in text or "[" in text:
+        at = 0
+        while m := GLUED.search(text, at):
+            found.add(m.span())
+            at = m.start(2)  # a chain goes on with what was tied
     runs: list[list[int]] = []
-    done = 0
-    for m in CANDIDATE.finditer(text):
-        if m.start() < done:
+    for start, end in sorted(found):
+        if runs and start < runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], end)
             continue
-        start, end = m.span()
-        while start > done and not text[start - 1].isspace():
-            start -= 1
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        tied = False
-        if GLUE.fullmatch(text, start, end):  # the words on both sides belong to it
-            while start > done and text[start - 1] == " ":
-                start -= 1
-            while start > done and not text[start - 1].isspace():
-                start -= 1
-            while end < len(text) and text[end] == " ":
-                end += 1
-            while end < len(text) and not text[end].isspace():
-                end += 1
-            tied = bool(runs) and text[runs[-1][1] : start].strip(" ") == ""
-        elif runs and text[runs[-1][1] : start] == " " and (text[start - 2].isalnum() or text[start - 2] == ")"):
-            tied = bool(DIGIT.search(text, *runs[-1]) and DIGIT.search(text, start, end))
-        if tied:
+        gap = text[runs[-1][1] : start] if runs and start - runs[-1][1] <= 2 else None
+        if gap in TIES and text[runs[-1][1] - 1].isalnum() and DIGIT.search(text, *runs[-1]) and DIGIT.search(text, start, end):
+            if gap != " ":
+                runs[-1][0] -= text[runs[-1][0] - 1 : runs[-1][0]] == "("
             runs[-1][1] = end
         else:
             runs.append([start, end])
-        done = end
     out = []
     for start, end in runs:
-        if end - start > 2 * LONGEST:
-            continue
         while start < end and not text[start].isalnum() and not (text[start] == "(" and ")" in text[start:end]) and text[start] != "+":
             start += 1
         while end > start and not text[end - 1].isalnum():
             end -= 1
-        if 3 <= end - start <= LONGEST:
+        if end - start >= 3:
             out.append((start, end))
     return out
 
 
+def tokens(text: str) -> list[str]:
+    return TOKEN.findall(text.lower())
+
+
+def grams(left: str, right: str) -> list[dict]:
+    """The patterns of a place from what stands to its left and right."""
+    ahead, behind = tokens(left), tokens(right)
+    out = [{"side": "l", "gram": " ".join(ahead[-n:])} for n in range(1, LEFT + 1) if len(ahead) >= n]
+    return out + [{"side": "r", "gram": " ".join(behind[:n])} for n in range(1, RIGHT + 1) if len(behind) >= n]
+
+
 def spots(text: str | None) -> list[dict]:
-    """Base spans and, under kind -1, the candidates that touch none, with what stands beside them; by kind, then start."""
+    """Base spans, keys of known shape and, under kind -1, the candidates that touch none, with the patterns they stand in; by kind, then start."""
     if not text:
         return []
-    base = base_spans(text)
-    taken, at, free = sorted(x[1:] for x in base), 0, []
+    known = base_spans(text)
+    if any(s in text for s in SHAPE_STARTS):
+        known += [(KINDS.index("secret"), *m.span()) for m in SHAPE.finditer(text)]
+    taken, at, free, reach = sorted(x[1:] for x in known), 0, [], 0
     for start, end in candidates(text):
-        while at < len(taken) and taken[at][1] <= start:
+        while at < len(taken) and taken[at][0] < end:
+            reach = max(reach, taken[at][1])
             at += 1
-        if at == len(taken) or taken[at][0] >= end:
+        if reach <= start:
             free.append((-1, start, end))
     out = []
-    for kind, start, end in free + base:
-        norm = _digits(text[start:end]) if kind > 1 else text[start:end].lower()
-        out.append({"kind": kind, "start": start, "end": end, "norm": norm, "left": text[max(0, start - BESIDE) : start], "right": text[end : end + BESIDE]})
+    for kind, start, end in free + known:
+        norm = _digits(text[start:end]) if kind in (2, 3) else text[start:end].lower()
+        norm = hashlib.sha256(norm.encode()).hexdigest() if len(norm) > LONG else norm
+        out.append({"kind": kind, "start": start, "end": end, "norm": norm, "patterns": grams(text[max(0, start - BESIDE) : start], text[end : end + BESIDE])})
     return out
 
 
@@ -161,17 +178,6 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["doc_id", "found"])
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-
-
-def grams(ahead: Column, behind: Column) -> Column:
-    """The patterns of a place from its tokens to the left and right: an array of (side, gram)."""
-    left = [F.when(F.size(ahead) >= n, F.struct(F.lit("l").alias("side"), F.array_join(F.slice(ahead, -n, n), " ").alias("gram"))) for n in range(1, LEFT + 1)]
-    right = [F.when(F.size(behind) >= n, F.struct(F.lit("r").alias("side"), F.array_join(F.slice(behind, 1, n), " ").alias("gram"))) for n in range(1, RIGHT + 1)]
-    return F.array_compact(F.array(*left, *right))
-
-
 def seed_patterns(spark: SparkSession) -> DataFrame:
     """Contexts that are patterns of secrets from the start: (kind, side, gram, conf)."""
     rows = [(KINDS.index("secret"), "l", f"{w} {sign}", 0.95) for w in SECRET_WORDS for sign in "=:"]
@@ -180,22 +186,53 @@ def seed_patterns(spark: SparkSession) -> DataFrame:
 
 def occurrences(spots_: DataFrame) -> DataFrame:
     """Instances and places: (kind, norm, place, patterns, n), one row per instance and surrounding, n times in the corpus."""
-    placed = spots_.select("kind", "norm", grams(tokens(F.col("left")), tokens(F.col("right"))).alias("patterns"))
-    return placed.groupBy("kind", "norm", "patterns").agg(F.count("*").alias("n")).withColumn("place", F.xxhash64("patterns"))
+    return spots_.groupBy("kind", "norm", "patterns").agg(F.count("*").alias("n")).withColumn("place", F.xxhash64("patterns"))
+
+
+def _bits(grams_: DataFrame) -> bytes:
+    """A bit set of the checksums of ``grams_`` (gram), of the same size however many there are."""
+    at = F.crc32("gram") % (1 << LG_BITS)
+    rows = grams_.select(F.shiftright(at, 15).alias("part"), (at % (1 << 15)).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    out = bytearray(1 << (LG_BITS - 3))
+    for r in rows:
+        out[r.part << 12 : (r.part + 1) << 12] = r.bits
+    return bytes(out)
 
 
 def corpus_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """How often each of ``wanted`` (gram) stands in the texts of ``docs``, whatever follows: (gram, total)."""
-    first = materialize(wanted.select(F.substring_index("gram", " ", 1).alias("a")).distinct(), "pii-first")
-    if first.count() <= BROADCAST_TOKENS:
-        first, wanted = F.broadcast(first), F.broadcast(wanted)
-    words = docs.select(tokens(F.col("text")).alias("w"))
-    three = words.select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.size("w")).alias("b"), F.slice("w", 3, F.size("w")).alias("c"))).alias("t")).select("t.*")
-    some = three.join(first, "a", "left_semi")
-    ab = F.when(F.col("b").isNotNull(), F.concat_ws(" ", "a", "b"))
-    abc = F.when(F.col("c").isNotNull(), F.concat_ws(" ", "a", "b", "c"))
-    each = some.select(F.explode(F.array_compact(F.array("a", ab, abc))).alias("gram")).join(wanted.select("gram"), "gram", "left_semi")
-    return each.groupBy("gram").agg(F.count("*").alias("total"))
+    """How often each of ``wanted`` (gram, different ones) stands in the texts of ``docs``, whatever follows: (gram, total).
+
+    Tasks count what may be wanted by a bit set, and only that meets the wanted grams themselves.
+    """
+    whole = _bits(wanted)
+    begins = _bits(wanted.where(F.col("gram").contains(" ")).select(F.substring_index("gram", " ", 1).alias("gram")))
+
+    def held(bits: bytes, gram: str) -> bool:
+        at = zlib.crc32(gram.encode()) % (1 << LG_BITS)
+        return bool(bits[at >> 3] >> (at & 7) & 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, first = {}, {}  # what the sets say of tokens met so far
+        for batch in batches:
+            total: Counter[str] = Counter()
+            for text in batch.column("text"):
+                w = tokens(text.as_py() or "")
+                if len(kept) > 1 << 18:
+                    kept, first = {}, {}
+                for token, n in Counter(w).items():
+                    if token not in kept:
+                        kept[token], first[token] = held(whole, token), held(begins, token)
+                    if kept[token]:
+                        total[token] += n
+                for i, token in enumerate(w):
+                    if first[token]:
+                        for n in (2, 3):
+                            if i + n <= len(w) and held(whole, gram := " ".join(w[i : i + n])):
+                                total[gram] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
+
+    each = docs.select("text").mapInArrow(run, "gram string, n long")
+    return each.groupBy("gram").agg(F.sum("n").alias("total")).join(wanted.select("gram"), "gram")
 
 
 def score_graph(found: DataFrame, totals: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, min_support: int = 3, min_score: float = 0.8, prior: float = 1.0) -> tuple[DataFrame, DataFrame]:
@@ -207,7 +244,6 @@ def score_graph(found: DataFrame, totals: DataFrame, seeds: DataFrame, rounds: i
     as 1 - (1 - l)(1 - r), l and r the best of its patterns on each side; an instance scores the mean of its places, for the
     kind with the largest mean, where places that no pattern knows say nothing. Rounds end when the confident instances stay the same, or after ``rounds``.
     """
-    base = found.where("kind >= 0").select("kind", "norm").distinct().withColumn("score", F.lit(1.0))
     loose = found.where("kind < 0")
     spread = loose.select("norm", "place", "n", F.explode("patterns").alias("p")).select("norm", "place", "n", "p.side", "p.gram")
     scores = materialize(loose.limit(0).select("norm", "kind", F.lit(0.0).alias("score")), "pii-scores")
@@ -239,8 +275,8 @@ def score_graph(found: DataFrame, totals: DataFrame, seeds: DataFrame, rounds: i
 def find_pii(docs: DataFrame, rounds: int = ROUNDS, min_support: int = 3, min_score: float = 0.8) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; others are ignored): doc_id and ``found``, an array of (kind, start, end, base).
 
-    Spans are in code points with their end excluded, by kind in the order of KINDS, then start; ``base`` tells base matches
-    from those that patterns added, which never overlap a base match. A null text counts as empty; an empty one has no
+    Spans are in code points with their end excluded, by kind in the order of KINDS, then start; ``base`` tells matches of the
+    four base rules from keys of known shape and what patterns added, which never overlap a known span. A null text counts as empty; an empty one has no
     spans; repeated rows fare alike; null doc_ids stay. Texts are read twice (scan, corpus counts) and never shuffled. An
     instance is confirmed by the whole corpus and then marked wherever it stands.
     """
@@ -259,11 +295,11 @@ def find_pii(docs: DataFrame, rounds: int = ROUNDS, min_support: int = 3, min_sc
         for done in (found, beside, totals):
             forget(done)
         sure = scores.where(F.col("score") >= min_score).select("norm", F.col("kind").alias("as"))
-        new = each.where("kind < 0").join(sure, "norm").groupBy("row").agg(F.collect_list(F.struct(F.col("as").alias("kind"), "start", "end", "norm", "left", "right")).alias("added"))
+        new = each.where("kind < 0").join(sure, "norm").groupBy("row").agg(F.collect_list(F.struct(F.col("as").alias("kind"), "start", "end", "norm", "patterns")).alias("added"))
         out, added = seen.join(new, "row", "left"), F.col("added")
 
-    def plain(spans: Column, base: bool) -> Column:
-        return F.transform(spans, lambda o: F.struct(o.kind.alias("kind"), o.start.alias("start"), o.end.alias("end"), F.lit(base).alias("base")))
+    def plain(spans: Column, known: bool) -> Column:
+        return F.transform(spans, lambda o: F.struct(o.kind.alias("kind"), o.start.alias("start"), o.end.alias("end"), ((o.kind < len(BASE_KINDS)) & F.lit(known)).alias("base")))
 
     known = plain(F.filter("found", lambda o: o.kind >= 0), True)
     return out.select("doc_id", F.array_sort(F.concat(known, plain(F.coalesce(added, F.array().cast(SPOT_DDL)), False))).alias("found"))
@@ -283,19 +319,16 @@ def span_text(spans: Column) -> Column:
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text: base matches counted and digested, and all spans spelt out.
 
-    ``spans`` has all spans of the four base kinds; secrets, which have no base rule, are counted and spelt out beside them.
-    n_added counts what the patterns discovered, of any kind.
+    ``spans`` has all spans of all kinds, those that were discovered too; n_added counts what no base rule finds.
     """
     found = find_pii(read(spark, sf_dir, "documents").select("doc_id", empty_if_null("text").alias("text")))
     base, secret = F.filter("found", lambda s: s.base), of_kind(F.col("found"), KINDS.index("secret"))
     counts = [F.size(of_kind(base, k)).cast("long").alias(f"n_{name}") for k, name in enumerate(BASE_KINDS)]
-    named = F.filter("found", lambda s: s.kind < len(BASE_KINDS))
     return found.select(
         "doc_id",
         *counts,
         F.sha2(span_text(base), 256).alias("base_sha256"),
-        span_text(named).alias("spans"),
+        span_text(F.col("found")).alias("spans"),
         F.size(secret).cast("long").alias("n_secret"),
-        span_text(secret).alias("secrets"),
         (F.size("found") - F.size(base)).cast("long").alias("n_added"),
     )

@@ -2,7 +2,6 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
-import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -70,19 +69,17 @@ def test_query_counts_and_digest_against_the_rules(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(said).encode()).hexdigest()
         added = [(known[s["norm"]], s["start"], s["end"]) for s in pii.spots(docs[r.doc_id]) if s["kind"] < 0 and s["norm"] in known]
         every = sorted(base + added)
-        assert r.spans == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in every if k < 4)
-        assert r.secrets == ",".join(f"secret:{a}:{b}" for k, a, b in every if k == 4)
+        assert r.spans == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in every)
         assert r.n_added == len(added) and r.n_secret == sum(k == 4 for k, _, _ in added)
     assert sum(r.n_added for r in rows) > 0
 
 
 def words(text):
-    return regex.findall(pii.TOKEN, text.lower())
+    return re.findall(r"\w+|[^\w\s\"'`]", text.lower())
 
 
-def patterns_of(left, right):
-    a, b = words(left), words(right)
-    return [("l", " ".join(a[-n:])) for n in range(1, pii.LEFT + 1) if len(a) >= n] + [("r", " ".join(b[:n])) for n in range(1, pii.RIGHT + 1) if len(b) >= n]
+def patterns_of(spot):
+    return [(p["side"], p["gram"]) for p in spot["patterns"]]
 
 
 def graph(texts, rounds=pii.ROUNDS, min_support=3, min_score=0.8, prior=1.0):
@@ -99,7 +96,7 @@ def graph(texts, rounds=pii.ROUNDS, min_support=3, min_score=0.8, prior=1.0):
         for s in spots:
             kind, score = (s["kind"], 1.0) if s["kind"] >= 0 else sure.get(s["norm"], (None, 0))
             if kind is not None:
-                for p in patterns_of(s["left"], s["right"]):
+                for p in patterns_of(s):
                     mass[kind, *p] += score
                     who[kind, *p].add(s["norm"])
         conf = {p: min(0.99, m / (totals[p[2]] + prior)) for p, m in mass.items() if len(who[p]) >= min_support and totals[p[2]]}
@@ -107,10 +104,10 @@ def graph(texts, rounds=pii.ROUNDS, min_support=3, min_score=0.8, prior=1.0):
         got, n = defaultdict(float), Counter()
         for s in spots:
             if s["kind"] < 0:
-                places = patterns_of(s["left"], s["right"])
+                places = patterns_of(s)
                 n[s["norm"]] += any((kind, *p) in conf for kind in range(5) for p in places)
                 for kind in range(5):
-                    best = {side: max([conf.get((kind, *p), 0) for p in patterns_of(s["left"], s["right"]) if p[0] == side], default=0) for side in "lr"}
+                    best = {side: max([conf.get((kind, *p), 0) for p in places if p[0] == side], default=0) for side in "lr"}
                     got[s["norm"], kind] += 1 - (1 - best["l"]) * (1 - best["r"])
         new = {}
         for norm, c in n.items():
@@ -157,10 +154,37 @@ def test_discovered_instances_teach_further_patterns(spark):
 
 
 def test_candidates_are_linear_and_apart():
-    assert pii.candidates("a " * 10 + "9" * 300_000) == [] and pii.candidates("(" * 100_000 + "1") == []
+    assert pii.candidates("a " * 10 + "9" * 300_000) == [(20, 300_020)] and pii.candidates("(" * 100_000 + "1") == []
+    assert pii.candidates("x" * 300_000) == [] and pii.candidates("a@" * 100_000) == [(0, 199_999)]
+    assert len(pii.candidates("(at)" * 50_000 + " a (dot) b" * 20_000)) == 20_000 and len(pii.candidates("a (dot) " * 20_000 + "b")) == 1
     text = 'x = "a1b2c3"### (555) 555-0100, 12 and __init__ b@c'
     assert [text[a:b] for a, b in pii.candidates(text)] == ["a1b2c3", "(555) 555-0100", "init", "b@c"]
 
 
 def test_no_rows_and_clashing_columns(spark):
     assert pii.find_pii(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_glued_and_long_secrets(spark):
+    """Values right behind their labels, without digits, and of any length."""
+    long = "Qx" * 140
+    shapes = [("cfg line password=", "Hunter3x{}Q", ""), ("API_KEY=", "sk{}45678", ""), ('{"token":"', "abcdefgh{}", '"}'), ('token = "', "abcdefgh", '" ok'), ("x;secret:", "Zz-{}.q/+7", ";y"), ('token = "', long, '"'), ("[passwd=", "plainword", "]")]
+    rows, want = [], {}
+    for i in range(70):
+        before, value, after = shapes[i % len(shapes)]
+        value = value.format(i)
+        rows.append((i, f"{before}{value}{after}", "x", 1))
+        want[i] = [(4, len(before), len(before) + len(value), False)]
+    rows += [(200, "y" * 700 + ' token="' + "k" * 900 + '" ' + "z" * 5000 + "=1", "x", 1), (201, "the word after a colon: something else", "x", 1), (202, "a=b;" * 3000 + "password=Deep4secret", "x", 1)]
+    rows += [(300 + i, f"remark {i}: common, words: follow{chr(97 + i % 26)}; colons: mostly", "x", 1) for i in range(60)]
+    found = discovered(spark, rows)
+    assert {i: found[i][0] for i in want} == want
+    assert found[200] == [[(4, 708, 1608, False)]] and found[201] == [[]] and found[202] == [[(4, 12009, 12020, False)]]
+
+
+def test_known_shapes_induce_contexts(spark):
+    """Keys of known shape are seeds: what stands in their contexts is found too."""
+    rows = [(i, f"deploy credential AKIA{'ABCDEFGHIJKLMNOP'[i:] + 'ABCDEFGHIJKLMNOP'[:i]} rotated", "x", 1) for i in range(8)]
+    rows += [(50, "deploy credential Own_4711 rotated", "x", 1), (51, "their number 4711 here", "x", 1)]
+    found = discovered(spark, rows)
+    assert all(found[i] == [[(4, 18, 38, False)]] for i in range(8)) and found[50] == [[(4, 18, 26, False)]] and found[51] == [[]]

@@ -66,6 +66,27 @@ def tree_rows(entries: DataFrame, max_depth: int | None = None) -> DataFrame:
     return rows.where(F.col("depth") < max_depth) if max_depth else rows
 
 
+def nested(tree: DataFrame, levels: int = 10) -> DataFrame:
+    """The whole tree of each document as one JSON array (spec_id, tree), from rows of :func:`tree_rows`; deeper entries than ``levels`` are left out.
+
+    Trees are put together from the deepest level up: each level's entries take in the arrays of their children, so there is
+    a grouping per level, and a document's tree is one value. Entries of a parent are in reading order.
+    """
+    own = F.to_json(F.struct("title", "page", F.col("section").alias("sectionNumber")), {"ignoreNullFields": "false"})
+    rows = tree.where(F.col("depth") < levels).select("spec_id", "entry_id", "parent_id", "ord", "depth", F.regexp_replace(own, "\\}\\z", "").alias("own"))
+    below: DataFrame | None = None
+    for depth in reversed(range(levels)):
+        level = rows.where(F.col("depth") == depth)
+        if below is None:
+            level = level.withColumn("kids", F.lit(None).cast("string"))
+        else:
+            level = level.join(below, (level["spec_id"] == below["of_spec"]) & (level["entry_id"] == below["of"]), "left").drop("of_spec", "of")
+        made = F.concat("own", F.lit(',"children":['), F.coalesce("kids", F.lit("")), F.lit("]}"))
+        kids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", made.alias("json")))), lambda k: k["json"]), ",")
+        below = level.groupBy(F.col("spec_id").alias("of_spec"), F.col("parent_id").alias("of")).agg(kids.alias("kids"))
+    return below.select(F.col("of_spec").alias("spec_id"), F.concat(F.lit("["), "kids", F.lit("]")).alias("tree"))
+
+
 def section_keys(secs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """What a section can be looked up by (spec_id, key, ord): its number, of equal ones the last; in lower case, the first, unless that is a number.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as tx
+from folioflow.sources import shared
 
 # The keywords, longer ones first.
 KEYWORDS = ("shall not", "should not", "shall", "should", "may")
@@ -50,16 +51,21 @@ def _sentences(text: Column, keywords: tuple[str, ...]) -> Column:
     return F.array_distinct(F.flatten(F.transform(parts, of_part)))
 
 
+def found(content: DataFrame, keywords: tuple[str, ...] = KEYWORDS) -> DataFrame:
+    """Requirements of ``content`` without numbers: spec_id, section, elem_ord, item_ord, n, level, text."""
+    rows = texts(content).where(F.rlike("text", F.lit(_pattern(keywords))))
+    each = rows.select("spec_id", "section", "elem_ord", "item_ord", F.posexplode(_sentences(F.col("text"), keywords)).alias("n", "m"))
+    return each.select("spec_id", "section", "elem_ord", "item_ord", "n", F.substring_index("m", _MARK, 1).alias("level"), F.substring_index("m", _MARK, -1).alias("text"))
+
+
 def extract(content: DataFrame, keywords: tuple[str, ...] = KEYWORDS) -> DataFrame:
     """Requirements of ``content`` (spec_id, section, elem_ord, type, text, items): spec_id, section, id, level, text, and where they stand.
 
     A sentence counts once per level within a paragraph, note or item; ids number the requirements of a section in order.
+    Sentences are cut once: they are written before they are numbered.
     """
-    rows = texts(content).where(F.rlike("text", F.lit(_pattern(keywords))))
-    found = rows.select("spec_id", "section", "elem_ord", "item_ord", F.posexplode(_sentences(F.col("text"), keywords)).alias("n", "m"))
-    found = found.select("spec_id", "section", "elem_ord", "item_ord", "n", F.substring_index("m", _MARK, 1).alias("level"), F.substring_index("m", _MARK, -1).alias("sentence"))
-    found = numbered(found, ["elem_ord", "item_ord", "n"])
-    return found.select("spec_id", "section", F.concat_ws("-", F.lit("R"), "section", F.col("number").cast("string")).alias("id"), "level", F.col("sentence").alias("text"), "elem_ord", "item_ord", "number")
+    rows = numbered(shared.written(found(content, keywords), "requirements"), ["elem_ord", "item_ord", "n"])
+    return rows.select("spec_id", "section", F.concat_ws("-", F.lit("R"), "section", F.col("number").cast("string")).alias("id"), "level", "text", "elem_ord", "item_ord", "number")
 
 
 def numbered(rows: DataFrame, order: list[str], group: tuple[str, ...] = ("spec_id", "section")) -> DataFrame:
@@ -67,15 +73,15 @@ def numbered(rows: DataFrame, order: list[str], group: tuple[str, ...] = ("spec_
 
     Rows are numbered within spans of that column; what lies before a span is a running sum of counts, one per span.
     """
-    spanned = rows.withColumn("span", F.floor(F.col(order[0]) / SPAN))
     keys = [*group, "span"]
+    spanned = rows.withColumn("span", F.floor(F.col(order[0]) / SPAN))
     behind = Window.partitionBy(*group).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     before = spanned.groupBy(*keys).agg(F.count("*").alias("here")).select(*keys, F.coalesce(F.sum("here").over(behind), F.lit(0)).alias("before"))
-    inside = spanned.withColumn("inside", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    placed = spanned.withColumn("inside", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    return inside.alias("a").join(before.alias("b"), same).select("a.*", (F.col("before") + F.col("inside")).cast("int").alias("number")).drop("span", "inside")
+    return placed.alias("a").join(before.alias("b"), same).select("a.*", (F.col("before") + F.col("inside")).cast("int").alias("number")).drop("span", "inside")
 
 
 def statistics(requirements: DataFrame) -> DataFrame:
-    """How many requirements of each level there are, levels without any left out."""
+    """How many requirements (of :func:`found` or :func:`extract`) of each level there are, levels without any left out."""
     return requirements.groupBy("spec_id", "level").agg(F.count("*").alias("n"))

@@ -306,7 +306,7 @@ def requirements_extract(spark, sf_dir):
 
 @query(REQUIRED + "SELECT spec_id, level, count(*) AS n FROM numbered GROUP BY ALL")
 def requirements_stats(spark, sf_dir):
-    return requirements.statistics(requirements.extract(document_lines(spark, sf_dir), COMMON))
+    return requirements.statistics(requirements.found(document_lines(spark, sf_dir), COMMON))
 
 
 @query(REQUIRED + "SELECT id, text FROM (SELECT 'R-' || section || '-' || number AS id, level, sentence AS text, spec_id FROM numbered) WHERE level = 'with' AND spec_id = 'en'")

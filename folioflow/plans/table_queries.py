@@ -128,9 +128,9 @@ def search_titles(spark, sf_dir):
 
 def supplier_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as the outline of each language's document."""
-    one = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ord"), F.concat(F.lit("S"), "s_suppkey").alias("section"), F.concat(F.lit("Title "), F.col("s_suppkey") % 7).alias("title"), (F.col("s_suppkey") * 10).alias("page"))
-    languages = table(spark, sf_dir, "documents").agg(F.array_sort(F.collect_set("lang")).alias("all"))
-    return languages.select(F.explode("all").alias("spec_id"), F.lit(1).alias("one")).join(F.broadcast(one.withColumn("one", F.lit(1))), "one").drop("one")
+    languages = [r.lang for r in table(spark, sf_dir, "documents").select("lang").distinct().orderBy("lang").collect()]
+    each = F.explode(F.array(*map(F.lit, languages)).cast("array<string>")).alias("spec_id")
+    return table(spark, sf_dir, "supplier").select(each, F.col("s_suppkey").alias("ord"), F.concat(F.lit("S"), "s_suppkey").alias("section"), F.concat(F.lit("Title "), F.col("s_suppkey") % 7).alias("title"), (F.col("s_suppkey") * 10).alias("page"))
 
 
 def document_index(spark: SparkSession, sf_dir: str, secs: DataFrame) -> DataFrame:

@@ -182,8 +182,10 @@ class Engine:
         if spec not in DEFINED:
             raise ContentError(f'get_definitions is only supported for {", ".join(DEFINED)}. For "{spec}", use get_section with section "3" instead.')
         s = self._find(spec, "3")
-        found = definitions.extract(self._content(spec, self.sections(spec).where(F.col("ord") == s.ord)))
-        rows = [{k: v for k, v in r.asDict().items() if k not in ("spec_id", "number") and v is not None} for r in definitions.matching(found, term).orderBy("number").collect()]
+        elements = self._content(spec, self.sections(spec).where(F.col("ord") == s.ord)).persist()  # read more than once
+        found = definitions.matching(definitions.extract(elements), term)
+        rows = [{k: v for k, v in r.asDict().items() if k not in ("spec_id", "number") and v is not None} for r in found.orderBy("number").collect()]
+        elements.unpersist()
         return {"totalDefinitions": len(rows), "searchTerm": term, "definitions": rows}
 
     def get_tables(self, section: Any, table_index: Any = None, spec: Any = None) -> dict:
@@ -191,8 +193,9 @@ class Engine:
         section, index = check.section(section), check.table_index(table_index)
         spec = self._spec(spec)
         s = self._find(spec, section)
-        found = tables.section_tables(self._content(spec, self.sections(spec).where(F.col("ord") == s.ord)))
-        rows = [{k: r[k] for k in ("index", "caption", "headers", "rows")} for r in found.orderBy("index").collect()]
+        elements = self._content(spec, self.sections(spec).where(F.col("ord") == s.ord)).persist()  # read more than once
+        rows = [{k: r[k] for k in ("index", "caption", "headers", "rows")} for r in tables.section_tables(elements).orderBy("index").collect()]
+        elements.unpersist()
         if index is not None:
             if index >= len(rows):
                 raise ContentError(f'Table index {index} out of range: section "{s.section}" has {len(rows)} table(s)')

@@ -1,16 +1,20 @@
-"""Terms and definitions of a terminology section: a fold over its elements in order."""
+"""Terms and definitions of a terminology section.
+
+What an element means hangs on those before it, but not on all of them: a marker sets everything back, and between two markers
+whether a term is open, and has text, follows from how many likely terms came since the last plain text. So elements are cut at
+markers, which are counted by spans, and each stretch is worked out by running counts of its own.
+"""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as tx
-
-_DEF = "struct<term:string,definition:string,section:string,notes:array<string>,source:string>"
-_STATE = f"struct<term:string,paragraphs:array<string>,notes:array<string>,source:string,past:boolean,done:boolean,out:array<{_DEF}>>"
+from folioflow.operators import spans
+from folioflow.operators.requirements import numbered
 
 
 def extract(content: DataFrame, root: str = "3") -> DataFrame:
@@ -18,8 +22,8 @@ def extract(content: DataFrame, root: str = "3") -> DataFrame:
 
     An element that is just a number below the root, or a heading that begins with one, opens a definition; so does a paragraph
     that looks like a term once the one before has text. Further paragraphs are its text, notes its notes, ``[SOURCE: ...]`` its
-    source. A heading of a later section ends it. Definitions are numbered in order, whatever their own numbers are. The
-    elements of a section are folded one by one, as what an element means hangs on those before it.
+    source. A heading of a later section ends it. Definitions are numbered in order, whatever their own numbers are. A stretch
+    between two markers is one task's work, and streams through it.
     """
     dot = re.escape(root) + "\\."
     marks = f"^{dot}[0-9]+"
@@ -42,43 +46,45 @@ def extract(content: DataFrame, root: str = "3") -> DataFrame:
     named = F.when(heading, tx.trim(F.regexp_replace(t, f"{marks}{tx.WS}+", ""))).otherwise("")
     body = F.when(F.col("type") == "note", F.concat("label", F.lit(": "), "text")).when(F.col("type") == "heading", named).otherwise(t)
     source = tx.trim(F.regexp_extract(t, f"\\[SOURCE:{tx.WS}*([^\\]]+)\\]", 1))
-    cell = F.struct("elem_ord", what.alias("what"), body.alias("text"), tx.is_likely_term(t).alias("likely"), F.nullif(source, F.lit("")).alias("source"))
-    rows = content.select("spec_id", cell.alias("e")).where("e.what <> 'skip'").groupBy("spec_id").agg(F.array_sort(F.collect_list("e")).alias("elements"))
-
-    no_text = F.array().cast("array<string>")
+    # a marker that is a paragraph has no term text of its own
+    body = F.when((what == "mark") & F.rlike(body, F.lit(marks + "\\z")), "").otherwise(body)
+    likely = tx.is_likely_term(t) & (what == "text")
+    rows = content.select("spec_id", F.col("elem_ord").cast("bigint").alias("at"), what.alias("what"), body.alias("text"), likely.alias("likely"), F.nullif(source, F.lit("")).alias("source")).where("what <> 'skip'")
+    ends = rows.where("what = 'end'").groupBy("spec_id").agg(F.min("at").alias("stop"))
+    rows = rows.alias("r").join(ends.alias("e"), F.col("r.spec_id").eqNullSafe(F.col("e.spec_id")), "left").where(F.col("stop").isNull() | (F.col("at") < F.col("stop"))).select("r.*")
 
-    def state(s: Column, **new: Column) -> Column:
-        return F.struct(*[new.get(k, s[k]).alias(k) for k in ("term", "paragraphs", "notes", "source", "past", "done", "out")]).cast(_STATE)
+    # stretches: how many markers came before, by spans
+    mark = F.col("what") == "mark"
+    rows = spans.count_so_far(rows, ["spec_id"], "at", "stretch", mark)
 
-    def flushed(s: Column, **new: Column) -> Column:
-        made = F.struct(
-            s.term.alias("term"), tx.trim(F.array_join(s.paragraphs, " ")).alias("definition"), F.concat(F.lit(root + "."), (F.size(s.out) + 1).cast("string")).alias("section"),
-            F.when(F.size(s.notes) > 0, s.notes).alias("notes"), s.source.alias("source"),
-        ).cast(_DEF)
-        out = F.when((s.term != "") & (F.size(s.paragraphs) > 0), F.array_append(s.out, made)).otherwise(s.out)
-        return state(s, **({"term": F.lit(""), "paragraphs": no_text, "notes": no_text, "source": F.lit(None).cast("string"), "out": out} | new))
+    # within a stretch: a likely term opens one where none is open; the first text behind a term is its text, and later likely terms
+    # open the next. So behind plain text, or behind a term, likely terms are text and term in turn.
+    own = Window.partitionBy("spec_id", "stretch").orderBy("at")
+    run = own.rowsBetween(Window.unboundedPreceding, 0)
+    terms, plain = F.count_if("likely").over(run), (F.col("what") == "text") & ~F.col("likely")
+    named = F.max(mark & (F.col("text") != "")).over(run)
+    rows = rows.select("*", terms.alias("terms"), F.coalesce(named, F.lit(False)).alias("named"))
+    is_open = F.col("named") | (F.col("terms") - F.col("likely").cast("int") > 0)  # before this element
+    rows = rows.withColumn("open", is_open).withColumn("reset", F.last(F.when(plain & is_open, F.col("terms")), ignorenulls=True).over(run))
+    since = F.when(F.col("reset").isNotNull(), F.col("terms") - F.col("reset")).when(F.col("named"), F.col("terms") + 1).otherwise(F.col("terms"))
+    # odd: a term without text is open; even: one with text, or, before the first, none
+    rows = rows.withColumn("fresh", since % 2 == 1)
+    opens = (mark & (F.col("text") != "")) | (F.col("likely") & F.col("fresh"))
+    rows = rows.withColumn("opens", opens).withColumn("nth", F.count_if("opens").over(run)).where("nth > 0")
+    said, noted = (F.col("what") == "text") & ~F.col("opens"), F.col("what") == "note"
 
-    def step(s: Column, e: Column) -> Column:
-        on_mark = F.when(s.past, flushed(s, past=F.lit(True), term=e.text)).otherwise(state(s, past=F.lit(True), term=F.when(e.text != "", e.text).otherwise(s.term)))
-        opens = (s.term == "") & e.likely
-        next_term = (s.term != "") & (F.size(s.paragraphs) > 0) & e.likely
-        more = state(s, paragraphs=F.array_append(s.paragraphs, e.text), source=F.coalesce(e.source, s.source))
-        on_text = (
-            F.when(~s.past, F.when(e.likely, state(s, past=F.lit(True), term=e.text)).otherwise(s))
-            .when(opens, state(s, term=e.text))
-            .when(next_term, flushed(s, term=e.text))
-            .when(s.term != "", more)
-            .otherwise(s)
-        )
-        on_note = F.when(s.term != "", state(s, notes=F.array_append(s.notes, e.text))).otherwise(s)
-        live = F.when(e.what == "end", flushed(s, done=F.lit(True))).when(e.what == "mark", on_mark).when(e.what == "text", on_text).otherwise(on_note)
-        return F.when(s.done, s).otherwise(live)
+    def listed(which: Column) -> Column:
+        return F.array_sort(F.collect_list(F.when(which, F.struct("at", "text"))))["text"]
 
-    # a marker that is a paragraph has no term text of its own
-    elements = F.transform("elements", lambda e: F.struct(e.elem_ord.alias("elem_ord"), e.what.alias("what"), F.when((e.what == "mark") & F.rlike(e.text, F.lit(marks + "\\z")), "").otherwise(e.text).alias("text"), e.likely.alias("likely"), e.source.alias("source")))
-    start = F.struct(F.lit("").alias("term"), no_text.alias("paragraphs"), no_text.alias("notes"), F.lit(None).cast("string").alias("source"), F.lit(False).alias("past"), F.lit(False).alias("done"), F.array().cast(f"array<{_DEF}>").alias("out")).cast(_STATE)
-    done = F.aggregate(elements, start, step, lambda s: F.when(s.done, s.out).otherwise(flushed(s).out))
-    return rows.select("spec_id", F.posexplode(done).alias("number", "d")).select("spec_id", (F.col("number") + 1).alias("number"), "d.*")
+    made = rows.groupBy("spec_id", "stretch", "nth").agg(
+        F.min("at").alias("at"), F.min_by("text", "at").alias("term"), F.count_if(said).alias("n"), listed(said).alias("texts"), listed(noted).alias("notes"),
+        F.max_by(F.when(said, F.col("source")), F.when(said & F.col("source").isNotNull(), F.col("at"))).alias("source"),
+    ).where("n > 0")
+    made = numbered(made, ["at"], ("spec_id",))
+    return made.select(
+        "spec_id", "number", "term", tx.trim(F.array_join("texts", " ")).alias("definition"), F.concat(F.lit(root + "."), F.col("number").cast("string")).alias("section"),
+        F.when(F.size("notes") > 0, F.col("notes")).alias("notes"), "source",
+    )
 
 
 def matching(definitions: DataFrame, term: str | None = None) -> DataFrame:

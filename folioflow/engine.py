@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import validation as check
 from folioflow.functions.errors import ContentError, EngineError, PrerequisiteError, RegistryError, describe
+from folioflow.functions.log import logger
 from folioflow.operators import compare, content, definitions, outline, requirements, search, tables
 from folioflow.sources import canonical, registry
 
@@ -75,12 +76,15 @@ class Engine:
 
     def call(self, name: str, arguments: dict[str, Any] | None = None) -> str:
         """An operation by name, as JSON; failures are {error, code}."""
+        log = logger("engine")
+        log.debug("%s %s", name, arguments or {})
         try:
             if name not in self.operations:
                 raise EngineError(f"Unknown tool: {name}")
             out: Any = self.operations[name](**(arguments or {}))
         except (EngineError, TypeError) as e:
             out = describe(e)
+            log.error("%s failed: %s (%s)", name, out["error"], out["code"])
         return json.dumps(out, ensure_ascii=False, indent=2)
 
     def _specs(self) -> DataFrame:

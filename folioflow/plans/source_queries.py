@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioflow.operators import compare, content, grams, outline
+from folioflow.plans import table_queries as tq
 from folioflow.plans.queries import document_pages, flat, query, search_sql, table
-from folioflow.sources import canonical, markup, shared
+from folioflow.sources import canonical, markup, published, shared
 
 # --- web pages as canonical tables ----------------------------------------------------------------------------------------
 
@@ -121,3 +122,22 @@ def compare_preview(spark, sf_dir):
     secs = brands.select("spec_id", F.hash("p_brand").alias("ord"), F.concat("spec_id", F.lit(" "), "p_brand").alias("section"), F.col("p_brand").alias("title"), F.lit(None).cast("string").alias("parent"))
     found = compare.preview(compare.compare(secs, "o", "n"), old, new)
     return found.select("old_section", "new_section", "kind", "old_ord", "new_ord", F.md5("text").alias("text"))
+
+
+# --- SQL functions ------------------------------------------------------------------------------------------------------------
+
+@query("""WITH sec AS (SELECT s_suppkey || '' AS section, 'Title ' || (s_suppkey % 7) AS title, s_suppkey * 10 AS page FROM supplier
+), hit AS (
+  SELECT d.doc_id AS page, 3 * ((length(nt) - length(replace(nt, 'the', ''))) // 3) AS score, coalesce(s.section, '') AS section, coalesce(s.title, '') AS title
+  FROM (SELECT *, lower(replace(text, chr(10), ' ')) AS nt FROM documents WHERE lang = 'en') d ASOF LEFT JOIN sec s ON d.doc_id >= s.page WHERE contains(nt, 'the')
+), best AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN section = '' THEN 'page:' || page ELSE section END ORDER BY score DESC, page) AS n FROM hit)
+SELECT section, title, CAST(page AS INT) AS page, score FROM best WHERE n = 1 ORDER BY score DESC, page LIMIT 10""")
+def sql_search_function(spark, sf_dir):
+    """The search as a table function of SQL, over published tables of the documents."""
+    folder, names = shared.new_folder(spark, "published"), ("sections", "page_index")
+    secs = tq.supplier_sections(spark, sf_dir)
+    entries = secs.select("spec_id", F.col("ord").cast("bigint").alias("entry_id"), F.lit(None).cast("bigint").alias("parent_id"), F.col("ord").cast("int").alias("sib_ord"), F.concat("ord", F.lit(" "), "title").alias("title"), F.col("page").cast("int").alias("page"))
+    data = {"outline_entries": entries, "doc_stats": secs.groupBy("spec_id").agg(F.lit(1 << 30).alias("total_pages")), "text_items": tq.document_items(spark, sf_dir)}
+    published.publish(data, folder, "en", "de", names)
+    published.register(spark, folder, "en", names)
+    return spark.sql("SELECT section, title, page, score FROM search_spec('The', 'en', 10)")

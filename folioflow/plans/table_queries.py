@@ -178,7 +178,7 @@ def registry_files(spark, sf_dir):
     n, k = (1 + F.col("p_size") % 3), F.col("p_partkey")
     name = F.when(k % 4 == 0, F.concat(F.lit("ISO_TS_3200"), n, F.lit("-"), k, F.lit(".pdf"))).when(k % 4 == 1, F.concat(F.lit("copy-"), k, F.lit("-PDF20_AN00"), n, F.lit(".PDF")))
     name = name.when(k % 4 == 2, F.concat(F.lit("PDF20_AN001-"), k, F.lit(".txt"))).otherwise(F.concat("p_name", F.lit(".pdf")))
-    return registry.classify(table(spark, sf_dir, "part").select(name.alias("filename")), registry.rules(spark)).select("spec_id", "filename", "category")
+    return registry.classify(table(spark, sf_dir, "part").select(name.alias("filename"))).select("spec_id", "filename", "category")
 
 
 @query("""SELECT n_name AS spec_id, CASE WHEN n_nationkey % 2 = 0 THEN 7 ELSE s.pages END AS pages, s.entries AS outline_entries FROM nation

@@ -20,7 +20,7 @@ BY_SPEC, PARTS = {"struct_nodes", "text_items", "outline_entries"}, 256
 PAGES = 4096
 
 
-def _part(spec_id: Column) -> Column:
+def part_of(spec_id: Column) -> Column:
     return F.pmod(F.xxhash64(spec_id), F.lit(PARTS)).cast("int")
 
 
@@ -28,7 +28,7 @@ def write(tables: dict[str, DataFrame], folder: str) -> None:
     """Writes tables to a folder of their own each; what was there is replaced."""
     for name, df in tables.items():
         if name in BY_SPEC:
-            dealt = df.withColumn("part", _part(F.col("spec_id")))
+            dealt = df.withColumn("part", part_of(F.col("spec_id")))
             dealt = dealt.repartition("part", F.floor(F.col("page") / PAGES)).sortWithinPartitions("part", "spec_id", "page")
             dealt.write.mode("overwrite").partitionBy("part").parquet(f"{folder}/{name}")
         else:
@@ -45,7 +45,7 @@ def of_spec(table: DataFrame, spec: str | None) -> DataFrame:
     own = table if spec is None else table.where(F.col("spec_id") == spec)
     if "part" not in table.columns:
         return own
-    return (own if spec is None else own.where(F.col("part") == _part(F.lit(spec)))).drop("part")
+    return (own if spec is None else own.where(F.col("part") == part_of(F.lit(spec)))).drop("part")
 
 
 def resolve(outline: DataFrame, dests: DataFrame) -> DataFrame:

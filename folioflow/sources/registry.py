@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from folioflow.functions.errors import RegistryError
+
 DEFAULT_SPEC = "iso32000-2"
 
 # The rules in their order (pattern, id, category, title, description).
@@ -34,26 +37,59 @@ def rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *r) for i, r in enumerate(RULES)], "ord int, pattern string, spec_id string, category string, title string, description string")
 
 
-def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The files of a folder (path, filename), not of those below it; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"))
+def list_files(spark: SparkSession, folder: str | None) -> DataFrame:
+    """The files of a folder (path, filename, length, modified), not of those below it; contents are not read.
+
+    A folder that is not set, or cannot be read, is an error that names it.
+    """
+    if not folder:
+        raise RegistryError("No folder of documents is set")
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
+    except AnalysisException as e:
+        raise RegistryError(f"Cannot read the folder of documents {folder}: {e.getCondition() or e}") from e
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "length", F.col("modificationTime").alias("modified"))
+
+
+def changes(before: DataFrame, now: DataFrame) -> DataFrame:
+    """What became of files between two listings (path, length, modified): path, change (new, changed, gone); files that stayed are left out."""
+    b, n = before.select("path", "length", "modified").alias("b"), now.select("path", "length", "modified").alias("n")
+    both = b.join(n, F.col("b.path") == F.col("n.path"), "full")
+    same = F.col("b.length").eqNullSafe(F.col("n.length")) & F.col("b.modified").eqNullSafe(F.col("n.modified"))
+    change = F.when(F.col("b.path").isNull(), "new").when(F.col("n.path").isNull(), "gone").when(~same, "changed")
+    return both.select(F.coalesce("n.path", "b.path").alias("path"), change.alias("change")).where("change IS NOT NULL")
+
+
+def refresh(specs: DataFrame, now: DataFrame, changed: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The registry of the files ``now``, with what ``specs``, the registry before, knows of documents whose file stayed as it was.
+
+    Documents whose file is new or ``changed``, or that another file stands for now, are without figures until they are read.
+    """
+    kept = specs.join(changed.select("path"), "path", "left_anti").select("spec_id", "path", F.col("pages").alias("old_pages"), F.col("outline_entries").alias("old_entries"))
+    found = classify(now, known).drop("pages", "outline_entries").join(kept, ["spec_id", "path"], "left")
+    return found.select(*[F.col("old_pages").alias(c) if c == "pages" else F.col("old_entries").alias(c) if c == "outline_entries" else F.col(c) for c in specs.columns])
 
 
-def classify(files: DataFrame, known: DataFrame) -> DataFrame:
+def classify(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """The registry: one row per document found among ``files`` (filename, and path where there is one).
 
-    Only ``*.pdf`` counts, in any case. A file is what the first of the rules in ``known`` that its name matches says; of files
-    of one document the first by name stays. Other files are left out.
+    Only ``*.pdf`` counts, in any case. A file is what the first of the rules that its name matches says; of files of one
+    document the first by name stays. Other files are left out. The rules are those of this module, each a constant pattern that
+    is compiled once, or a table like :func:`rules` in ``known``.
     """
     if "path" not in files.columns:
         files = files.withColumn("path", F.col("filename"))
     pdf = files.where(F.endswith(F.lower("filename"), F.lit(".pdf"))).select("filename", "path")
-    matched = pdf.join(F.broadcast(known), F.rlike(F.col("filename"), F.concat(F.lit("(?i)"), F.col("pattern"))))
-    by_rule = matched.withColumn("n", F.row_number().over(Window.partitionBy("path", "filename").orderBy("ord"))).where("n = 1")
-    first = by_rule.withColumn("n", F.row_number().over(Window.partitionBy("spec_id").orderBy("filename", "path"))).where("n = 1")
+    facts = ("spec_id", "category", "title", "description")
+    if known is None:
+        rule = F.coalesce(*[F.when(F.rlike("filename", F.lit(f"(?i){pattern}")), F.struct(*[F.lit(x).alias(c) for c, x in zip(facts, said)])) for pattern, *said in RULES])
+        by_rule = pdf.withColumn("rule", rule).where("rule IS NOT NULL").select("filename", "path", "rule.*")
+    else:
+        matched = pdf.join(F.broadcast(known), F.rlike(F.col("filename"), F.concat(F.lit("(?i)"), F.col("pattern"))))
+        by_rule = matched.withColumn("n", F.row_number().over(Window.partitionBy("path", "filename").orderBy("ord"))).where("n = 1")
+    best = by_rule.groupBy("spec_id").agg(F.min(F.struct("filename", "path", *facts[1:])).alias("f"))
     empty = F.lit(None).cast("int")
-    return first.select("spec_id", "title", "filename", "path", "category", "description", empty.alias("pages"), empty.alias("outline_entries"))
+    return best.select("spec_id", "f.title", "f.filename", "f.path", "f.category", "f.description", empty.alias("pages"), empty.alias("outline_entries"))
 
 
 def enrich(specs: DataFrame, stats: DataFrame) -> DataFrame:

@@ -180,3 +180,36 @@ def test_streaming_page_text(spark, tmp_path):
 
 def test_fixture_values_quote():
     assert fx.values("a, b", ("it's", None), (True, 1)) == "SELECT * FROM (VALUES ('it''s', NULL), (true, 1)) AS t(a, b)"
+
+
+def test_sql_functions(engine, spark, tmp_path):
+    """The operations as table functions say what the operations say, and read the folder of their document."""
+    from folioflow.sources import published
+
+    folder = str(tmp_path)
+    published.publish(engine.data, folder, engine.old, engine.new)
+    assert len(published.register(spark, folder, engine.default)) == 8
+
+    def rows(call, order=None):
+        found = spark.sql(f"SELECT * FROM {call}")
+        return [r.asDict() for r in (found.orderBy(*order) if order else found).collect()]
+
+    assert [r["spec_id"] for r in rows("list_specs()", ["filename"])] == [r["spec_id"] for r in engine.list_specs()["specs"]]
+    assert [r["spec_id"] for r in rows("list_specs('nope')")] == [] and len(rows("list_specs('')")) == 2
+    assert len(rows("get_structure(max_depth => 1)")) == len(engine.get_structure(max_depth=1)["sections"])
+    for section in ("1", "2.1", "3"):
+        want = engine.get_section(section)["content"]
+        got = rows(f"get_section('{section}')", ["elem_ord"])
+        assert [{k: r[k] for k in ("type", "level", "text", "label", "items", "headers", "rows") if r[k] is not None} for r in got] == want
+        assert [{k: r[k] for k in ("index", "caption", "headers", "rows")} for r in rows(f"get_tables('{section}')", ["index"])] == engine.get_tables(section)["tables"]
+    for query in ("font", "Font", "a font", "zz"):
+        assert sorted(map(str, rows(f"search_spec('{query}')"))) == sorted(str({k: r[k] for k in ("section", "title", "page", "score", "snippet")}) for r in engine.search_spec(query)["results"])
+    for arguments, options in (("", {}), ("level => 'shall'", {"level": "shall"}), ("section => '2'", {"section": "2"})):
+        got = sorted((r["id"], r["level"], r["text"]) for r in rows(f"get_requirements({arguments})"))
+        assert got == sorted((r["id"], r["level"], r["text"]) for r in engine.get_requirements(**options)["requirements"])
+    got = rows("compare_versions()")
+    want = engine.compare_versions()
+    assert sum(r["kind"] == "matched" for r in got) == want["totalMatched"] and sum(r["kind"] == "added" for r in got) == want["totalAdded"]
+    plan = spark.sql("SELECT * FROM search_spec('font', 'pdf17', 3)")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert rows("get_section('99')") == [] and rows("search_spec('font', 'nobody')") == []

@@ -126,7 +126,7 @@ def compare_preview(spark, sf_dir):
 
 # --- SQL functions ------------------------------------------------------------------------------------------------------------
 
-@query("""WITH sec AS (SELECT s_suppkey || '' AS section, 'Title ' || (s_suppkey % 7) AS title, s_suppkey * 10 AS page FROM supplier
+@query("""WITH sec AS (SELECT s_suppkey || '' AS section, 'Title ' || (s_suppkey % 7) AS title, s_suppkey * 10 AS page FROM supplier WHERE s_suppkey > 0
 ), hit AS (
   SELECT d.doc_id AS page, 3 * ((length(nt) - length(replace(nt, 'the', ''))) // 3) AS score, coalesce(s.section, '') AS section, coalesce(s.title, '') AS title
   FROM (SELECT *, lower(replace(text, chr(10), ' ')) AS nt FROM documents WHERE lang = 'en') d ASOF LEFT JOIN sec s ON d.doc_id >= s.page WHERE contains(nt, 'the')

@@ -205,11 +205,11 @@ def corpus_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     Tasks count what may be wanted by a bit set, and only that meets the wanted grams themselves.
     """
     whole = _bits(wanted)
-    begins = _bits(wanted.where(F.col("gram").contains(" ")).select(F.substring_index("gram", " ", 1).alias("gram")))
+    begins, begins2 = (_bits(wanted.where(F.size(F.split("gram", " ")) > n).select(F.substring_index("gram", " ", n).alias("gram"))) for n in (1, 2))
 
-    def held(bits: bytes, gram: str) -> bool:
-        at = zlib.crc32(gram.encode()) % (1 << LG_BITS)
-        return bool(bits[at >> 3] >> (at & 7) & 1)
+    def at(gram: str) -> tuple[int, int]:
+        crc = zlib.crc32(gram.encode()) % (1 << LG_BITS)
+        return crc >> 3, 1 << (crc & 7)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, first = {}, {}  # what the sets say of tokens met so far
@@ -221,13 +221,20 @@ def corpus_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     kept, first = {}, {}
                 for token, n in Counter(w).items():
                     if token not in kept:
-                        kept[token], first[token] = held(whole, token), held(begins, token)
+                        byte, bit = at(token)
+                        kept[token], first[token] = whole[byte] & bit, begins[byte] & bit
                     if kept[token]:
                         total[token] += n
-                for i, token in enumerate(w):
+                for i, token in enumerate(w[:-1]):
                     if first[token]:
-                        for n in (2, 3):
-                            if i + n <= len(w) and held(whole, gram := " ".join(w[i : i + n])):
+                        gram = f"{token} {w[i + 1]}"
+                        byte, bit = at(gram)
+                        if whole[byte] & bit:
+                            total[gram] += 1
+                        if begins2[byte] & bit and i + 2 < len(w):
+                            gram = f"{gram} {w[i + 2]}"
+                            byte, bit = at(gram)
+                            if whole[byte] & bit:
                                 total[gram] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from folioflow.llm.common import empty_if_null, id_key, materialize, read
 
 #: Keys that a bucket holds before it splits, and the deepest directory: 2**MAX_DEPTH slots, a small table at any number of rows.
-CAPACITY, MAX_DEPTH = 100_000, 20
+CAPACITY, MAX_DEPTH = 2_000, 20
 
 
 def slot(depth: int, key: str = "h") -> Column:

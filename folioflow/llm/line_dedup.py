@@ -20,15 +20,15 @@ def text_key(text: str = "text") -> Column:
 
 
 def line_table(docs: DataFrame, site: str = "source") -> DataFrame:
-    """Line hashes of ``docs``: text_key, pos (from 0), h and the site's hash; blank lines are left out."""
+    """Line digests of ``docs``: text_key, pos (from 0), h (16 bytes, so that no two of 10**12 lines share one by chance) and the site's hash; blank lines are left out."""
     lines = docs.select(text_key().alias("text_key"), F.xxhash64(F.coalesce(F.col(site), F.lit(""))).alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.where(F.trim("line") != "").select("text_key", "pos", F.xxhash64("line").alias("h"), "site")
+    return lines.where(F.trim("line") != "").select("text_key", "pos", F.unhex(F.md5("line")).alias("h"), "site")
 
 
 def site_spread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """The hashes of ``lines`` (h, site) that at least min_sites distinct sites carry.
+    """The digests of ``lines`` (h, site) that at least min_sites distinct sites carry.
 
-    A HyperLogLog sketch of sites per line hash is filled in each task and merged by the aggregation, so a line that is
+    A HyperLogLog sketch of sites per line digest is filled in each task and merged by the aggregation, so a line that is
     everywhere costs one sketch a task. Estimates near the threshold give way to exact distinct counts.
     """
     sketched = lines.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"))

@@ -128,7 +128,11 @@ def mix(docs: DataFrame, seed: int = 7, share: float = 1.5, max_epochs: float =
 
 
 def mixed(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
-    """``docs``, all columns, each row as many times as :func:`mix` repeats it."""
+    """``docs``, all columns, each row as many times as :func:`mix` repeats it, down to none.
+
+    A null text, and one without words, has size 0, so that it is repeated as often as its source is whole; a null source is a
+    source of its own, that comes last. Ties of the draw go by doc_id; rows that agree in it fare as :func:`mix` says. An empty table stays empty. Columns keep their names and values, whatever they are called.
+    """
     plan = mix_plan(sizes_of(docs, seed), seed, **options)
     whole = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
     repeated = planned(whole, plan, sample_key(seed, "s.doc_id")).select("row", "text", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))

@@ -421,7 +421,8 @@ def encode_samples(docs: DataFrame, samples: int = SAMPLES, alpha: float = ALPHA
 def encode_repeated(docs: DataFrame, samples: int = SAMPLES, **options) -> DataFrame:
     """Like :func:`encode_samples` for ``docs`` that repeat rows: adds ``repetition`` (from 0) of a doc_id and text, each with draws of its own.
 
-    Repetitions are counted before the shuffle, so a row that is repeated often is sent once a task.
+    Repetitions are counted before the shuffle, so a row that is repeated often is sent once a task. Rows repeat if they agree in
+    doc_id and text, null and empty texts being one; null doc_ids stay. Other columns are ignored. An empty table gives no rows.
     """
     times = docs.groupBy("doc_id", empty_if_null("text").alias("text")).agg(F.count("*").cast("int").alias("n"))
     return encode_samples(times.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("repetition")), samples, key=("doc_id", "repetition"), **options)

@@ -316,7 +316,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED,
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs``, all columns, without the rows that the classifier takes for toxic."""
+    """``docs``, all columns, without the rows that the classifier takes for toxic: those whose score reaches THRESHOLD.
+
+    A row's score depends on its text alone, so repeated rows stay or go together and a null doc_id stays; null texts count as
+    empty, and an empty text has the score of one without votes. An empty table stays empty. Columns keep their names and values, whatever they are called.
+    """
     model, seen = fit_toxicity(docs, labels, docs.columns)
     return seen.where(model.of_hits(F.col("hits")) < THRESHOLD).select(*[F.col(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 

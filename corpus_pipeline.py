@@ -13,27 +13,27 @@ from folioflow.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised classifier does not reject."""
+    """Documents that the weakly supervised classifier does not reject, with all their columns; null texts count as empty, repeated rows fare alike (see drop_toxic)."""
     return drop_toxic(docs, read(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text, that of the largest doc_id, with all its columns; null and empty texts are one text, of equal rows one stays (see drop_copies)."""
     return drop_copies(docs)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies, that of the smallest doc_id, with all its columns; texts without words, null ones too, stay (see drop_near_copies)."""
     return drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as many times as the mix takes them."""
+    """Documents as many times as the mix takes them, with all their columns; null texts have size 0, null sources are one source (see mixed)."""
     return mixed(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of each document; each repetition of a document has draws of its own."""
+    """Sampled segmentations of each document; each repetition of a document has draws of its own; null texts count as empty (see encode_repeated)."""
     return encode_repeated(docs)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.operators import compare, content, grams, outline
 from folioflow.plans import table_queries as tq
-from folioflow.plans.queries import document_pages, flat, query, search_sql, table
+from folioflow.plans.queries import document_pages, query, search_sql, table
 from folioflow.sources import canonical, markup, published, shared
 
 # --- web pages as canonical tables ----------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from folioflow.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -22,9 +23,12 @@ def plain(v):
     return round(v, 6) if isinstance(v, float) else tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+QUERIES, QUERY_SQL = entry.queries() | plans.FIXED, entry.oracle_sql() | plans.FIXED_SQL
+
+
+@pytest.mark.parametrize("name", sorted(QUERY_SQL))
 def test_query(spark, db, name):
-    got, want = entry.queries()[name](spark, SF), db.sql(entry.oracle_sql()[name])
+    got, want = QUERIES[name](spark, SF), db.sql(QUERY_SQL[name])
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     rows = sorted((tuple(plain(r[c]) for c in columns) for r in got.collect()), key=repr)

@@ -94,8 +94,8 @@ UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 class Lattices:
     """The lattices of units seen so far, end to end: edges by place, with the running probability of the edges of each place."""
 
-    def __init__(self, vocabulary: Vocabulary, alpha: float) -> None:
-        self.v, self.alpha = vocabulary, alpha
+    def __init__(self, vocabulary: Vocabulary, alpha: float, kept_edges: int | None = None) -> None:
+        self.v, self.alpha, self.kept_edges = vocabulary, alpha, kept_edges or KEPT_EDGES
         self.clear()
 
     def clear(self) -> None:
@@ -205,7 +205,7 @@ class Lattices:
         self.places, self.edges, self.n_ids = self.places + len(chars), self.edges + len(place), self.n_ids + len(flat)
 
     def of(self, units: list[str]) -> np.ndarray:
-        if self.edges > KEPT_EDGES:
+        if self.edges > self.kept_edges:
             self.clear()
         get = self.index.get
         found = np.array([get(u, -1) for u in units], np.int64)
@@ -385,7 +385,7 @@ def sample_texts(lattices: Lattices, texts: list[str], keys: np.ndarray, samples
     return {k: np.concatenate(v) for k, v in out.items()}
 
 
-def encode_samples(docs: DataFrame, samples: int = SAMPLES, alpha: float = ALPHA, model: str = MODEL, seed: int = 11, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode_samples(docs: DataFrame, samples: int = SAMPLES, alpha: float = ALPHA, model: str = MODEL, seed: int = 11, key: tuple[str, ...] = ("doc_id",), slice_chars: int | None = None, kept_edges: int | None = None) -> DataFrame:
     """Rows (doc_id, sample, ids, n_ids, log_p, inclusion): up to ``samples`` distinct segmentations of every row of ``docs``.
 
     Only text and the columns of ``key`` are read, which stand in the result in the place of doc_id. A piece's probability follows Zipf's law over the vocabulary's order, to the power alpha;
@@ -394,18 +394,18 @@ def encode_samples(docs: DataFrame, samples: int = SAMPLES, alpha: float = ALPHA
     Sample 0 is a plain draw. Characters that are no piece are written as their bytes, so :func:`decode_ids` gives the text
     back. A null text counts as empty; an empty text has one segmentation, of no ids. The seed of a row is its key, so rows
     that agree in key and text get the same samples. Texts of any length are searched whole; short ones some at a time, so that
-    a task's memory goes with SLICE, KEPT_EDGES and its longest text.
+    a task's memory goes with slice_chars and kept_edges (by default SLICE and KEPT_EDGES) and its longest text; the more of both, the fewer lattices are built again.
     """
     vocabulary = Vocabulary.load(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = Lattices(vocabulary, alpha)
+        lattices = Lattices(vocabulary, alpha, kept_edges)
         for batch in batches:
             column, keys = batch.column("text"), batch.column("key").to_numpy().view(_U)
             ends = np.cumsum(pc.utf8_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
             at = 0
             while at < len(column):
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")))
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (slice_chars or SLICE), side="right")))
                 got = sample_texts(lattices, column.slice(at, to - at).to_pylist(), keys[at:to], samples)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], got["n"].cumsum()]), pa.int32()), pa.array(got["ids"], pa.int32()))
                 row = pa.array(at + got["doc"])
@@ -443,4 +443,4 @@ def decode_ids(rows: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFra
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct sampled segmentations of every document."""
-    return encode_samples(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return encode_samples(read(spark, sf_dir, "documents").select("doc_id", "text"), slice_chars=2 * SLICE, kept_edges=3 * KEPT_EDGES)

@@ -443,4 +443,4 @@ def decode_ids(rows: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFra
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct sampled segmentations of every document."""
-    return encode_samples(read(spark, sf_dir, "documents").select("doc_id", "text"), slice_chars=2 * SLICE, kept_edges=3 * KEPT_EDGES)
+    return encode_samples(read(spark, sf_dir, "documents").select("doc_id", "text"), slice_chars=2 * SLICE, kept_edges=6 * KEPT_EDGES)

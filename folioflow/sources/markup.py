@@ -52,7 +52,9 @@ def tags(pages: DataFrame) -> DataFrame:
     What comes before the first tag has n 0 and no tag. A tag that the page's end cuts off is left out.
     """
     cuts = F.split(F.regexp_replace("html", NO_TEXT, " "), "<", -1)
-    rows = pages.select(*_KEY, (F.size(cuts) > 1).alias("tagged"), F.posexplode(cuts).alias("n", "cut")).where((F.col("n") == 0) | F.col("cut").contains(">"))
+    # what is said of a whole page is worked out before its tags are rows, which would work it out again and carry the page each
+    whole = pages.select(*_KEY, (F.size(cuts) > 1).alias("tagged"), cuts.alias("cuts"))
+    rows = whole.select(*_KEY, "tagged", F.posexplode("cuts").alias("n", "cut")).where((F.col("n") == 0) | F.col("cut").contains(">"))
     name = F.nullif(F.lower(F.regexp_extract("cut", "^/?([A-Za-z][A-Za-z0-9]*)", 1)), F.lit(""))
     after = F.when(F.col("n") == 0, F.col("cut")).otherwise(F.regexp_replace("cut", "^[^>]*>", ""))
     tag = F.when(F.col("n") > 0, name)

@@ -52,7 +52,7 @@ def _walk(nodes: DataFrame) -> DataFrame:
           SELECT spec_id, page, node_id, role, content_id, array(sib_ord), array(coalesce(role, '')), CAST(NULL AS ARRAY<INT>), CAST(NULL AS STRING)
           FROM {{rows}} WHERE parent_id IS NULL
           UNION ALL
-          SELECT c.spec_id, c.page, c.node_id, c.role, c.content_id, array_append(w.path, c.sib_ord), array_append(w.roles, coalesce(c.role, '')),
+          SELECT /*+ MERGE(c) */ c.spec_id, c.page, c.node_id, c.role, c.content_id, array_append(w.path, c.sib_ord), array_append(w.roles, coalesce(c.role, '')),
             coalesce(w.block_path, CASE WHEN {block} THEN array_append(w.path, c.sib_ord) END),
             coalesce(w.block_role, CASE WHEN {block} THEN c.role END)
           FROM walk w JOIN {{rows}} c ON c.spec_id = w.spec_id AND c.page = w.page AND c.parent_id = w.node_id)

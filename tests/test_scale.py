@@ -1,6 +1,7 @@
 """What must hold for large tables: shapes of plans, and results where rows are dealt to many tasks."""
 
-from folioflow.sources import markup
+from folioflow.operators import content, outline
+from folioflow.sources import canonical, markup
 
 
 def plan(df):
@@ -11,3 +12,11 @@ def test_tags_do_not_carry_their_page(spark):
     pages = spark.createDataFrame([("d", 1, "<p>a<p>b")], "spec_id string, page int, html string")
     above = plan(markup.tags(pages)).split("Generate posexplode")[0]
     assert above and "html" not in above
+
+
+def test_walks_do_not_broadcast_a_table(spark):
+    nodes, items, entries = (spark.createDataFrame([], canonical.SCHEMAS[t]) for t in ("struct_nodes", "text_items", "outline_entries"))
+    stats = spark.createDataFrame([], canonical.SCHEMAS["doc_stats"])
+    for df in (content.page_elements(nodes, items), outline.sections(entries, stats), outline.tree_rows(entries)):
+        text = df._jdf.queryExecution().analyzed().toString()
+        assert "strategy=merge" in text

@@ -9,8 +9,11 @@ texts lie in a folder per span, sorted by place. New pages are appended as a bat
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +21,8 @@ from folioflow.functions import text as tx
 from folioflow.operators import search as pages_search
 from folioflow.sources import shared
 
-#: Pages of a span, and of characters that are cut into grams at a time.
-SPAN, CHUNK = 1 << 16, 4096
+#: Pages of a span, and of texts that are cut into grams at a time.
+SPAN, ROWS = 1 << 16, 1024
 #: Files that postings are dealt to.
 BUCKETS = 64
 #: Of a query's grams so many of the rarest are looked up; the texts themselves decide.
@@ -29,20 +32,18 @@ LOOKUPS = 2000
 TEXTS = "span string, place int, spec_id string, page bigint, section string, text string, norm string"
 
 
-def text_grams(norm: Column) -> Column:
-    """The different grams of a text: every place begins one, at the end a shorter one. Long texts are cut first, as each place is looked up from the front."""
-    n = F.length(norm)
-    starts = F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / CHUNK).cast("int"))
-
-    def both(x: Column, y: Column) -> Column:
-        return F.concat(x, F.coalesce(y, F.lit("")))
-
-    def of_chunk(i: Column) -> Column:
-        chars = F.regexp_extract_all(F.substring(norm, i * CHUNK + 1, F.lit(CHUNK + 2)), F.lit("(?s)."), F.lit(0))
-        one, two, three = (F.slice(chars, k, F.lit(CHUNK)) for k in (1, 2, 3))  # what is behind the chunk belongs to the next one too
-        return F.array_distinct(F.zip_with(F.zip_with(one, two, both), three, both))
-
-    return F.array_distinct(F.flatten(F.transform(starts, of_chunk)))
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of texts (span, place, norm) the places by gram and span, some rows at a time: every place of a text begins a gram, at the end a shorter one."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, ROWS):
+            batch, found = whole.slice(start, ROWS), {}
+            for span, place, norm in zip(*[batch.column(c).to_pylist() for c in ("span", "place", "norm")]):
+                places = found.setdefault(span, defaultdict(list))
+                for gram in {norm[i : i + 3] for i in range(len(norm))}:
+                    places[gram].append(place)
+            for span, places in found.items():
+                columns = [pa.array(list(places)), pa.array([span] * len(places)), pa.array(list(places.values()), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["gram", "span", "places"])
 
 
 def _bucket(gram: Column) -> Column:
@@ -62,8 +63,8 @@ def add(pages: DataFrame, folder: str, batch: str) -> None:
     texts = placed.select(span.alias("span"), (F.col("at.row") % SPAN).cast("int").alias("place"), "spec_id", "page", "section", "text", tx.norm_search(F.coalesce("text", F.lit(""))).alias("norm"))
     texts.write.mode("overwrite").partitionBy("span").parquet(f"{folder}/texts/{batch}")
     written = spark.read.schema(TEXTS).parquet(f"{folder}/texts/{batch}").select("span", "place", "norm").where("norm <> ''")
-    each = written.select("span", "place", F.explode(text_grams(F.col("norm"))).alias("gram"))
-    lists = each.groupBy("gram", "span").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    each = written.mapInArrow(_lists, "gram string, span string, places array<int>")
+    lists = each.groupBy("gram", "span").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
     steps = F.transform("places", lambda p, i: F.when(i == 0, p).otherwise(p - F.get("places", i - 1)))
     postings = lists.select("gram", "span", F.size("places").alias("n"), steps.alias("steps"), _bucket(F.col("gram")).alias("bucket"))
     postings.repartition("bucket", F.pmod(F.xxhash64("span"), F.lit(8))).sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings/{batch}")

@@ -1,9 +1,10 @@
 """What must hold for large tables: shapes of plans, and results where rows are dealt to many tasks."""
 
 import duckdb
+import pyarrow as pa
 
 import __spark_entry__ as entry
-from folioflow.operators import content, outline
+from folioflow.operators import content, grams, outline
 from folioflow.sources import canonical, markup
 
 
@@ -34,3 +35,10 @@ def test_headings_that_begin_with_numbers_are_whole_titles(spark, tmp_path):
     want = db.sql(entry.oracle_sql()["html_sections"])
     got = entry.queries()["html_sections"](spark, str(tmp_path)).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_lists_of_grams_are_made_where_texts_are_read():
+    batch = pa.RecordBatch.from_pydict({"span": ["s"] * 50 + ["t"], "place": [*range(50), 0], "norm": ["abcab"] * 49 + ["ab"] + ["ab"]})
+    rows = [r for b in grams._lists(iter([batch])) for r in b.to_pylist()]
+    assert len(rows) == len({(r["gram"], r["span"]) for r in rows}) == 7
+    assert {r["gram"]: r["places"] for r in rows if r["span"] == "s"} == {"abc": [*range(49)], "bca": [*range(49)], "cab": [*range(49)], "ab": [*range(50)], "b": [*range(50)]}

@@ -48,15 +48,15 @@ def _walk(nodes: DataFrame) -> DataFrame:
     return recursive(
         nodes.where("role IS NULL OR role <> 'Artifact'"),
         f"""
-        WITH RECURSIVE walk (spec_id, page, node_id, role, content_id, path, roles, block_path, block_role) MAX RECURSION LEVEL {MAX_LEVELS} AS (
-          SELECT spec_id, page, node_id, role, content_id, array(sib_ord), array(coalesce(role, '')), CAST(NULL AS ARRAY<INT>), CAST(NULL AS STRING)
-          FROM {{rows}} WHERE parent_id IS NULL
+        WITH RECURSIVE walk (spec_id, page, node_id, role, content_id, path, roles, block_path, block_role, live) MAX RECURSION LEVEL {MAX_LEVELS} AS (
+          SELECT spec_id, page, node_id, role, content_id, array(sib_ord), array(coalesce(role, '')), CAST(NULL AS ARRAY<INT>), CAST(NULL AS STRING), parent_id IS NULL
+          FROM {{rows}}
           UNION ALL
           SELECT /*+ MERGE(c) */ c.spec_id, c.page, c.node_id, c.role, c.content_id, array_append(w.path, c.sib_ord), array_append(w.roles, coalesce(c.role, '')),
             coalesce(w.block_path, CASE WHEN {block} THEN array_append(w.path, c.sib_ord) END),
-            coalesce(w.block_role, CASE WHEN {block} THEN c.role END)
-          FROM walk w JOIN {{rows}} c ON c.spec_id = w.spec_id AND c.page = w.page AND c.parent_id = w.node_id)
-        SELECT *, slice(roles, size(block_path) + 1, 64) AS below, slice(path, size(block_path) + 1, 64) AS sub FROM walk WHERE block_path IS NOT NULL""",
+            coalesce(w.block_role, CASE WHEN {block} THEN c.role END), true
+          FROM walk w JOIN {{rows}} c ON w.live AND c.spec_id = w.spec_id AND c.page = w.page AND c.parent_id = w.node_id)
+        SELECT *, slice(roles, size(block_path) + 1, 64) AS below, slice(path, size(block_path) + 1, 64) AS sub FROM walk WHERE live AND block_path IS NOT NULL""",
     )
 
 

@@ -42,3 +42,16 @@ def test_lists_of_grams_are_made_where_texts_are_read():
     rows = [r for b in grams._lists(iter([batch])) for r in b.to_pylist()]
     assert len(rows) == len({(r["gram"], r["span"]) for r in rows}) == 7
     assert {r["gram"]: r["places"] for r in rows if r["span"] == "s"} == {"abc": [*range(49)], "bca": [*range(49)], "cab": [*range(49)], "ab": [*range(50)], "b": [*range(50)]}
+
+
+def test_walks_are_dealt_by_all_rows(spark):
+    nodes = spark.range(4000).selectExpr("'d' spec_id", "1 page", "id node_id", "CASE WHEN id > 0 THEN 0L END parent_id", "int(id) sib_ord", "IF(id = 0, 'Document', 'P') role", "string(null) content_id")
+    conf = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        walk = content._walk(nodes)
+        assert walk.count() == 3999 and walk.rdd.getNumPartitions() > 1
+    finally:
+        for k in conf:
+            spark.conf.unset(k)

@@ -55,3 +55,15 @@ def test_walks_are_dealt_by_all_rows(spark):
     finally:
         for k in conf:
             spark.conf.unset(k)
+
+
+def test_a_long_document_is_numbered_by_ranges(spark):
+    n = 3000
+    rows = spark.range(n).selectExpr("'d' spec_id", "id entry_id", "CASE WHEN id % 3 > 0 THEN id - id % 3 END parent_id", "int(id) sib_ord", "concat('t', id) title", "int(id * 2 + 1) page").unionAll(spark.sql("SELECT 'e', 7L, NULL, 1, 'alone', 5"))
+    stats = spark.createDataFrame([("d", 9999), ("e", 6)], "spec_id string, total_pages int")
+    secs = outline.sections(rows, stats)
+    got = sorted(tuple(r) for r in secs.select("spec_id", "ord", "section", "page", "end_page").collect())
+    assert got == [*[("d", i + 1, f"t{i}", 2 * i + 1, 2 * i + 2 if i < n - 1 else 9999) for i in range(n)], ("e", 1, "alone", 5, 6)]
+    for part in plan(secs).split("Window [")[1:]:
+        keys = part.split("\n")[0].split("], [")[1]
+        assert "," in keys  # never by document alone

@@ -67,3 +67,10 @@ def test_a_long_document_is_numbered_by_ranges(spark):
     for part in plan(secs).split("Window [")[1:]:
         keys = part.split("\n")[0].split("], [")[1]
         assert "," in keys  # never by document alone
+
+
+def test_a_tree_is_walked_once_for_all_its_levels(spark):
+    rows = spark.createDataFrame([("d", 1, None, 1, "1 a", 1), ("d", 2, 1, 1, "1.1 b", 2)], canonical.SCHEMAS["outline_entries"])
+    nested = outline.nested(outline.tree_rows(rows))
+    assert "UnionLoop" not in plan(nested)
+    assert '"children":[{"title":"1.1 b"' in nested.first().tree

@@ -73,8 +73,9 @@ def preview(compared: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     the places alone; a section that two rows match is compared with each.
     """
     pair = ["old_section", "new_section"]
+    # by sorting: a content whose files are small would be broadcast whole
     pairs = compared.where("kind = 'matched'").select(*pair).distinct()
-    sides = [c.where("text IS NOT NULL").select(F.col("section").alias(name), F.lit(k).alias("side"), F.col("elem_ord").cast("bigint").alias("pos"), "text", F.md5("text").alias("h")).join(pairs, name) for k, (c, name) in enumerate(zip((old, new), pair))]
+    sides = [c.where("text IS NOT NULL").select(F.col("section").alias(name), F.lit(k).alias("side"), F.col("elem_ord").cast("bigint").alias("pos"), "text", F.md5("text").alias("h")).join(pairs.hint("merge"), name) for k, (c, name) in enumerate(zip((old, new), pair))]
     rows = sides[0].unionByName(sides[1])
     at = [F.min(F.when(F.col("side") == k, F.col("pos"))).alias(c) for k, c in enumerate("ij")]
     counts = [F.count_if(F.col("side") == k) == 1 for k in (0, 1)]

@@ -4,7 +4,7 @@ import duckdb
 import pyarrow as pa
 
 import __spark_entry__ as entry
-from folioflow.operators import content, grams, outline
+from folioflow.operators import compare, content, grams, outline
 from folioflow.sources import canonical, markup
 
 
@@ -74,3 +74,9 @@ def test_a_tree_is_walked_once_for_all_its_levels(spark):
     nested = outline.nested(outline.tree_rows(rows))
     assert "UnionLoop" not in plan(nested)
     assert '"children":[{"title":"1.1 b"' in nested.first().tree
+
+
+def test_a_preview_does_not_broadcast_contents(spark):
+    compared = spark.createDataFrame([("matched", "1", "7")], "kind string, old_section string, new_section string")
+    side = spark.createDataFrame([("1", 1, "a")], "section string, elem_ord int, text string")
+    assert compare.preview(compared, side, side)._jdf.queryExecution().analyzed().toString().count("(strategy=merge)") == 2

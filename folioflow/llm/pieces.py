@@ -10,7 +10,6 @@ a batch are searched side by side in numpy. Random numbers are a hash of the row
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,6 +31,7 @@ SPACE = "▁"
 #: Stands for a SPACE that a text has itself, which is written as bytes; valid text has no such code point.
 OWN_SPACE = "\ud800"
 _U = np.uint64
+_STEP = _U(0x9E3779B97F4A7C15)
 
 
 @dataclass
@@ -59,10 +59,10 @@ class Vocabulary:
     @staticmethod
     def hashed(key: np.ndarray, size: int) -> np.ndarray:
         """Where to look for a key first in a table of ``size`` slots, a power of two."""
-        return ((key.view(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(65 - size.bit_length())).astype(np.int64)
+        return ((key.view(np.uint64) * _STEP) >> _U(65 - size.bit_length())).astype(np.int64)
 
     def built(self) -> Vocabulary:
-        """With the trie: a hash table of keys state * 2**21 + character, the states they lead to, and the piece of each state."""
+        """With the trie: the states that first characters lead to, a hash table of entries (state * 2**21 + character) * 2**21 + state they lead to, and the piece of each state."""
         states, piece = {(0, -1): 0}, [-1]
         for i, text in enumerate(self.pieces):
             if i not in self.special:
@@ -72,156 +72,209 @@ class Vocabulary:
                     if s == len(piece):
                         piece.append(-1)
                 piece[s] = i
+        if len(states) >> 21:
+            raise ValueError(f"a vocabulary of {len(states)} states is too large")
+        begin = np.zeros(max(c for s, c in states if s == 0) + 2, np.int64)  # the last one stands for all characters behind
         size = 1 << (4 * len(states)).bit_length()  # under a quarter of the slots are taken, so looking for a free one ends
-        table, leads = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+        table = np.full(size, -1, np.int64)
         for (s, c), v in states.items():
-            if c >= 0:
+            if s == 0 and c >= 0:
+                begin[c] = v
+            elif c >= 0:
                 spot = int(self.hashed(np.array([(s << 21) + c]), size)[0])
                 while table[spot] >= 0:
                     spot = (spot + 1) & (len(table) - 1)
-                table[spot], leads[spot] = (s << 21) + c, v
-        self.trie = (table, leads, np.array(piece, np.int64))
+                table[spot] = (((s << 21) + c) << 21) + v
+        self.trie = (begin, table, np.array(piece, np.int32))
         for text in (self.pieces[i] for i in range(len(self.pieces)) if i not in self.special):
             if SPACE in text.lstrip(SPACE) or "\n" in text:
                 raise ValueError(f"a piece crosses words or lines: {text!r}")
         return self
 
 
-#: No piece crosses the beginning of a run of spaces, nor a line end: a text's lattice is a chain of those of its units.
-UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
+def units_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different units of texts, which unit stands where, and in which text. A text that is not empty has one more space at its beginning.
+
+    No piece crosses the beginning of a run of spaces, nor a line end, so a text's lattice is a chain of those of its units: spaces
+    with what follows them, line ends, and what follows a line end without spaces.
+    """
+    texts = texts.cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if ends[-1] == ends[0]:
+        return pa.array([], pa.large_binary()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    some = np.diff(ends) > 0
+    text = np.insert(np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]], ends[:-1][some] - ends[0], 32)
+    begins = ends[:-1] - ends[0] + some.cumsum() - some
+    space, line = text == 32, text == 10
+    opens = line.copy()
+    opens[1:] |= line[:-1] | (space[1:] & ~space[:-1])
+    opens[begins[some]] = True
+    cuts = np.flatnonzero(opens)
+    doc = np.flatnonzero(some)[np.searchsorted(begins[some], cuts, side="right") - 1]
+    units = pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(np.append(cuts, len(text))), pa.py_buffer(text)]).dictionary_encode()
+    return units.dictionary, units.indices.to_numpy(), doc
 
 
 class Lattices:
     """The lattices of units seen so far, end to end: edges by place, with the running probability of the edges of each place."""
 
     def __init__(self, vocabulary: Vocabulary, alpha: float, kept_edges: int | None = None) -> None:
-        self.v, self.alpha, self.kept_edges = vocabulary, alpha, kept_edges or KEPT_EDGES
+        self.v, self.kept_edges = vocabulary, kept_edges or KEPT_EDGES
+        self.weight, self.floor = vocabulary.log_p * alpha, vocabulary.log_p.min() - 10
+        self.alpha = alpha
+        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)  # by unit
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int16)  # by place: its first edge, and how many there are
+        self.edge_length, self.log_p, self.upto = np.zeros(0, np.int16), np.zeros(0), np.zeros(0)
+        self.what = np.zeros(0, np.int32)  # by edge: the piece, or -1 - the number of a character that is no piece
+        self.spelt: dict[int, int] = {}  # characters that are no piece, with their numbers
+        self.spelt_ids: list[list[int]] = []  # their bytes
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.places = self.edges = self.n_ids = 0
-        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)  # by unit
-        self.first = np.zeros(1, np.int64)  # by place: its first edge; one more at the end
-        self.edge_length, self.log_p, self.upto, self.ids_at, self.ids_n = (np.zeros(0, t) for t in (np.int16, np.float64, np.float64, np.int32, np.int8))
-        self.ids = np.zeros(0, np.int32)  # of pieces, or the bytes of a character that is no piece
+        self.index: dict[bytes, int] = {}
+        self.places = self.edges = 0
 
     def put(self, name: str, at: int, values: np.ndarray) -> None:
-        """Writes values behind the first ``at`` of an array, which doubles when it is full."""
+        """Writes values behind the first ``at`` of an array. What is not written of it takes no memory, so it is made large enough for all that is kept."""
         held = getattr(self, name)
         if at + len(values) > len(held):
-            held = np.concatenate([held[:at], np.zeros(max(at, len(values)) + 1024, held.dtype)])
-            if at + len(values) > len(held):
-                held = np.concatenate([held, np.zeros(at + len(values) - len(held), held.dtype)])
-            setattr(self, name, held)
+            grown = np.empty(max(2 * (at + len(values)), 2 * self.kept_edges), held.dtype)
+            grown[:at] = held[:at]
+            setattr(self, name, grown)
+            held = grown
         held[at : at + len(values)] = values
 
-    def add(self, units: list[str]) -> None:
-        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        length = np.array([len(u) for u in units], np.int64)
-        end = np.repeat(np.cumsum(length), length)
-        table, to, piece = self.v.trie
-        at, state = np.arange(len(chars)), np.zeros(len(chars), np.int64)
+    def add(self, units: list[bytes]) -> None:
+        raw = b"".join(units)
+        text = raw.decode()
+        if SPACE in text:
+            text = text.replace(SPACE, OWN_SPACE)
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        chars[chars == 32] = ord(SPACE)
+        size = np.array([len(u) for u in units], np.int64)
+        length = np.add.reduceat((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, size.cumsum() - size, dtype=np.int64)
+        left = np.repeat(length.cumsum(), length) - np.arange(len(chars))  # characters from a place to its unit's end
+        begin, table, piece = self.v.trie
+        state = begin[np.minimum(chars, len(begin) - 1)]
+        at = np.flatnonzero(state)
+        state = state[at]
         found = []  # for each length the places of pieces that long, and the pieces
-        while len(at):
+        while True:
+            what = piece[state]
+            ends = np.flatnonzero(what >= 0)
+            found.append((at[ends], what[ends]))
+            more = np.flatnonzero(left[at] > len(found))
+            if not len(more):
+                break
+            at, state = at[more], state[more]
             key = (state << 21) + chars[at + len(found)]
             spot = Vocabulary.hashed(key, len(table))
-            off = np.flatnonzero((table[spot] != key) & (table[spot] >= 0))
+            entry = table[spot]
+            hit = entry >> 21 == key
+            off = np.flatnonzero(~hit & (entry >= 0))
             while len(off):  # the slot is another key's: try the next
                 spot[off] = (spot[off] + 1) & (len(table) - 1)
-                off = off[(table[spot[off]] != key[off]) & (table[spot[off]] >= 0)]
-            hit = table[spot] == key
-            at, state = at[hit], to[spot[hit]]
-            ends = piece[state] >= 0
-            found.append((at[ends], piece[state[ends]]))
-            more = at + len(found) < end[at]
-            at, state = at[more], state[more]
+                entry[off] = table[spot[off]]
+                hit[off] = entry[off] >> 21 == key[off]
+                off = off[~hit[off] & (entry[off] >= 0)]
+            hit = np.flatnonzero(hit)
+            at, state = at[hit], entry[hit] & ((1 << 21) - 1)
         single = np.zeros(len(chars), bool)
         single[found[0][0]] = True
         lost = np.flatnonzero(~single)  # characters that are no piece: their bytes
-        found[0] = (np.concatenate([found[0][0], lost]), np.concatenate([found[0][1], -1 - np.arange(len(lost))]))
+        if len(lost):
+            different, which = np.unique(chars[lost], return_inverse=True)
+            for c in different.tolist():
+                if c not in self.spelt:
+                    self.spelt[c] = len(self.spelt_ids)
+                    self.spelt_ids.append([self.v.byte_ids[b] for b in (SPACE if chr(c) == OWN_SPACE else chr(c)).encode()])
+            number = np.array([self.spelt[c] for c in different.tolist()])[which]
+            lost_weight = self.floor * np.array([len(self.spelt_ids[self.spelt[c]]) for c in different.tolist()])[which] * self.alpha
+        # edges stand in the order of what is left behind their place, so a step backwards from the units' ends is a slice
+        longest = int(left.max())
+        order = np.argsort(left.astype(np.uint16) if longest < 1 << 16 else left, kind="stable")
         count = np.zeros(len(chars), np.int64)
         for p, _ in found:
             count[p] += 1
-        first = np.concatenate([[0], count.cumsum()])
-        place = np.repeat(np.arange(len(chars)), count)
-        long, what, filled = np.empty(len(place), np.int64), np.empty(len(place), np.int64), first[:-1].copy()
-        for n in range(len(found), 0, -1):  # long pieces first: they are the likeliest
-            p, w = found[n - 1]
-            long[filled[p]], what[filled[p]] = n, w
-            filled[p] += 1
-        spelt = [[self.v.byte_ids[b] for b in (SPACE if chr(c) == OWN_SPACE else chr(c)).encode("utf-8", "surrogatepass")] for c in chars[lost]]
-        floor = self.v.log_p.min() - 10
-        weight = np.where(what >= 0, self.v.log_p[np.maximum(what, 0)], floor)
-        if len(lost):
-            fell = what < 0
-            weight[fell] = floor * np.array([len(s) for s in spelt])[-1 - what[fell]]
-        weight = weight * self.alpha
-        # backwards from the units' ends: edges stand in the order of what is left behind their place, so a step is a slice
-        left = end - np.arange(len(chars))
-        by_left = np.argsort(left, kind="stable")
-        bounds = np.searchsorted(left[by_left], np.arange(1, int(left.max()) + 2)).tolist()
-        n = count[by_left]
+        count[lost] += 1
+        n = count[order]
         cut = np.concatenate([[0], n.cumsum()])
-        turn = np.repeat(first[by_left] - cut[:-1], n) + np.arange(len(place))
-        stop = (place + long)[turn]
-        stop[stop >= end[place[turn]]] = len(chars)  # beta is 0 there
-        pending, beta = weight[turn], np.zeros(len(chars) + 1)
+        first = np.empty(len(chars), np.int64)
+        first[order] = cut[:-1]
+        n_edges = int(cut[-1])
+        long, what, stop, value = np.empty(n_edges, np.int16), np.empty(n_edges, np.int32), np.empty(n_edges, np.int64), np.empty(n_edges)
+        filled = first.copy()
+        levels = [(k, p, w, self.weight[w]) for k, (p, w) in enumerate(found, 1)]
+        if len(lost):
+            levels.insert(0, (1, lost, -1 - number, lost_weight))
+        for k, p, w, weight in reversed(levels):  # long pieces first: they are the likeliest
+            e = filled[p]
+            long[e], what[e], value[e] = k, w, weight
+            stop[e] = np.where(left[p] > k, p + k, len(chars))  # beta is 0 there
+            filled[p] = e + 1
+        beta = np.zeros(len(chars) + 1)
+        bounds = np.bincount(left, minlength=longest + 1).cumsum().tolist()
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             lo, hi = int(cut[a]), int(cut[b])
-            here = pending[lo:hi]
+            here = value[lo:hi]
             here += beta[stop[lo:hi]]
             spots = cut[a:b] - lo
             top = np.maximum.reduceat(here, spots)
-            beta[by_left[a:b]] = top + np.log(np.add.reduceat(np.exp(here - np.repeat(top, n[a:b])), spots))
-        value = np.empty(len(place))
-        value[turn] = pending
-        log_p = value - beta[place]
-        running = np.cumsum(np.exp(log_p))
-        before = np.concatenate([[0.0], running])[first[:-1]]
-        inside = running - before[place]
-        last = first[1:] - 1
-        inside[last] = 1.0
-        ids_n = np.ones(len(place), np.int64)
-        flat = np.where(what >= 0, what, 0)
-        if len(lost):
-            ids_n[what < 0] = np.array([len(s) for s in spelt])[-1 - what[what < 0]]
-            begins = np.concatenate([[0], ids_n.cumsum()[:-1]])
-            flat_all = np.repeat(flat, ids_n)
-            for e in np.flatnonzero(what < 0):
-                flat_all[begins[e] : begins[e] + ids_n[e]] = spelt[-1 - what[e]]
-            flat = flat_all
+            beta[order[a:b]] = top + np.log(np.add.reduceat(np.exp(here - np.repeat(top, n[a:b])), spots))
+        value -= np.repeat(beta[order], n)
+        running = np.concatenate([[0.0], np.cumsum(np.exp(value))])
+        inside = running[1:] - np.repeat(running[cut[:-1]], n)
+        inside[cut[1:] - 1] = 1.0
         known = len(self.index)
         self.index.update(zip(units, range(known, known + len(units)), strict=True))
         self.put("start", known, self.places + length.cumsum() - length)
         self.put("length", known, length)
-        self.put("first", self.places + 1, self.edges + first[1:])
+        self.put("first", self.places, self.edges + first)
+        self.put("count", self.places, count)
         self.put("edge_length", self.edges, long)
-        self.put("log_p", self.edges, log_p)
+        self.put("log_p", self.edges, value)
         self.put("upto", self.edges, inside)
-        self.put("ids_n", self.edges, ids_n)
-        self.put("ids_at", self.edges, self.n_ids + ids_n.cumsum() - ids_n)
-        self.put("ids", self.n_ids, flat)
-        self.places, self.edges, self.n_ids = self.places + len(chars), self.edges + len(place), self.n_ids + len(flat)
+        self.put("what", self.edges, what)
+        self.places, self.edges = self.places + len(chars), self.edges + n_edges
 
-    def of(self, units: list[str]) -> np.ndarray:
+    def of(self, units: pa.Array) -> np.ndarray:
+        """Numbers of different units."""
         if self.edges > self.kept_edges:
             self.clear()
+        units = units.to_numpy(zero_copy_only=False).tolist()  # far quicker than to_pylist
         get = self.index.get
         found = np.array([get(u, -1) for u in units], np.int64)
-        missing = np.flatnonzero(found < 0).tolist()
-        if missing:
-            self.add(list(dict.fromkeys([units[i] for i in missing])))
-            found[missing] = [get(units[i]) for i in missing]
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            found[missing] = len(self.index) + np.arange(len(missing))
+            self.add([units[i] for i in missing.tolist()])
         return found
 
+    def ids(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of edges, end to end, and how many each has."""
+        ids = self.what[edges]
+        n = np.ones(len(ids), np.int64)
+        spelt = np.flatnonzero(ids < 0)
+        if len(spelt):
+            bytes_of = [self.spelt_ids[k] for k in (-1 - ids[spelt]).tolist()]
+            n[spelt] = [len(b) for b in bytes_of]
+            begins = (n.cumsum() - n)[spelt]
+            ids = np.repeat(ids, n)
+            where = np.repeat(begins - (n[spelt].cumsum() - n[spelt]), n[spelt])
+            ids[where + np.arange(len(where))] = np.concatenate(bytes_of)
+        return ids, n
+
 
 def uniform(key: np.ndarray, place: np.ndarray, salt: int) -> np.ndarray:
     """Numbers in (0, 1) from a hash of key, place and salt."""
     with np.errstate(over="ignore"):
-        x = key + (place.astype(_U) * _U(64) + _U(salt)) * _U(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+        x = place.astype(_U)
+        x *= _U(64) * _STEP
+        x += key + _U(salt) * _STEP
+        x ^= x >> _U(30)
+        x *= _U(0xBF58476D1CE4E5B9)
+        x ^= x >> _U(27)
+        x *= _U(0x94D049BB133111EB)
     return ((x ^ (x >> _U(31))) >> _U(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
 
 
@@ -232,148 +285,145 @@ def gumbel_below(phi: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarra
     return np.where(np.isneginf(phi), -np.inf, -np.logaddexp(-bound, -g))
 
 
+@dataclass
+class Paths:
+    """A path of each text (none of some): where its edges begin, the edges and their texts, by text where they begin; what hangs on them."""
+
+    slot: np.ndarray
+    edge: np.ndarray
+    doc: np.ndarray
+    bounds: np.ndarray
+    log_p: np.ndarray
+    before: np.ndarray  # log-probability of the path up to an edge
+    value: np.ndarray  # perturbed value of the region beside an edge
+    shut: dict[int, list[int]] = field(default_factory=dict)  # by number of an edge: where more than the path's own edge is excluded
+
+
 class Search:
     """The search over the texts of one slice. A slot is a character; a path holds, at the slot where each of its edges begins, the edge."""
 
     def __init__(self, lattices: Lattices, units: np.ndarray, unit_doc: np.ndarray, keys: np.ndarray) -> None:
-        self.l, self.keys, self.n_docs = lattices, keys, len(keys)
+        self.l, self.n_docs, self.unit_doc = lattices, len(keys), unit_doc
         self.length = lattices.length[units]
-        self.slot = np.concatenate([[0], self.length.cumsum()])[:-1]  # of each unit
+        self.end = self.length.cumsum()
+        self.slot = self.end - self.length  # of each unit
         self.place = lattices.start[units]
         self.slots = int(self.length.sum())
         per_doc = np.bincount(unit_doc, self.length, self.n_docs).astype(np.int64)
         self.doc_slot = np.concatenate([[0], per_doc.cumsum()])
-        self.doc_of = np.repeat(np.arange(self.n_docs), per_doc)
-        self.inside = np.arange(self.slots) - self.doc_slot[self.doc_of]
+        with np.errstate(over="ignore"):  # with these, numbers of a slot are those of its text's key and its place in the text
+            self.keys = keys - self.doc_slot[:-1].astype(_U) * _U(64) * _STEP
 
-    def walk(self, path: np.ndarray, slot: np.ndarray, place: np.ndarray, end: np.ndarray, sample: int) -> None:
+    def walk(self, path: np.ndarray, slot: np.ndarray, place: np.ndarray, unit: np.ndarray, sample: int) -> None:
         """Draws edges from each of the given slots to the end of its unit."""
         l = self.l
+        end, key = self.end[unit], self.keys[self.unit_doc[unit]]
         while len(slot):
-            u = uniform(self.keys[self.doc_of[slot]], self.inside[slot], 2 * sample)
+            u = uniform(key, slot, 2 * sample)
             e = l.first[place]
             on = np.flatnonzero(l.upto[e] < u)
             while len(on):  # running probabilities end with 1
-                e[on] += 1
-                on = on[l.upto[e[on]] < u[on]]
+                further = e[on] + 1
+                e[on] = further
+                on = on[l.upto[further] < u[on]]
             path[slot] = e
             n = l.edge_length[e]
             slot, place = slot + n, place + n
-            on = slot < end
-            slot, place, end = slot[on], place[on], end[on]
-
-    def regions(self, path: np.ndarray, since: np.ndarray, bound: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
-        """The perturbed value of the region beside each edge from slot ``since`` (by doc) on, and the log-probability before each slot."""
-        l = self.l
-        on = path >= 0
-        p = np.zeros(self.slots)
-        p[on] = l.log_p[path[on]]
-        run = np.concatenate([[0.0], p.cumsum()])
-        before = run[:-1] - run[self.doc_slot[self.doc_of]]
-        value = np.full(self.slots, -np.inf)
-        at = np.flatnonzero(on)
-        at = at[at >= since[self.doc_of[at]]]
-        rest = -np.expm1(p[at])
-        at, rest = at[rest > 1e-12], rest[rest > 1e-12]
-        doc = self.doc_of[at]
-        value[at] = gumbel_below(before[at] + np.log(rest), bound[doc], uniform(self.keys[doc], self.inside[at], 2 * sample + 1))
-        return value, before
-
-    def run(self, samples: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+            on = np.flatnonzero(slot < end)
+            slot, place, end, key = slot[on], place[on], end[on], key[on]
+
+    def regions(self, path: np.ndarray, since: np.ndarray, bound: np.ndarray, sample: int) -> Paths:
+        """The paths, with the perturbed value of the region beside each edge from slot ``since`` (by doc) on."""
+        slot = np.flatnonzero(path >= 0)
+        edge = path[slot]
+        bounds = np.searchsorted(slot, self.doc_slot)
+        doc = np.repeat(np.arange(self.n_docs), np.diff(bounds))
+        log_p = self.l.log_p[edge]
+        run = np.concatenate([[0.0], log_p.cumsum()])
+        before = run[:-1] - run[bounds[doc]]
+        value = np.full(len(slot), -np.inf)
+        rest = -np.expm1(log_p)
+        at = np.flatnonzero((rest > 1e-12) & (slot >= since[doc]))
+        mine = doc[at]
+        value[at] = gumbel_below(before[at] + np.log(rest[at]), bound[mine], uniform(self.keys[mine], slot[at], 2 * sample + 1))
+        return Paths(slot, edge, doc, bounds, log_p, before, value)
+
+    def run(self, samples: int) -> tuple[list[Paths], list[np.ndarray], np.ndarray]:
         """Paths, their docs' masks, and the perturbed value of the best path that is not among them (-inf: there is none)."""
-        l, docs = self.l, np.arange(self.n_docs)
-        nothing = np.zeros(self.n_docs, np.int64)
+        l = self.l
         first = np.full(self.slots, -1, np.int64)
-        self.walk(first, self.slot, self.place, self.slot + self.length, 0)
+        self.walk(first, self.slot, self.place, np.arange(len(self.slot)), 0)
         with np.errstate(divide="ignore"):
-            g = -np.log(-np.log(uniform(self.keys, nothing, 62)))
-        value, before = self.regions(first, self.doc_slot[:-1], g, 0)
-        paths, values, befores, alive = [first], [value], [before], [np.ones(self.n_docs, bool)]
-        shut: list[dict[int, list[int]]] = [{}]  # by path: slots where more than the path's own edge is excluded
-        full = np.flatnonzero(np.diff(self.doc_slot))
+            g = -np.log(-np.log(uniform(self.keys, self.doc_slot[:-1], 62)))
+        paths, alive = [self.regions(first, self.doc_slot[:-1], g, 0)], [np.ones(self.n_docs, bool)]
         while True:
             best = np.full((len(paths), self.n_docs), -np.inf)
-            for j, value in enumerate(values):
-                best[j, full] = np.maximum.reduceat(value, self.doc_slot[full]) if len(full) else -np.inf
+            for j, path in enumerate(paths):
+                have = np.flatnonzero(np.diff(path.bounds))
+                if len(have):
+                    best[j, have] = np.maximum.reduceat(path.value, path.bounds[have])
             top = best.max(0)
             if len(paths) == samples:
                 return paths, alive, top
             source = best.argmax(0)
             s = len(paths)
             new, since, open_ = np.full(self.slots, -1, np.int64), self.doc_slot[1:].copy(), np.isfinite(top)
-            starts, places, ends = [], [], []
-            more_shut: dict[int, list[int]] = {}
-            for j in range(s):
+            starts, places, units = [], [], []
+            for j, path in enumerate(paths):
                 mine = open_ & (source == j)
                 if not mine.any():
                     continue
-                hits = np.flatnonzero((values[j] == top[self.doc_of]) & mine[self.doc_of]) if self.slots else nothing[:0]
-                hits = hits[np.unique(self.doc_of[hits], return_index=True)[1]]
-                since[self.doc_of[hits]] = hits
-                copied = mine[self.doc_of] & (np.arange(self.slots) < since[self.doc_of])
-                new[copied] = paths[j][copied]
-                old = paths[j][hits]
-                spot = np.searchsorted(l.first[: l.places + 1], old, side="right") - 1  # the place of an edge
-                n = l.first[spot + 1] - l.first[spot]
+                hits = np.flatnonzero((path.value == top[path.doc]) & mine[path.doc])
+                hits = hits[np.unique(path.doc[hits], return_index=True)[1]]
+                slot, old, doc = path.slot[hits], path.edge[hits], path.doc[hits]
+                since[doc] = slot
+                copied = np.flatnonzero(mine[path.doc] & (path.slot < since[path.doc]))
+                new[path.slot[copied]] = path.edge[copied]
+                unit = np.searchsorted(self.slot, slot, side="right") - 1
+                place = self.place[unit] + slot - self.slot[unit]
+                n = l.count[place].astype(np.int64)
                 width = np.arange(int(n.max()))
-                edges = l.first[spot][:, None] + width
-                p = np.where(width < n[:, None], np.exp(l.log_p[np.minimum(edges, len(l.log_p) - 1)]), 0.0)
-                p[np.arange(len(hits)), old - l.first[spot]] = 0
+                edges = l.first[place][:, None] + width
+                p = np.where(width < n[:, None], np.exp(l.log_p[np.minimum(edges, l.edges - 1)]), 0.0)
+                p[np.arange(len(hits)), old - l.first[place]] = 0
                 for i, h in enumerate(hits.tolist()):
-                    for e in shut[j].get(h, ()):
-                        p[i, e - l.first[spot[i]]] = 0
-                doc = self.doc_of[hits]
+                    for e in path.shut.get(h, ()):
+                        p[i, e - l.first[place[i]]] = 0
                 total = p.sum(1)
-                u = uniform(self.keys[doc], self.inside[hits], 2 * s + 20) * total
+                u = uniform(self.keys[doc], slot, 2 * s + 20) * total
                 pick = np.minimum((p.cumsum(1) <= u[:, None]).sum(1), n - 1)
                 pick = np.where(p[np.arange(len(hits)), pick] > 0, pick, p.argmax(1))
                 chosen = edges[np.arange(len(hits)), pick]
-                new[hits] = chosen
+                new[slot] = chosen
                 rest = total - p[np.arange(len(hits)), pick]
                 with np.errstate(divide="ignore"):
-                    phi = np.where(rest > 1e-12, befores[j][hits] + np.log(np.maximum(rest, 1e-300)), -np.inf)
-                values[j][hits] = gumbel_below(phi, top[doc], uniform(self.keys[doc], self.inside[hits], 2 * s + 21))
+                    phi = np.where(rest > 1e-12, path.before[hits] + np.log(np.maximum(rest, 1e-300)), -np.inf)
+                path.value[hits] = gumbel_below(phi, top[doc], uniform(self.keys[doc], slot, 2 * s + 21))
                 for h, e in zip(hits.tolist(), chosen.tolist(), strict=True):
-                    shut[j].setdefault(h, []).append(e)
-                go = hits + l.edge_length[chosen]
-                unit = np.searchsorted(self.slot, hits, side="right") - 1
-                stop = self.slot[unit] + self.length[unit]
-                starts.append(go[go < stop])
-                places.append((spot + l.edge_length[chosen])[go < stop])
-                ends.append(stop[go < stop])
-            later = self.slot > since[self.doc_of[self.slot]] if self.slots else np.zeros(0, bool)
+                    path.shut.setdefault(h, []).append(e)
+                go = slot + l.edge_length[chosen]
+                on = go < self.end[unit]
+                starts.append(go[on])
+                places.append((place + l.edge_length[chosen])[on])
+                units.append(unit[on])
+            later = np.flatnonzero(self.slot > since[self.unit_doc])
             starts.append(self.slot[later])
             places.append(self.place[later])
-            ends.append((self.slot + self.length)[later])
-            self.walk(new, *(np.concatenate(x) for x in (starts, places, ends)), s)
+            units.append(later)
+            self.walk(new, *(np.concatenate(x) for x in (starts, places, units)), s)
             # the edge at ``since`` has its rest in the region it came from; regions of the new path lie behind it
-            value, before = self.regions(new, since + 1, top, s)
-            paths.append(new)
-            values.append(value)
-            befores.append(before)
-            shut.append(more_shut)
+            paths.append(self.regions(new, since + 1, top, s))
             alive.append(open_)
 
 
-def sample_texts(lattices: Lattices, texts: list[str], keys: np.ndarray, samples: int) -> dict[str, np.ndarray]:
+def sample_texts(lattices: Lattices, texts: pa.Array | list[str], keys: np.ndarray, samples: int) -> dict[str, np.ndarray]:
     """Columns doc (number of the text), sample, log_p, inclusion, and ids with their offsets."""
-    units, owner = [], []
-    for i, text in enumerate(texts):
-        if text:
-            found = UNIT.findall(SPACE + (text.replace(SPACE, OWN_SPACE) if SPACE in text else text).replace(" ", SPACE))
-            units += found
-            owner.append((i, len(found)))
-    index = lattices.of(units)
-    unit_doc = np.repeat([i for i, _ in owner], [n for _, n in owner]).astype(np.int64) if owner else np.zeros(0, np.int64)
-    search = Search(lattices, index, unit_doc, keys)
-    paths, alive, rest = search.run(samples)
+    units, which, unit_doc = units_of(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
+    paths, alive, rest = Search(lattices, lattices.of(units)[which], unit_doc, keys).run(samples)
     out = {"doc": [], "sample": [], "log_p": [], "inclusion": [], "ids": [], "n": []}
     for s, (path, on) in enumerate(zip(paths, alive, strict=True)):
-        edges = path[path >= 0]
-        doc = search.doc_of[path >= 0]
-        log_p = np.bincount(doc, lattices.log_p[edges], len(texts)) if len(edges) else np.zeros(len(texts))
-        n = lattices.ids_n[edges].astype(np.int64)
-        ids = lattices.ids[np.repeat(lattices.ids_at[edges] - (n.cumsum() - n), n) + np.arange(int(n.sum()))]
+        log_p = np.bincount(path.doc, path.log_p, len(texts)).astype(np.float64)  # whole numbers where no text has an edge
+        ids, n = lattices.ids(path.edge)
         docs = np.flatnonzero(on)
         out["doc"].append(docs)
         out["sample"].append(np.full(len(docs), s))
@@ -381,7 +431,7 @@ def sample_texts(lattices: Lattices, texts: list[str], keys: np.ndarray, samples
         with np.errstate(over="ignore"):
             out["inclusion"].append(-np.expm1(-np.exp(log_p[docs] - rest[docs])))
         out["ids"].append(ids)
-        out["n"].append(np.bincount(doc, n, len(texts)).astype(np.int64)[docs] if len(edges) else np.zeros(len(docs), np.int64))
+        out["n"].append(np.bincount(path.doc, n, len(texts)).astype(np.int64)[docs])
     return {k: np.concatenate(v) for k, v in out.items()}
 
 
@@ -406,7 +456,7 @@ def encode_samples(docs: DataFrame, samples: int = SAMPLES, alpha: float = ALPHA
             at = 0
             while at < len(column):
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (slice_chars or SLICE), side="right")))
-                got = sample_texts(lattices, column.slice(at, to - at).to_pylist(), keys[at:to], samples)
+                got = sample_texts(lattices, column.slice(at, to - at), keys[at:to], samples)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], got["n"].cumsum()]), pa.int32()), pa.array(got["ids"], pa.int32()))
                 row = pa.array(at + got["doc"])
                 columns = [*(batch.column(k).take(row) for k in key), pa.array(got["sample"], pa.int32()), ids, pa.array(got["n"], pa.int64()), pa.array(got["log_p"]), pa.array(got["inclusion"])]

@@ -1,7 +1,10 @@
 import itertools
 import math
+import random
+import re
 
 import numpy as np
+import pyarrow as pa
 
 from folioflow.llm import pieces as p
 
@@ -104,6 +107,26 @@ def test_samples_do_not_hang_on_the_batch(monkeypatch):
     assert sample(texts, 2) == whole
 
 
+def test_a_slice_looks_up_each_different_unit_once(monkeypatch):
+    asked, of = [], p.Lattices.of
+    monkeypatch.setattr(p.Lattices, "of", lambda self, units: asked.append(len(units)) or of(self, units))
+    assert len(sample(["of the\nof  the of the"] * 100, 2)) == 100
+    assert asked == [5]  # with spaces before them: of, the (twice, after one space and two); without: the line end, of
+
+
+def test_units_of_odd_texts():
+    draw = random.Random(7)
+    signs = [" ", "  ", "\n", "\t", "a", "bc", "é", "漢", "😀", p.SPACE, "\x00"]
+    texts = ["", " ", "\n", p.SPACE, "", "\n a", " \n"] + ["".join(draw.choices(signs, k=draw.randrange(12))) for _ in range(500)] + [""]
+    units, which, doc = p.units_of(pa.array(["before", *texts, "behind"]).slice(1, len(texts)))
+    plain = [(i, u) for i, t in enumerate(texts) if t for u in re.findall(" +[^ \n]*|\n|[^ \n]+", " " + t)]
+    names = [u.decode() for u in units.to_pylist()]
+    assert [(i, names[w]) for i, w in zip(doc.tolist(), which.tolist(), strict=True)] == plain
+    assert len(names) == len(set(names))
+    for none in ([], ["", ""]):
+        assert [len(x) for x in p.units_of(pa.array(none, pa.string()))] == [0, 0, 0]
+
+
 def test_rows_nulls_ties_and_extra_columns(spark):
     schema = "doc_id long, text string, ids string, sample string"
     rows = [(1, "some text", "x", "y"), (1, "some text", "x", "y"), (None, "null id", "x", "y"), (4, None, "x", "y"), (5, "", "x", "y")]
